@@ -9,8 +9,8 @@ the WINDOW before it in sorted order, which are those that share the longest pre
 on full sets. The whole order is range-partitioned, so that a group of any size is dealt over many tasks, and what
 meets at the border of two partitions is compared in a step of its own.
 
-Two rounds keep confirmation small: the first confirms one candidate for each document (its most similar one), the
-second all candidates whose ends the first has left in different components.
+Rounds keep confirmation small: each confirms one candidate for each document, of another component than its own, and
+joins components; when that links hardly anything more, all candidates that are left between components are confirmed.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ ORDERS = HASHES // DEPTH
 WINDOW = 64
 #: Candidates whose signatures agree in a share this far below the threshold are not confirmed: 5.6 standard deviations at 0.85.
 MARGIN = 0.25
+#: Agreeing values of 64 from which on a first round takes the candidate of the smallest component.
+SURE = 56
+#: Rounds of one candidate for each document; when a round links less than this share of its candidates, the rest follows at once.
+ROUNDS, FEW = 6, 0.02
 #: Values of a set that are hashed at a time.
 _BLOCK = 8192
 
@@ -93,50 +97,56 @@ def _signatures(width: int):
     return run
 
 
-def _pairs(keys: np.ndarray, ids: np.ndarray, comps: np.ndarray, order: np.ndarray, floor: float, best_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates among rows in sorted order: (a, b, agreeing values)."""
+def _pairs(keys: np.ndarray, ids: np.ndarray, comps: np.ndarray, order: np.ndarray, floor: float, one_each: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates of different components among rows in sorted order: positions a and b, and agreeing values.
+
+    one_each: for each row one candidate, of those that agree in most values (SURE) that of the smallest component, else
+    the one that agrees in most.
+    """
     prefix = keys[:, :DEPTH].copy().view(np.uint32).ravel().astype(np.int64) + (order.astype(np.int64) << 32)
     n, found = len(ids), []
-    best = np.full(n, -1), np.zeros(n, np.int64)
+    best, who, least = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for w in range(1, min(WINDOW, n - 1) + 1):
         near = np.flatnonzero(prefix[w:] == prefix[:-w])
         if not len(near):
             break
-        if not best_only:
-            near = near[comps[near] != comps[near + w]]
+        near = near[comps[near] != comps[near + w]]
         agree = (keys[near + w] == keys[near]).sum(axis=1)
         ok = agree >= floor
         near, agree = near[ok], agree[ok]
-        if best_only:
+        if one_each:
+            level = np.minimum(agree, SURE)
             for mine, other in ((near + w, near), (near, near + w)):
-                better = agree > best[0][mine]
-                best[0][mine[better]], best[1][mine[better]] = agree[better], other[better]
+                better = (level > best[mine]) | (level == SURE) & (best[mine] == SURE) & (comps[other] < least[mine])
+                to = mine[better]
+                best[to], who[to], least[to] = level[better], other[better], comps[other[better]]
         else:
             found.append((near, near + w, agree))
-    if best_only:
-        mine = np.flatnonzero(best[0] >= 0)
-        found = [(mine, best[1][mine], best[0][mine])]
-    a, b, agree = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
-    return ids[a], ids[b], agree
+    if one_each:
+        mine = np.flatnonzero(best >= 0)
+        return mine, who[mine], best[mine]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _forest_pass(floor: float, best_only: bool):
+def _forest_pass(floor: float, one_each: bool):
     """Over range-partitioned, sorted rows. Rows out: a candidate pair, or (border) what the next or previous partition has to see."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tail, first = TaskContext.get().partitionId(), None, []
-        names = ["a", "b", "agree", "border", "tree", "key", "comp"]
+        names = ["a", "b", "agree", "to", "border", "tree", "key", "comp"]
 
         def pairs(order, keys, ids, comps):
-            a, b, agree = _pairs(keys, ids, comps, order, floor, best_only)
+            a, b, agree = _pairs(keys, ids, comps, order, floor, one_each)
             if len(a):
                 none = pa.nulls(len(a))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree.astype(np.int32)), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(agree.astype(np.int32)), pa.array(comps[b]), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int64())], names)
 
         def edge(rows, border):
             order, keys, ids, comps = rows
             n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(np.full(n, border, np.int32)), pa.array(order.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(comps)], names)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(np.full(n, border, np.int32)), pa.array(order.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(comps)], names)
 
         head = 0
         for batch in batches:
@@ -157,25 +167,26 @@ def _forest_pass(floor: float, best_only: bool):
     return run
 
 
-def _border_pass(floor: float, best_only: bool):
+def _border_pass(floor: float, one_each: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("tree", "ascending"), ("key", "ascending"), ("a", "ascending")])
-        a, b, agree = _pairs(buffers(table.column("key"))[0].reshape(-1, HASHES), table.column("a").to_numpy(), table.column("comp").to_numpy(), table.column("tree").to_numpy(), floor, best_only)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "agree": pa.array(agree.astype(np.int32))})
+        ids, comps = table.column("a").to_numpy(), table.column("comp").to_numpy()
+        a, b, agree = _pairs(buffers(table.column("key"))[0].reshape(-1, HASHES), ids, comps, table.column("tree").to_numpy(), floor, one_each)
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "agree": pa.array(agree.astype(np.int32)), "to": pa.array(comps[b], pa.int64())})
 
     return run
 
 
-def _candidates(forest: DataFrame, floor: float, best_only: bool, name: str) -> DataFrame:
-    """(a, b): ids of candidates; best_only: for each a the b with most agreeing values."""
+def _candidates(forest: DataFrame, floor: float, one_each: bool, name: str) -> DataFrame:
+    """(a, b): ids of candidates of different components; one_each: one for each a, as in _pairs."""
     spark = forest.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = forest.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    out = materialize(rows.mapInArrow(_forest_pass(floor, best_only), "a long, b long, agree int, border int, tree int, key binary, comp long"), name)
-    more = out.where("border is not null").select("a", "border", "tree", "key", "comp").groupBy("border").applyInArrow(_border_pass(floor, best_only), "a long, b long, agree int")
-    pairs = out.where("border is null").select("a", "b", "agree").union(more)
-    if best_only:
-        pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
+    out = materialize(rows.mapInArrow(_forest_pass(floor, one_each), "a long, b long, agree int, to long, border int, tree int, key binary, comp long"), name)
+    more = out.where("border is not null").select("a", "border", "tree", "key", "comp").groupBy("border").applyInArrow(_border_pass(floor, one_each), "a long, b long, agree int, to long")
+    pairs = out.where("border is null").select("a", "b", "agree", "to").union(more)
+    if one_each:
+        pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct(-F.col("agree"), "to", "b")).alias("b"))
     pairs = pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a <> b").distinct()
     done = materialize(pairs, name)
     drop(out)
@@ -209,6 +220,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
     pairs. A repeated doc_id gives a row for each of its rows. A null doc_id is its own component (null; kept false).
     Other columns, whatever their names, aren't read. An empty table gives an empty result.
     """
+    spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sigs = materialize(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "nd-sigs")
     sets = materialize(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig")), "nd-sets")
@@ -227,20 +239,31 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
         found = docs.join(rows.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2", "id")).alias("w")), "doc_id")
         return materialize(found.mapInArrow(_pick(width), "id long, text string").groupBy("id").agg(F.first("text").alias("text")), name)
 
-    first = _candidates(forest_of(ids.withColumn("comp", F.lit(0).cast("long"))), floor, True, "nd-best")
-    texts = texts_of(first, "nd-texts")
-    links = _links(first, texts, width, num, den, "nd-links")
-    comp = materialize(components(links, "nd-cc"), "nd-comp")
-    labelled = ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
-    second = _candidates(forest_of(labelled), floor, False, "nd-rest")
-    used += [first, texts, links, comp, second]
-    if not second.isEmpty():
-        more_texts = texts_of(second, "nd-texts")
-        more = _links(second, more_texts, width, num, den, "nd-links")
-        used += [more_texts, more]
-        if not more.isEmpty():
-            comp = materialize(components(links.union(more), "nd-cc"), "nd-comp")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs, "nd-texts")
+        found = _links(pairs, texts, width, num, den, "nd-links")
+        drop(texts)
+        used.append(found)
+        return found
+
+    comp = ids.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+    links, more = None, True
+    for turn in range(ROUNDS + 1):
+        one_each = more and turn < ROUNDS
+        labelled = ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
+        pairs = _candidates(forest_of(labelled), floor, one_each, "nd-pairs")
+        used.append(pairs)
+        n = pairs.count()
+        found = confirmed(pairs) if n else None
+        new = found.count() if n else 0
+        if new:
+            links = links.union(found) if links is not None else found
+            comp = materialize(components(links, "nd-cc"), "nd-comp")
             used.append(comp)
+        if not one_each or not n:
+            break
+        more = new > FEW * n
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the round's shuffle files
     by_set = ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "first_id", F.coalesce("component", "id").alias("comp"))
     smallest = by_set.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_set = by_set.join(smallest, "comp").select("k1", "k2", "component_id")
