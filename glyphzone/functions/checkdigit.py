@@ -21,17 +21,17 @@ def char_value(c: Column) -> Column:
     return F.when(c == "<", 0).when((F.length(c) == 1) & (at > 0), at - 1)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value bound to a variable, so that the expression holds it once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def check_digit(s: Column, width: int | None = None) -> Column:
-    """Null for a string outside the charset. With a fixed width the sum is unrolled and stays in generated code."""
-    digits = F.translate(s, _SYMBOLS, _RESIDUES)
-    if width is None:
-        total = F.aggregate(F.transform(F.split(digits, ""), lambda c, i: F.coalesce(c.try_cast("int"), F.lit(0)) * F.element_at(F.array(F.lit(7), F.lit(3), F.lit(1)), i % 3 + 1)), F.lit(0), lambda a, b: a + b)
-    else:
-        total = F.lit(0)
-        for i in range(width):
-            total = total + F.ascii(F.substring(digits, i + 1, 1)) * (7, 3, 1)[i % 3]
-        total = total - 48 * sum((7, 3, 1)[i % 3] for i in range(width))
-    return F.when(in_charset(s), F.pmod(total, F.lit(10)))
+    """Null for a string outside the charset (or of another width, if one is given)."""
+    weight = lambda i: F.get(F.array(F.lit(7), F.lit(3), F.lit(1)), i % 3)
+    total = lambda x: F.aggregate(F.transform(F.split(F.translate(x, _SYMBOLS, _RESIDUES), ""), lambda c, i: F.coalesce(c.try_cast("int"), F.lit(0)) * weight(i)), F.lit(0), lambda a, b: a + b)
+    fits = lambda x: in_charset(x) if width is None else x.rlike(f"\\A[A-Z0-9<]{{{width}}}\\z")
+    return let(s, lambda x: F.when(fits(x), F.pmod(total(x), F.lit(10))))
 
 
 def verify(s: Column, digit: Column, width: int | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.checkdigit import check_digit
+from ..functions.checkdigit import check_digit, let
 from ..functions.layouts import LAYOUTS, Layout
 
 _UP = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -50,12 +50,13 @@ def emit(layout: str, document_type: Column, issuing: Column, surname: Column, g
     if x.lines == 3:
         one = F.concat(head, field, check, opt)
         two = F.concat(b, _digit(b, 6), mf, e, _digit(e, 6), state, fixed(clean(optional2 if optional2 is not None else F.lit("")), 11))
-        covered = F.concat(F.substring(one, 6, 25), F.substring(two, 1, 7), F.substring(two, 9, 7), F.substring(two, 19, 11))
-        return F.concat_ws("\n", one, F.concat(two, _digit(covered, 50)), fixed(name, 30))
+        covered = lambda z: F.concat(F.substring(z, 6, 25), F.substring(z, 31, 7), F.substring(z, 39, 7), F.substring(z, 49, 11))
+        both = let(F.concat(one, two), lambda z: F.concat(F.substring(z, 1, 30), F.lit("\n"), F.substring(z, 31, 29), _digit(covered(z), 50)))
+        return F.concat_ws("\n", both, fixed(name, 30))
     two = F.concat(field, check, state, b, _digit(b, 6), mf, e, _digit(e, 6), opt)
     if x.optional_check:
         two = F.concat(two, _digit(opt, first_optional))
     if x.composite_check:
         end = x.composite_check[1]
-        two = F.concat(two, _digit(F.concat(F.substring(two, 1, 10), F.substring(two, 14, 7), F.substring(two, 22, end - 21)), 17 + end - 21))
+        two = let(two, lambda t: F.concat(t, _digit(F.concat(F.substring(t, 1, 10), F.substring(t, 14, 7), F.substring(t, 22, end - 21)), 17 + end - 21)))
     return F.concat_ws("\n", F.concat(head, fixed(name, x.width - 5)), two)

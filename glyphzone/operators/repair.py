@@ -34,7 +34,7 @@ def solve_field(df: DataFrame, key: str, field: str = "field", check: str = "che
     f = F.col(field)
     n = F.length(f) - F.length(F.replace(f, F.lit(UNKNOWN), F.lit("")))
     fillings = F.when(n == 0, F.array(f)).when(n == 1, one(f)).when(n == 2, F.flatten(F.transform(one(f), one))).otherwise(F.array().cast("array<string>"))
-    rows = df.select(key, F.col(check).alias("c"), F.col(kind).alias("k"), F.explode(fillings).alias("x")).where(verify(F.col("x"), F.col("c")) & satisfies(F.col("x"), F.col("k")))
-    found = rows.groupBy(key).agg(F.array_sort(F.collect_set("x")).alias("candidates"))
+    rows = df.select(key, F.col(check).alias("glyphzone_c"), F.col(kind).alias("glyphzone_k"), F.explode(fillings).alias("glyphzone_x")).where(verify(F.col("glyphzone_x"), F.col("glyphzone_c")) & satisfies(F.col("glyphzone_x"), F.col("glyphzone_k")))
+    found = rows.groupBy(key).agg(F.array_sort(F.collect_set("glyphzone_x")).alias("candidates"))
     out = df.select(key).join(found, key, "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
     return out.withColumn("resolution", F.when(F.size("candidates") == 0, "unresolvable").when(F.size("candidates") == 1, "unique").otherwise("ambiguous"))

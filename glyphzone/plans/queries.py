@@ -162,10 +162,10 @@ def _tampered(spark, sf):
     return z.withColumn("zone", F.concat(F.substring("zone", 1, at - 1), F.translate(F.substring("zone", at, 1), "0123456789", "1234567890"), F.col("zone").substr(F.lit(at + 1), F.lit(99))))
 
 
-@query("failed_fields", f"WITH {PEOPLE} SELECT k, ['date_of_birth', 'composite'] AS failing, 3 AS score FROM people")
+@query("failed_fields", f"WITH {PEOPLE} SELECT k, 'date_of_birth,composite' AS failing, 3 AS score FROM people")
 def failed_fields(spark, sf):
     m = _tampered(spark, sf).select("k", parse("td3", F.col("zone")).alias("m"))
-    return m.select("k", failed(F.col("m.checks")).alias("failing"), score(F.col("m.checks")).cast("int").alias("score"))
+    return m.select("k", F.array_join(failed(F.col("m.checks")), ",").alias("failing"), score(F.col("m.checks")).cast("int").alias("score"))
 
 
 @query("parse_errors", "SELECT c_custkey % 4 AS kind, ['bad_length', 'bad_character', 'bad_document_code', 'not_found'][c_custkey % 4 + 1] AS error, count(*) AS n FROM customer GROUP BY 1, 2")
@@ -218,9 +218,9 @@ def _found(spark, sf):
     return records.integrity(p, codes.code_table(spark, TABLE))
 
 
-@query("integrity_findings", _FOUND + " SELECT k, findings, CASE WHEN len(findings) = 0 THEN 'accepted' ELSE 'needs_review' END AS verdict FROM f")
+@query("integrity_findings", _FOUND + " SELECT k, array_to_string(findings, ',') AS findings, CASE WHEN len(findings) = 0 THEN 'accepted' ELSE 'needs_review' END AS verdict FROM f")
 def integrity_findings(spark, sf):
-    return _found(spark, sf).select("k", "findings", "verdict")
+    return _found(spark, sf).select("k", F.array_join("findings", ",").alias("findings"), "verdict")
 
 
 @query("finding_counts", _FOUND + " SELECT finding, count(*) AS n FROM (SELECT unnest(findings) AS finding FROM f) GROUP BY 1")
@@ -287,15 +287,15 @@ def percentile_by_key(spark, sf):
 
 
 # Damage.
-_HOLE = f"WITH {PEOPLE}, {_CHARS}, h AS (SELECT k, strftime(birth, '%y%m%d') AS b, CAST(k % 6 AS INTEGER) + 1 AS at FROM people), x AS (SELECT k, substr(b, 1, at - 1) || c || substr(b, at + 1) AS x, {cd('b')} AS d FROM h, chars), y AS (SELECT k, x FROM x WHERE {cd('x')} = d AND regexp_matches(x, '^[0-9]{{6}}$') AND (try_strptime('19' || x, '%Y%m%d') IS NOT NULL OR try_strptime('20' || x, '%Y%m%d') IS NOT NULL))"
+_HOLE = f"WITH {PEOPLE}, {_CHARS}, h AS (SELECT k, strftime(birth, '%y%m%d') AS b, CAST(k % 6 AS INTEGER) + 1 AS pos FROM people), x AS (SELECT k, substr(b, 1, pos - 1) || c || substr(b, pos + 1) AS x, {cd('b')} AS d FROM h, chars), y AS (SELECT k, x FROM x WHERE {cd('x')} = d AND regexp_matches(x, '^[0-9]{{6}}$') AND (try_strptime('19' || x, '%Y%m%d') IS NOT NULL OR try_strptime('20' || x, '%Y%m%d') IS NOT NULL))"
 
 
-@query("solve_field_dates", _HOLE + " SELECT k, list_sort(list(x)) AS candidates, CASE count(*) WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS resolution FROM y GROUP BY k")
+@query("solve_field_dates", _HOLE + " SELECT k, array_to_string(list_sort(list(x)), ',') AS candidates, CASE count(*) WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS resolution FROM y GROUP BY k")
 def solve_field_dates(spark, sf):
     b = F.date_format("birth", "yyMMdd")
     at = (F.col("k") % 6).cast("int") + 1
     d = people(spark, sf).select("k", F.concat(b.substr(F.lit(1), at - 1), F.lit("?"), b.substr(at + 1, F.lit(9))).alias("field"), checkdigit.check_digit(b, 6).cast("string").alias("check"), F.lit("date").alias("kind"))
-    return repair.solve_field(d, "k")
+    return repair.solve_field(d, "k").withColumn("candidates", F.array_join("candidates", ","))
 
 
 @query("solve_field_pairs", f"WITH {PEOPLE}, {_CHARS}, h AS (SELECT k, rpad(number, 9, '<') AS n FROM people WHERE k % 10 = 1), x AS (SELECT k, a.c || b.c || substr(n, 3) AS x, {cd('n')} AS d FROM h, chars a, chars b) SELECT k, count(*) AS n FROM x WHERE {cd('x')} = d AND NOT contains(rtrim(x, '<'), '<') GROUP BY k")
