@@ -10,7 +10,9 @@ on full sets. The whole order is range-partitioned, so that a group of any size
 meets at the border of two partitions is compared in a step of its own.
 
 Rounds keep confirmation small: each confirms one candidate for each document, of another component than its own, and
-joins components; when that links hardly anything more, all candidates that are left between components are confirmed.
+joins components. Then all candidates that are left between components are confirmed in blocks: a block is a piece of a
+sorted order with the sets of those in it that have candidates there, so rows grow with documents, not with pairs. A
+block links components as it goes and passes over pairs of one component.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ MARGIN = 0.25
 #: Agreeing values of 64 from which on a first round takes the candidate of the smallest component.
 SURE = 56
 #: Rounds of one candidate for each document; when a round links less than this share of its candidates, the rest follows at once.
-ROUNDS, FEW = 6, 0.02
+ROUNDS, FEW = 2, 0.02
+#: Rows of a sorted order in a block.
+BLOCK = 512
 #: Values of a set that are hashed at a time.
 _BLOCK = 8192
 
@@ -130,23 +134,85 @@ def _pairs(keys: np.ndarray, ids: np.ndarray, comps: np.ndarray, order: np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _members(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each block of sorted rows (b: the later one of a candidate pair), the rows that have candidates in it."""
+    late = np.maximum(a, b) // BLOCK
+    for k in np.unique(late):
+        here = late == k
+        yield int(k), np.unique(np.concatenate((a[here], b[here])))
+
+
+_BLOCKS = "block long, tree int, key binary, a long, comp long"
+
+
+def _block_rows(block: int, order: np.ndarray, keys: np.ndarray, ids: np.ndarray, comps: np.ndarray) -> pa.Table:
+    return pa.table({"block": np.full(len(ids), block, np.int64), "tree": order.astype(np.int32), "key": pa.array([k.tobytes() for k in keys], pa.binary()), "a": ids, "comp": comps})
+
+
+def _check_block(floor: float, num: int, den: int):
+    """Of a block's candidates those whose sets are similar enough, without links inside what the block has linked already."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("tree", "ascending"), ("key", "ascending"), ("a", "ascending")])
+        ids, (labels, parent) = table.column("a").to_numpy(), np.unique(table.column("comp").to_numpy(), return_inverse=True)
+        data, offsets = buffers(table.column("shingles"))
+        sets, size = data.view(np.uint64), np.diff(offsets) // 8
+        start = offsets[:-1] // 8
+        a, b, _ = _pairs(buffers(table.column("key"))[0].reshape(-1, HASHES), ids, parent, table.column("tree").to_numpy(), floor, False)
+        by_row = np.argsort(b, kind="stable")
+        a, b = a[by_row], b[by_row]
+        comp, u, v = parent.copy(), [], []
+        for row in np.unique(b):
+            others = a[np.searchsorted(b, row) : np.searchsorted(b, row, side="right")]
+            others = others[comp[others] != comp[row]]
+            low, high = np.minimum(size[others], size[row]), np.maximum(size[others], size[row])
+            others = others[den * low >= num * high]
+            if not len(others):
+                continue
+            mine = sets[start[row] : start[row] + size[row]]
+            cuts = np.cumsum(np.append(0, size[others]))
+            theirs = sets[np.repeat(start[others] - cuts[:-1], size[others]) + np.arange(cuts[-1])]
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            common = np.add.reduceat((mine[at] == theirs).astype(np.int64), cuts[:-1])
+            for other in others[den * common >= num * (size[row] + size[others] - common)]:
+                if comp[other] != comp[row]:
+                    u.append(ids[other])
+                    v.append(ids[row])
+                    comp[comp == comp[other]] = comp[row]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 def _forest_pass(floor: float, one_each: bool):
-    """Over range-partitioned, sorted rows. Rows out: a candidate pair, or (border) what the next or previous partition has to see."""
+    """Over range-partitioned, sorted rows. Rows out: a candidate pair, or (border) what the next or previous partition has to see.
+
+    one_each as in _pairs; without, rows (block) of the blocks in which they have candidates instead of pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tail, first = TaskContext.get().partitionId(), None, []
-        names = ["a", "b", "agree", "to", "border", "tree", "key", "comp"]
+        names = ["a", "b", "agree", "to", "border", "tree", "key", "comp", "block"]
+        made = part << 32
 
         def pairs(order, keys, ids, comps):
             a, b, agree = _pairs(keys, ids, comps, order, floor, one_each)
             if len(a):
                 none = pa.nulls(len(a))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(agree.astype(np.int32)), pa.array(comps[b]), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(agree.astype(np.int32)), pa.array(comps[b]), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.int64())], names)
+
+        def blocks(order, keys, ids, comps):
+            nonlocal made
+            a, b, _ = _pairs(keys, ids, comps, order, floor, False)
+            for _, rows in _members(a, b):
+                t, n = _block_rows(made, order[rows], keys[rows], ids[rows], comps[rows]), len(rows)
+                made += 1
+                yield pa.Table.from_arrays([t["a"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), t["tree"], t["key"], t["comp"], t["block"]], names).combine_chunks().to_batches()[0]
 
         def edge(rows, border):
             order, keys, ids, comps = rows
             n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(np.full(n, border, np.int32)), pa.array(order.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(comps)], names)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(np.full(n, border, np.int32)), pa.array(order.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(comps), pa.nulls(n, pa.int64())], names)
 
         head = 0
         for batch in batches:
@@ -158,7 +224,7 @@ def _forest_pass(floor: float, one_each: bool):
                 head += len(first[-1][2])
             if tail is not None:
                 rows = tuple(np.concatenate(x) for x in zip(tail, rows, strict=True))
-            yield from pairs(*rows)
+            yield from (pairs if one_each else blocks)(*rows)
             tail = tuple(x[-WINDOW:] for x in rows)
         if tail is not None:
             yield edge(tuple(np.concatenate(x) for x in zip(*first, strict=True)), part)
@@ -171,45 +237,52 @@ def _border_pass(floor: float, one_each: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("tree", "ascending"), ("key", "ascending"), ("a", "ascending")])
         ids, comps = table.column("a").to_numpy(), table.column("comp").to_numpy()
-        a, b, agree = _pairs(buffers(table.column("key"))[0].reshape(-1, HASHES), ids, comps, table.column("tree").to_numpy(), floor, one_each)
+        keys, order = buffers(table.column("key"))[0].reshape(-1, HASHES), table.column("tree").to_numpy()
+        a, b, agree = _pairs(keys, ids, comps, order, floor, one_each)
+        if not one_each:
+            rows = np.unique(np.concatenate((a, b)))
+            return _block_rows(-1 - table.column("border")[0].as_py(), order[rows], keys[rows], ids[rows], comps[rows])
         return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "agree": pa.array(agree.astype(np.int32)), "to": pa.array(comps[b], pa.int64())})
 
     return run
 
 
 def _candidates(forest: DataFrame, floor: float, one_each: bool, name: str) -> DataFrame:
-    """(a, b): ids of candidates of different components; one_each: one for each a, as in _pairs."""
+    """Candidates of different components: one_each: (a, b), one for each a, as in _pairs; without, blocks of rows (_BLOCKS)."""
     spark = forest.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = forest.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    out = materialize(rows.mapInArrow(_forest_pass(floor, one_each), "a long, b long, agree int, to long, border int, tree int, key binary, comp long"), name)
-    more = out.where("border is not null").select("a", "border", "tree", "key", "comp").groupBy("border").applyInArrow(_border_pass(floor, one_each), "a long, b long, agree int, to long")
+    out = materialize(rows.mapInArrow(_forest_pass(floor, one_each), "a long, b long, agree int, to long, border int, tree int, key binary, comp long, block long"), name)
+    borders = out.where("border is not null").select("a", "border", "tree", "key", "comp").groupBy("border")
+    if not one_each:
+        done = materialize(out.where("block is not null").select("block", "tree", "key", "a", "comp").union(borders.applyInArrow(_border_pass(floor, False), _BLOCKS)), name)
+        drop(out)
+        return done
+    more = borders.applyInArrow(_border_pass(floor, True), "a long, b long, agree int, to long")
     pairs = out.where("border is null").select("a", "b", "agree", "to").union(more)
-    if one_each:
-        pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct(-F.col("agree"), "to", "b")).alias("b"))
+    pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct(-F.col("agree"), "to", "b")).alias("b"))
     pairs = pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a <> b").distinct()
     done = materialize(pairs, name)
     drop(out)
     return done
 
 
-def _confirm(width: int, num: int, den: int):
+def _confirm(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text_a"):
-                one, two = (shingle_sets(*buffers(batch.column(c)), width) for c in ("text_a", "text_b"))
-                keep = []
-                for x, y in zip(one, two, strict=True):
-                    common = len(x) + len(y) - len(np.union1d(x, y))
-                    keep.append(den * common >= num * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (one, two))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(den * common >= num * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
-    a, b = (texts.selectExpr(f"id as {x}", f"text as text_{x}") for x in "ab")
-    return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, num, den), "u long, v long"), name)
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    a, b = (sets.selectExpr(f"id as {x}", f"shingles as set_{x}") for x in "ab")
+    return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "u long, v long"), name)
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,19 +305,22 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
     floor = HASHES * (num / den - MARGIN)
     used = [sigs, sets, ids]
 
-    def texts_of(pairs: DataFrame, name: str) -> DataFrame:
-        ends = pairs.selectExpr("a as id").union(pairs.selectExpr("b as id")).distinct()
-        wanted = ends.join(ids.select("id", "first_id", "k1", "k2"), "id")
+    def sets_of(ends: DataFrame) -> DataFrame:
+        wanted = ends.distinct().join(ids.select("id", "first_id", "k1", "k2"), "id")
         rows = sigs.select("doc_id", "k1", "k2").join(wanted.withColumnRenamed("first_id", "doc_id"), ["doc_id", "k1", "k2"]).select("doc_id", "k1", "k2", "id").distinct()
         found = docs.join(rows.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2", "id")).alias("w")), "doc_id")
-        return materialize(found.mapInArrow(_pick(width), "id long, text string").groupBy("id").agg(F.first("text").alias("text")), name)
+        return materialize(found.mapInArrow(_pick(width), "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")), "nd-shingles")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(pairs, "nd-texts")
-        found = _links(pairs, texts, width, num, den, "nd-links")
-        drop(texts)
-        used.append(found)
-        return found
+    def confirmed(found: DataFrame, one_each: bool) -> DataFrame:
+        shingles = sets_of(found.selectExpr("a as id").union(found.selectExpr("b as id")) if one_each else found.selectExpr("a as id"))
+        if one_each:
+            out = _links(found, shingles, num, den, "nd-links")
+        else:
+            blocks = found.join(shingles.withColumnRenamed("id", "a"), "a").select("block", "tree", "key", "a", "comp", "shingles")
+            out = materialize(blocks.groupBy("block").applyInArrow(_check_block(floor, num, den), "u long, v long"), "nd-links")
+        drop(shingles)
+        used.append(out)
+        return out
 
     comp = ids.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     links, more = None, True
@@ -254,7 +330,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
         pairs = _candidates(forest_of(labelled), floor, one_each, "nd-pairs")
         used.append(pairs)
         n = pairs.count()
-        found = confirmed(pairs) if n else None
+        found = confirmed(pairs, one_each) if n else None
         new = found.count() if n else 0
         if new:
             links = links.union(found) if links is not None else found
@@ -275,19 +351,18 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
 
 
 def _pick(width: int):
+    """The sets that are wanted of each text's document (w): those whose keys the text has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                wanted = batch.column("w").to_pylist()
-                ids, rows = [], []
-                many = [i for i, x in enumerate(wanted) if len(x) > 1]
-                keys = {i: _set_key(s) for i, s in zip(many, shingle_sets(*buffers(batch.column("text").take(pa.array(many, pa.int64()))), width), strict=True)} if many else {}
-                for i, x in enumerate(wanted):
-                    for w in x:
-                        if len(x) == 1 or keys[i] == (w["k1"] % (1 << 64), w["k2"] % (1 << 64)):
+                ids, out = [], []
+                for s, wanted in zip(shingle_sets(*buffers(batch.column("text")), width), batch.column("w").to_pylist(), strict=True):
+                    key = _set_key(s)
+                    for w in wanted:
+                        if key == (w["k1"] % (1 << 64), w["k2"] % (1 << 64)):
                             ids.append(w["id"])
-                            rows.append(i)
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("text").take(pa.array(rows, pa.int64()))], ["id", "text"])
+                            out.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "shingles"])
 
     return run

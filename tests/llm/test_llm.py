@@ -244,8 +244,10 @@ def brute_near(texts):
     return [(len(s), c) for s, c in zip(sets, label)]
 
 
-def test_near_duplicates(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_duplicates(spark, monkeypatch, rounds):
     monkeypatch.setattr(neardup, "WINDOW", 8)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
     base = [prose(200, i) for i in range(12)]
     texts = [None, "", "  ", "a b", "A B", "a b c d e"] + base + [edited(base[0], 2, i) for i in range(40)] + [edited(base[1], 9, i) for i in range(10)] + [base[2].upper(), base[2], base[2]] + [base[3] + " " + prose(15, 99), prose(3000, 7), prose(3000, 7) + " tail"] + [" ".join(base[4].split()[:120] + prose(80, 50 + i).split()) for i in range(30)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
