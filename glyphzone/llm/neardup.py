@@ -9,7 +9,7 @@ the WINDOW before it in sorted order, which are those that share the longest pre
 on full sets. The whole order is range-partitioned, so that a group of any size is dealt over many tasks, and what
 meets at the border of two partitions is compared in a step of its own.
 
-Rounds keep confirmation small: each confirms one candidate for each document, of another component than its own, and
+Rounds (one here) keep confirmation small: each confirms one candidate for each document, of another component than its own, and
 joins components. Then all candidates that are left between components are confirmed in blocks: a block is a piece of a
 sorted order with the sets of those in it that have candidates there, so rows grow with documents, not with pairs. A
 block links components as it goes and passes over pairs of one component.
@@ -37,7 +37,7 @@ MARGIN = 0.25
 #: Agreeing values of 64 from which on a first round takes the candidate of the smallest component.
 SURE = 56
 #: Rounds of one candidate for each document; when a round links less than this share of its candidates, the rest follows at once.
-ROUNDS, FEW = 2, 0.02
+ROUNDS, FEW = 1, 0.02
 #: Rows of a sorted order in a block.
 BLOCK = 512
 #: Values of a set that are hashed at a time.
