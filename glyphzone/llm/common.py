@@ -30,10 +30,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/glyphzone/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives the loss of executors."""
+def few_files(spark: SparkSession) -> int:
+    """Files for a table of a few numbers a row: an eighth of the shuffle partitions."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
+def materialize(df: DataFrame, name: str, files: int = 0) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and survives the loss of executors. files: how many, if not one a task."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._glyphzone_path = path
     return out

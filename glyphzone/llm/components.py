@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from .common import drop, materialize
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", files: int = 0) -> DataFrame:
     """(node, component) for every node of the edges (u, v): component is the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), each an aggregation and an equi-join
     on a node, until every edge points at its component's smallest node. Null ends, loops and repeated
-    edges are allowed and have no effect. An empty edge table gives an empty result.
+    edges are allowed and have no effect. files: of each table written on the way, as in materialize(). An empty edge table gives an empty result.
     """
-    now = materialize(edges.where("u is not null and v is not null and u <> v").selectExpr("greatest(u, v) as u", "least(u, v) as v").distinct(), name)
+    now = materialize(edges.where("u is not null and v is not null and u <> v").selectExpr("greatest(u, v) as u", "least(u, v) as v").distinct(), name, files)
     before = None
     while True:
         both = now.union(now.selectExpr("v as u", "u as v"))
@@ -24,7 +24,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.selectExpr("greatest(u, v) as u", "least(u, v) as v").distinct()
         m = low.groupBy("u").agg(F.min("v").alias("m"))
         small = low.join(m, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        later = materialize(small, name)
+        later = materialize(small, name, files)
         state = later.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         drop(now)
         now = later

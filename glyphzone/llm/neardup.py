@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, drop, materialize, mix, signed, slices
+from .common import Words, buffers, drop, few_files, materialize, mix, signed, slices
 from .components import components
 
 HASHES, DEPTH = 64, 4
@@ -252,17 +252,17 @@ def _candidates(forest: DataFrame, floor: float, one_each: bool, name: str) -> D
     spark = forest.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = forest.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    out = materialize(rows.mapInArrow(_forest_pass(floor, one_each), "a long, b long, agree int, to long, border int, tree int, key binary, comp long, block long"), name)
+    out = materialize(rows.mapInArrow(_forest_pass(floor, one_each), "a long, b long, agree int, to long, border int, tree int, key binary, comp long, block long"), name, few_files(spark))
     borders = out.where("border is not null").select("a", "border", "tree", "key", "comp").groupBy("border")
     if not one_each:
-        done = materialize(out.where("block is not null").select("block", "tree", "key", "a", "comp").union(borders.applyInArrow(_border_pass(floor, False), _BLOCKS)), name)
+        done = materialize(out.where("block is not null").select("block", "tree", "key", "a", "comp").union(borders.applyInArrow(_border_pass(floor, False), _BLOCKS)), name, few_files(spark))
         drop(out)
         return done
     more = borders.applyInArrow(_border_pass(floor, True), "a long, b long, agree int, to long")
     pairs = out.where("border is null").select("a", "b", "agree", "to").union(more)
     pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct(-F.col("agree"), "to", "b")).alias("b"))
     pairs = pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a <> b").distinct()
-    done = materialize(pairs, name)
+    done = materialize(pairs, name, few_files(spark))
     drop(out)
     return done
 
@@ -282,7 +282,7 @@ def _confirm(num: int, den: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
     a, b = (sets.selectExpr(f"id as {x}", f"shingles as set_{x}") for x in "ab")
-    return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "u long, v long"), name)
+    return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "u long, v long"), name, few_files(sets.sparkSession))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,7 +317,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
             out = _links(found, shingles, num, den, "nd-links")
         else:
             blocks = found.join(shingles.withColumnRenamed("id", "a"), "a").select("block", "tree", "key", "a", "comp", "shingles")
-            out = materialize(blocks.groupBy("block").applyInArrow(_check_block(floor, num, den), "u long, v long"), "nd-links")
+            out = materialize(blocks.groupBy("block").applyInArrow(_check_block(floor, num, den), "u long, v long"), "nd-links", few_files(spark))
         drop(shingles)
         used.append(out)
         return out
@@ -334,7 +334,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
         new = found.count() if n else 0
         if new:
             links = links.union(found) if links is not None else found
-            comp = materialize(components(links, "nd-cc"), "nd-comp")
+            comp = materialize(components(links, "nd-cc", few_files(spark)), "nd-comp", few_files(spark))
             used.append(comp)
         if not one_each or not n:
             break
