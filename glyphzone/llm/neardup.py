@@ -4,15 +4,19 @@ Each text becomes the set of its 5-word shingles, the set a signature of 64 mini
 signatures in 16 sorted orders (order t starts with value 4t of the signature). Two sets of similarity s agree in
 the first four values of an order with probability s**4; neighbours by longest common prefix of at least four are
 candidates, so at 0.85 all orders miss a pair with probability (1 - 0.85**4)**16 = 7e-6. Depth adapts to the
-region: where few signatures share a prefix of four, all of them are compared; where many do, each is compared with
-the WINDOW before it in sorted order, which are those that share the longest prefixes. Every candidate is confirmed
-on full sets. The whole order is range-partitioned, so that a group of any size is dealt over many tasks, and what
+region: where few signatures share a prefix of four, all of them are compared; where many do, each is compared first with
+the WINDOW before it in sorted order, which are those that share the longest prefixes, and at the end with all others of
+the region that are still of another component. Every candidate is confirmed on full sets. The whole order is range-partitioned, so that a group of any size is dealt over many tasks, and what
 meets at the border of two partitions is compared in a step of its own.
 
 Rounds (one here) keep confirmation small: each confirms one candidate for each document, of another component than its own, and
 joins components. Then all candidates that are left between components are confirmed in blocks: a block is a piece of a
 sorted order with the sets of those in it that have candidates there, so rows grow with documents, not with pairs. A
 block links components as it goes and passes over pairs of one component.
+
+What is left are regions of more rows than the window that hold several components. Each is dealt into blocks, a large
+component into blocks of its own, and every two blocks that may hold two components are compared row by row: no set's
+comparisons end at a fixed count. The work grows with the square of what such a region holds outside its largest component.
 """
 
 from __future__ import annotations
@@ -30,8 +34,14 @@ from .components import components
 
 HASHES, DEPTH = 64, 4
 ORDERS = HASHES // DEPTH
-#: Neighbours in sorted order that a signature is compared with, in a region that has more.
+#: Neighbours in sorted order that a signature is compared with, before the rest of a region that has more.
 WINDOW = 64
+#: Rows of a crowded region in a block; a component with more has blocks of its own.
+SIDE = 256
+#: Crowded regions, or large components in them, up to which their list is broadcast.
+LISTED = 200_000
+#: Values of sets that are compared with one set at a time.
+_AT_ONCE = 1 << 20
 #: Candidates whose signatures agree in a share this far below the threshold are not confirmed: 5.6 standard deviations at 0.85.
 MARGIN = 0.25
 #: Agreeing values of 64 from which on a first round takes the candidate of the smallest component.
@@ -142,6 +152,35 @@ def _members(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k), np.unique(np.concatenate((a[here], b[here])))
 
 
+def _across(keys: np.ndarray, comps: np.ndarray, side: np.ndarray, tree: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of different components between two sides (or inside one), but for those that share a prefix in an order before."""
+    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    before = np.ascontiguousarray(keys).view(np.uint32)[:, ORDERS - tree :]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in left:
+        others = right[right > i] if side[i] == side.max() else right
+        others = others[comps[others] != comps[i]]
+        others = others[(keys[others] == keys[i]).sum(axis=1) >= floor]
+        others = others[~(before[others] == before[i]).any(axis=1)]
+        a.append(others)
+        b.append(np.full(len(others), i))
+    return np.concatenate(a), np.concatenate(b)
+
+
+_SIDES = "block long, side int, tree int, key binary, a long, comp long"
+
+
+def _across_pass(floor: float):
+    """Of two blocks of a crowded region the rows that have candidates in them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = buffers(table.column("key"))[0].reshape(-1, HASHES)
+        a, b = _across(keys, table.column("comp").to_numpy(), table.column("side").to_numpy(), table.column("tree")[0].as_py(), floor)
+        return table.take(pa.array(np.unique(np.concatenate((a, b)))))
+
+    return run
+
+
 _BLOCKS = "block long, tree int, key binary, a long, comp long"
 
 
@@ -149,8 +188,11 @@ def _block_rows(block: int, order: np.ndarray, keys: np.ndarray, ids: np.ndarray
     return pa.table({"block": np.full(len(ids), block, np.int64), "tree": order.astype(np.int32), "key": pa.array([k.tobytes() for k in keys], pa.binary()), "a": ids, "comp": comps})
 
 
-def _check_block(floor: float, num: int, den: int):
-    """Of a block's candidates those whose sets are similar enough, without links inside what the block has linked already."""
+def _check_block(floor: float, num: int, den: int, crowded: bool = False):
+    """Of a block's candidates those whose sets are similar enough, without links inside what the block has linked already.
+
+    crowded: the rows are of two blocks of a crowded region (_SIDES), without a window.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("tree", "ascending"), ("key", "ascending"), ("a", "ascending")])
@@ -158,7 +200,11 @@ def _check_block(floor: float, num: int, den: int):
         data, offsets = buffers(table.column("shingles"))
         sets, size = data.view(np.uint64), np.diff(offsets) // 8
         start = offsets[:-1] // 8
-        a, b, _ = _pairs(buffers(table.column("key"))[0].reshape(-1, HASHES), ids, parent, table.column("tree").to_numpy(), floor, False)
+        keys = buffers(table.column("key"))[0].reshape(-1, HASHES)
+        if crowded:
+            a, b = _across(keys, parent, table.column("side").to_numpy(), table.column("tree")[0].as_py(), floor)
+        else:
+            a, b, _ = _pairs(keys, ids, parent, table.column("tree").to_numpy(), floor, False)
         by_row = np.argsort(b, kind="stable")
         a, b = a[by_row], b[by_row]
         comp, u, v = parent.copy(), [], []
@@ -166,19 +212,21 @@ def _check_block(floor: float, num: int, den: int):
             others = a[np.searchsorted(b, row) : np.searchsorted(b, row, side="right")]
             others = others[comp[others] != comp[row]]
             low, high = np.minimum(size[others], size[row]), np.maximum(size[others], size[row])
-            others = others[den * low >= num * high]
-            if not len(others):
-                continue
+            rest = others[den * low >= num * high]
             mine = sets[start[row] : start[row] + size[row]]
-            cuts = np.cumsum(np.append(0, size[others]))
-            theirs = sets[np.repeat(start[others] - cuts[:-1], size[others]) + np.arange(cuts[-1])]
-            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-            common = np.add.reduceat((mine[at] == theirs).astype(np.int64), cuts[:-1])
-            for other in others[den * common >= num * (size[row] + size[others] - common)]:
-                if comp[other] != comp[row]:
-                    u.append(ids[other])
-                    v.append(ids[row])
-                    comp[comp == comp[other]] = comp[row]
+            while len(rest):
+                n = max(1, int(np.searchsorted(np.cumsum(size[rest]), _AT_ONCE)))
+                others, rest = rest[:n], rest[n:]
+                cuts = np.cumsum(np.append(0, size[others]))
+                theirs = sets[np.repeat(start[others] - cuts[:-1], size[others]) + np.arange(cuts[-1])]
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                common = np.add.reduceat((mine[at] == theirs).astype(np.int64), cuts[:-1])
+                for other in others[den * common >= num * (size[row] + size[others] - common)]:
+                    if comp[other] != comp[row]:
+                        u.append(ids[other])
+                        v.append(ids[row])
+                        comp[comp == comp[other]] = comp[row]
+                rest = rest[comp[rest] != comp[row]]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
@@ -267,6 +315,42 @@ def _candidates(forest: DataFrame, floor: float, one_each: bool, name: str) -> D
     return done
 
 
+def _listed(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= LISTED else df
+
+
+def _crowded(forest: DataFrame, floor: float) -> DataFrame | None:
+    """Rows (_SIDES) of any two blocks of a crowded region that have candidates of different components; None without such a region."""
+    spark, region = forest.sparkSession, ["tree", "prefix"]
+    rows = forest.withColumn("prefix", F.substring("key", 1, DEPTH))
+    regions = rows.groupBy(*region).agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    regions = materialize(regions.where((F.col("n") > WINDOW + 1) & (F.col("low") < F.col("high"))).select(*region), "nd-regions", few_files(spark))
+    if regions.isEmpty():
+        drop(regions)
+        return None
+    inside = materialize(rows.join(_listed(regions), region), "nd-crowded")
+    cells = materialize(inside.groupBy(*region, "comp").agg(F.count("*").alias("m")), "nd-cells", few_files(spark))
+    parts = lambda rows: F.ceil(F.col(rows) / SIDE).cast("int")
+    large = cells.where(F.col("m") > SIDE).select(*region, "comp", parts("m").alias("own"))
+    small = cells.where(F.col("m") <= SIDE).groupBy(*region).agg(F.sum("m").alias("s")).select(*region, parts("s").alias("shared"))
+    # A block is the component it is for (or none) and a number.
+    dealt = inside.join(_listed(large), [*region, "comp"], "left").join(_listed(small), region, "left")
+    block = F.struct(F.when(F.col("own").isNotNull(), F.col("comp")).alias("owner"), F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("id"), F.col("own"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("shared"))).cast("int").alias("number"))
+    dealt = dealt.select(*region, "key", "id", "comp", F.to_json(block).alias("block"))
+    numbers = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    blocks = large.select(*region, F.col("comp").alias("owner"), numbers("own").alias("number")).union(small.select(*region, F.lit(None).cast("long").alias("owner"), numbers("shared").alias("number")))
+    blocks = blocks.select(*region, "owner", F.to_json(F.struct("owner", "number")).alias("block"))
+    x, y = (blocks.select(*region, F.col("owner").alias(f"owner_{k}"), F.col("block").alias(f"block_{k}")) for k in "xy")
+    twos = x.join(y, region).where((F.col("block_x") <= F.col("block_y")) & F.coalesce(F.col("owner_x") != F.col("owner_y"), F.lit(True)))
+    twos = materialize(twos.select(*region, "block_x", "block_y", F.monotonically_increasing_id().alias("two")), "nd-twos", few_files(spark))
+    sides = twos.select(*region, "two", F.col("block_x").alias("block"), F.lit(0).alias("side")).union(twos.where("block_x < block_y").select(*region, "two", F.col("block_y").alias("block"), F.lit(1).alias("side")))
+    met = dealt.join(sides, [*region, "block"]).select(F.col("two").alias("block"), "side", "tree", "key", F.col("id").alias("a"), "comp")
+    done = materialize(met.groupBy("block").applyInArrow(_across_pass(floor), _SIDES), "nd-pairs", few_files(spark))
+    for table in (regions, inside, cells, twos):
+        drop(table)
+    return done
+
+
 def _confirm(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,35 +395,45 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
         found = docs.join(rows.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2", "id")).alias("w")), "doc_id")
         return materialize(found.mapInArrow(_pick(width), "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")), "nd-shingles")
 
-    def confirmed(found: DataFrame, one_each: bool) -> DataFrame:
+    def confirmed(found: DataFrame, one_each: bool, crowded: bool = False) -> DataFrame:
         shingles = sets_of(found.selectExpr("a as id").union(found.selectExpr("b as id")) if one_each else found.selectExpr("a as id"))
         if one_each:
             out = _links(found, shingles, num, den, "nd-links")
         else:
-            blocks = found.join(shingles.withColumnRenamed("id", "a"), "a").select("block", "tree", "key", "a", "comp", "shingles")
-            out = materialize(blocks.groupBy("block").applyInArrow(_check_block(floor, num, den), "u long, v long"), "nd-links", few_files(spark))
+            blocks = found.join(shingles.withColumnRenamed("id", "a"), "a").select(*found.columns, "shingles")
+            out = materialize(blocks.groupBy("block").applyInArrow(_check_block(floor, num, den, crowded), "u long, v long"), "nd-links", few_files(spark))
         drop(shingles)
         used.append(out)
         return out
 
     comp = ids.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     links, more = None, True
+    labels = lambda: ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
+
+    def joined(found: DataFrame) -> DataFrame:
+        nonlocal links
+        links = links.union(found) if links is not None else found
+        used.append(materialize(components(links, "nd-cc", few_files(spark)), "nd-comp", few_files(spark)))
+        return used[-1]
+
     for turn in range(ROUNDS + 1):
         one_each = more and turn < ROUNDS
-        labelled = ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
-        pairs = _candidates(forest_of(labelled), floor, one_each, "nd-pairs")
+        pairs = _candidates(forest_of(labels()), floor, one_each, "nd-pairs")
         used.append(pairs)
         n = pairs.count()
         found = confirmed(pairs, one_each) if n else None
         new = found.count() if n else 0
         if new:
-            links = links.union(found) if links is not None else found
-            comp = materialize(components(links, "nd-cc", few_files(spark)), "nd-comp", few_files(spark))
-            used.append(comp)
+            comp = joined(found)
         if not one_each or not n:
             break
         more = new > FEW * n
         spark.sparkContext._jvm.System.gc()  # lets Spark delete the round's shuffle files
+    rest = _crowded(forest_of(labels()), floor)
+    if rest is not None:
+        used.append(rest)
+        if not rest.isEmpty():
+            comp = joined(confirmed(rest, False, True))
     by_set = ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "first_id", F.coalesce("component", "id").alias("comp"))
     smallest = by_set.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_set = by_set.join(smallest, "comp").select("k1", "k2", "component_id")

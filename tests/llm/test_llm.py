@@ -257,6 +257,24 @@ def test_near_duplicates(spark, monkeypatch, rounds):
     assert sorted((r["component_id"], r["kept"]) for r in odd if r["doc_id"] is not None) == [(3, True)] * 3 + [(9, True)] and len(odd) == 5
 
 
+def test_near_duplicates_of_a_crowded_region(spark, monkeypatch):
+    """Copies that only their original links (0.87 and more of it, about 0.76 of each other), many more than the windows reach."""
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(neardup, "WINDOW", 1)
+    monkeypatch.setattr(neardup, "SIDE", 16, raising=False)
+    cloudpickle.register_pickle_by_value(neardup)  # so that workers see the small window
+    texts = [edited(prose(300, 1), 4, 1000 + i) for i in range(150)]
+    texts.insert(75, prose(300, 1))
+    want = brute_near(texts)
+    assert len({c for _, c in want}) < 20
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(neardup)
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_mixing(spark):
     sizes = [("b", 10), ("a", 400), ("a", 50), (None, 7), ("c", 0), ("B", 1000)] + [("d", k % 13) for k in range(300)] + [("d", 5)] * 2
     texts = [" ".join(["w"] * n) if n else None for _, n in sizes]
