@@ -189,7 +189,7 @@ def _learn_weights(shared, code, least: int):
             for batch in _chunks(whole, CHUNK_BYTES):
                 bits = Bits(*buffers(batch.column("word")), code)
                 learned = batch.column("learned").to_numpy()
-                share = np.minimum(learned, 1000).astype(np.float64)
+                share = learned.astype(np.float64)
                 c = share[bits.word]
                 x, total = np.empty((len(bits.y), PREDICTORS)), []
                 for k in range(PREDICTORS):

@@ -350,6 +350,20 @@ def test_context_mixing(spark, monkeypatch, hot):
     assert lm.score(docs_of(spark, ["a b"]), F.lit(False)).first()["train_tokens"] == 0
 
 
+def test_weights_learn_from_true_counts():
+    """A word's count is not cut off: the same tables and words, with a count of 1000 and of 100,000 for the frequent one."""
+    code = lm.huffman(np.ones(256))
+    shared = type("Shared", (), {"value": np.full((lm.TABLE, 2), 50, np.float32)})
+
+    def learned(n):
+        words = pa.RecordBatch.from_arrays([pa.array([b"often", b"seldom"]), pa.array([n, 1000])], ["word", "learned"])
+        return next(lm._learn_weights(shared, code, 1)(iter([words]))).to_pylist()[0]
+
+    few, many = learned(1000), learned(100_000)
+    assert (few["seen"], many["seen"]) == (2000, 101_000)
+    assert sum(many["cells"]) > 20 * sum(few["cells"])
+
+
 def test_mixer_is_a_distribution():
     data = np.frombuffer("".join(VOCAB).encode(), np.uint8)
     model = lm.Mixer(np.random.default_rng(0).integers(0, 9, (lm.TABLE, 2)).astype(np.float32), np.tile(lm._START, (lm.GATES, 1)), np.zeros((lm.GATES * lm.CELLS, 2)), lm.huffman(np.bincount(data, minlength=256)))
