@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphzone.llm import decontam, langid, mixing, neardup, tokens
-from glyphzone.llm.common import materialize
+from glyphzone.llm.common import materialize, new_path
 from glyphzone.llm.queries import END_ID, table, vocabulary_file
 
 
@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token files; gives each document's place, length and checksum in them."""
-    return tokens.tokenize(docs, vocabulary_file(), END_ID)
+    """Writes token files, which stay in a folder corpus-tokens-* of the shared one; gives each document's place, length and checksum in them."""
+    return tokens.tokenize(docs, vocabulary_file(), END_ID, keep=new_path(spark, "corpus-tokens"))
 
 
 STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("mixing", mix), ("tokens", tokenize)]

@@ -321,11 +321,17 @@ def read_tokens(manifest: DataFrame, uri: str) -> DataFrame:
     return manifest.select("name", "base").repartition(n, "name").mapInArrow(_read(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenize(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Writes the shards into the shared folder and reads them back: (doc_id, start, n_tokens, ids_crc32)."""
-    uri = new_path(documents.sparkSession, "tokens")
+def tokenize(documents: DataFrame, tokenizer: str, end_id: int, keep: str | None = None) -> DataFrame:
+    """Writes the shards into the shared folder and reads them back: (doc_id, start, n_tokens, ids_crc32).
+
+    keep: a folder in which the shards stay, with their manifest as a Parquet table `manifest`; without, they are removed.
+    """
+    uri = keep or new_path(documents.sparkSession, "tokens")
     manifest = write_tokens(documents, tokenizer, end_id, uri)
     out = materialize(read_tokens(manifest, uri), "tok-out")
+    if keep:
+        manifest.write.parquet(f"{uri}/manifest")
     drop(manifest)
-    remove(documents.sparkSession, uri)
+    if not keep:
+        remove(documents.sparkSession, uri)
     return out

@@ -329,6 +329,21 @@ def test_tokens(spark):
     assert tokens.tokenize(docs_of(spark, []), vocabulary_file(), 1).count() == 0
 
 
+def test_pipeline_keeps_token_files(spark):
+    from pathlib import Path
+
+    import corpus_pipeline
+    from glyphzone.llm.common import shared_dir
+
+    top = Path(shared_dir(spark).removeprefix("file://"), "glyphzone")
+    before = {*top.glob("corpus-tokens-*")}
+    out = corpus_pipeline.tokenize(spark, docs_of(spark, [prose(50, 1), None, "a b"] * 3), "")
+    (folder,) = {*top.glob("corpus-tokens-*")} - before
+    uri = f"file://{folder}"
+    again = tokens.read_tokens(spark.read.parquet(f"{uri}/manifest"), uri)
+    assert sorted(again.collect()) == sorted(out.collect()) and out.count() == 9
+
+
 @pytest.mark.parametrize("hot", [1 << 19, 16])
 def test_context_mixing(spark, monkeypatch, hot):
     monkeypatch.setattr(lm, "HOT", hot)
