@@ -62,6 +62,28 @@ def test_parse_errors_and_text(spark):
     assert names["DEU"] == names["D"] == "Germany" and len(names) > 240
 
 
+def test_damaged_recovery_by_brute_force(spark, tmp_path):
+    """Every zone is searched; a valid number is one that an inserted character makes of the damaged line."""
+    from glyphzone.functions.layouts import ALPHABET
+    from glyphzone.operators.scan import digit_of
+    from glyphzone.plans.queries import people, read
+    from glyphzone.sources.identities import zones
+
+    read(spark, "/root/testdata/sf0.001", "customer").limit(12).write.parquet(f"{tmp_path}/customer.parquet")
+    lines = {r["k"]: r["zone"].split("\n")[1] for r in zones(people(spark, str(tmp_path)), "td3").select("k", "zone").collect()}
+    got = {r["k"]: r for r in QUERIES["damaged_recovery"](spark, str(tmp_path)).collect()}
+    assert got.keys() == lines.keys() and len(got) == 12
+    for k, line in lines.items():
+        at = 1 + k % 7
+        hurt = line[:at] + line[at + 1 :]
+        whole = [hurt[:i] + c + hurt[i:] for i in range(44) for c in ALPHABET]
+        fits = {s[:9].rstrip("<") for s in whole if str(digit_of(s[:9])) == s[9] and str(digit_of(s[13:19])) == s[19] and str(digit_of(s[21:27])) == s[27] and str(digit_of(s[:10] + s[13:20] + s[21:43])) == s[43]}
+        if line[9] == "<":  # an overflow number, whose check digit is not in its place
+            continue
+        assert line[:9].rstrip("<") in fits
+        assert not got[k]["valid"] or got[k]["document_number"] in fits, k
+
+
 SLOW = {"damaged_recovery"}
 
 
