@@ -17,7 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one with the smallest doc_id (and one of equal rows); null ids stay."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, num=80, den=100).where("kept").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).withColumn("glyphzone_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "glyphzone_hash"]).drop("glyphzone_hash")
     return one.unionByName(docs.where("doc_id is null"))
 

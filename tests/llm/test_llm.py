@@ -329,6 +329,16 @@ def test_tokens(spark):
     assert tokens.tokenize(docs_of(spark, []), vocabulary_file(), 1).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    import corpus_pipeline
+
+    words = prose(200, 3).split()
+    texts = [" ".join(words), " ".join(words[:-18] + prose(18, 4).split()), prose(200, 5)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    assert 0.8 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), "").collect()) == [0, 2]
+
+
 def test_pipeline_keeps_token_files(spark):
     from pathlib import Path
 
