@@ -5,8 +5,8 @@ the differences to it in the number of bits that PERCENTILE of them need; the ot
 there, and their position and high bits in a list behind. An index holds where each block starts, so that any block
 is read by itself.
 
-Layout, little-endian: b"GZTOKEN1", then u32 counts of documents, ids, blocks and u64 bytes of block data;
-doc_ids as i64, document lengths as u32, block starts as u64 (one more than blocks), block data.
+Layout, little-endian: b"GZTOKEN2", then u32 counts of documents, of documents without a doc_id (the last ones), ids,
+blocks and u64 bytes of block data; doc_ids as i64 (0 without), document lengths as u32, block starts as u64 (one more than blocks), block data.
 Block: u32 minimum, u16 ids, u8 width, u8 bytes of a high part (2 or 4), u16 exceptions; packed low bits (eight ids in `width` bytes, the
 first in the lowest bits); exception positions as u16; their high parts.
 """
@@ -14,6 +14,7 @@ first in the lowest bits); exception positions as u16; their high parts.
 from __future__ import annotations
 
 import functools
+import json
 import struct
 import uuid
 import zlib
@@ -30,7 +31,7 @@ from .common import LOWER, buffers, drop, hash_spans, materialize, new_path, rem
 BLOCK, PERCENTILE = 1024, 90
 #: A shard is closed at the end of the document that reaches so many ids.
 SHARD_IDS = 1 << 20
-_MAGIC, _HEAD, _BLOCK_HEAD = b"GZTOKEN1", struct.Struct("<IIIQ"), struct.Struct("<IHBBH")
+_MAGIC, _HEAD, _BLOCK_HEAD = b"GZTOKEN2", struct.Struct("<IIIIQ"), struct.Struct("<IHBBH")
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
@@ -111,9 +112,10 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     return out + np.repeat(low, n).astype(np.uint32)
 
 
-def write_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+def write_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nameless: int = 0) -> bytes:
+    """nameless: how many documents, the last ones, have no doc_id."""
     blocks, starts = encode_blocks(ids)
-    return b"".join((_MAGIC, _HEAD.pack(len(doc_ids), len(ids), len(blocks), int(starts[-1])), doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), starts.astype("<u8").tobytes(), *blocks))
+    return b"".join((_MAGIC, _HEAD.pack(len(doc_ids), nameless, len(ids), len(blocks), int(starts[-1])), doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), starts.astype("<u8").tobytes(), *blocks))
 
 
 class Shard:
@@ -122,7 +124,7 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:8] != _MAGIC:
             raise ValueError("not a token shard")
-        docs, self.n_ids, blocks, size = _HEAD.unpack_from(data, 8)
+        docs, self.nameless, self.n_ids, blocks, size = _HEAD.unpack_from(data, 8)
         at = 8 + _HEAD.size
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
         self.lengths = np.frombuffer(data, "<u4", docs, at + 8 * docs)
@@ -150,13 +152,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-@functools.cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 #: Bytes by what the pre-tokenizer takes together: 0 white space, 1 letters, 2 digits (one at a time), 3 other ASCII, 4 left to the tokenizer.
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[:128] = 3
@@ -165,25 +160,53 @@ _CLASS[48:58] = 2
 _CLASS[65:91] = _CLASS[97:123] = 1
 _CLASS[ord("'")] = 4
 
+#: What a tokenizer file has to say for its texts to be parted here (fixed values of the file format).
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PARTED = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
 
 class Encoder:
-    """Encodes texts piece by piece, each distinct piece once.
+    """Encodes texts piece by piece, each distinct piece once; what was learned stays for the next texts.
 
-    Right for tokenizers that lower-case, drop white space and part runs of letters, single digits and runs of other
-    characters, as word_bpe_49k.json does. ASCII and the letters U+00C0 to U+00FF are parted here; a run without white
-    space that holds anything else, an apostrophe or "<|" goes to the tokenizer whole and as it is. What each piece
-    gives comes from the tokenizer; LIMIT pieces are remembered.
+    Tokenizers that lower-case, drop white space and part runs of letters, single digits and runs of other characters
+    (word_bpe_49k.json is one) have ASCII and the letters U+00C0 to U+00FF parted here, and such a piece goes to the
+    tokenizer's model by itself; a run without white space that holds anything else, an apostrophe or "<|" goes to the
+    tokenizer whole and as it is. Any other tokenizer gets whole texts. LIMIT pieces or IDS ids are remembered; beyond, only
+    those of the texts at hand stay.
     """
 
-    LIMIT, TOGETHER = 600_000, 4096
+    LIMIT, IDS, TOGETHER = 1_000_000, 8_000_000, 4096
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.known: dict[int, np.ndarray] = {}
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_piece = self._parts(self.tokenizer)
+        self.hashes = np.zeros(0, np.uint64)
+        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    @staticmethod
+    def _parts(tokenizer) -> bool:
+        if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None or tokenizer.post_processor is not None:
+            return False
+        state = [json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+        added = (t.content for t in tokenizer.get_added_tokens_decoder().values())
+        return state == [_NORMAL, _PARTED] and all(x.startswith("<|") for x in added)
 
     @staticmethod
-    def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes with simple pieces lower-cased, starts, ends)."""
+    def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes with simple pieces lower-cased, starts, ends, which pieces the tokenizer has to part)."""
         n = len(data)
         kind, low = _CLASS[data], LOWER[data]
         begins = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -210,64 +233,99 @@ class Encoder:
         change |= fresh
         start = np.flatnonzero(change[:-1] & (kind > 0))
         end = np.flatnonzero(change[1:] & (kind > 0)) + 1
-        return low, start, end
-
-    def _learn(self, new: list[tuple[int, bytes]]) -> None:
-        for i in range(0, len(new), self.TOGETHER):
-            part = new[i : i + self.TOGETHER]
-            found = self.tokenizer.encode([x.decode() for _, x in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            owner = np.array([-1 if x is None else x for x in found.word_ids], np.int64)
+        return low, start, end, kind[start] == 4
+
+    def _ids_of(self, pieces: list[bytes], odd: np.ndarray) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(pieces)
+        tokenize = self.tokenizer.model.tokenize
+        for k in np.flatnonzero(~odd).tolist():
+            x = pieces[k].decode("latin-1")
+            out[k] = [t.id for t in tokenize(x if x.isascii() and x.isprintable() else x.translate(_LETTERS))]
+        rest = np.flatnonzero(odd)
+        for i in range(0, len(rest), self.TOGETHER):
+            part = rest[i : i + self.TOGETHER]
+            found = self.tokenizer.encode([pieces[k].decode() for k in part], is_pretokenized=True, add_special_tokens=False)
+            ids, owner = found.ids, np.array([-1 if x is None else x for x in found.word_ids], np.int64)
             cuts = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
-            for j, (h, _) in enumerate(part):
-                self.known[h] = ids[cuts[j] : cuts[j + 1]].copy()
+            for j, k in enumerate(part.tolist()):
+                out[k] = ids[cuts[j] : cuts[j + 1]]
+        return out
+
+    def _learn(self, hashes: np.ndarray, places: np.ndarray, found: list[list[int]]) -> None:
+        size = np.array([len(x) for x in found], np.int32)
+        at = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+        self.flat = np.concatenate((self.flat, np.array([i for x in found for i in x], np.uint32)))
+        self.hashes, self.at, self.size = np.insert(self.hashes, places, hashes), np.insert(self.at, places, at), np.insert(self.size, places, size)
+
+    def _forget(self, but: np.ndarray) -> None:
+        sizes, at = self.size[but], self.at[but]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.flat = self.flat[np.repeat(at - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.hashes, self.at, self.size = self.hashes[but], ends - sizes, sizes
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        found = self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], add_special_tokens=False)
+        lengths = np.array([len(x.ids) + 1 for x in found], np.int64)
+        return np.array([i for x in found for i in (*x.ids, end_id)], np.uint32), lengths
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text, the end id included)."""
-        low, start, end = self.pieces(data, offsets)
+        if not self.by_piece:
+            return self._whole(data, offsets, end_id)
+        low, start, end, odd = self.pieces(data, offsets)
         first_of = np.searchsorted(start, offsets)
         distinct, first, back = np.unique(hash_spans(low, start, end), return_index=True, return_inverse=True)
-        hashes = distinct.tolist()
-        missing = [k for k, h in enumerate(hashes) if h not in self.known]
-        if len(self.known) + len(missing) > self.LIMIT:
-            self.known.clear()
-            missing = range(len(hashes))
-        self._learn([(hashes[k], low[start[first[k]] : end[first[k]]].tobytes()) for k in missing])
-        pieces = [self.known[h] for h in hashes]
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        flat, at = np.concatenate([*pieces, np.array([end_id], np.uint32)]), np.cumsum(np.append(0, sizes))
+        places = np.searchsorted(self.hashes, distinct)
+        known = self.hashes[np.minimum(places, len(self.hashes) - 1)] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        if len(self.hashes) + (~known).sum() > self.LIMIT or len(self.flat) > self.IDS:
+            self._forget(places[known])
+            places = np.searchsorted(self.hashes, distinct)
+        new = np.flatnonzero(~known)
+        if len(new):
+            a, b, raw = start[first[new]].tolist(), end[first[new]].tolist(), low.tobytes()
+            self._learn(distinct[new], places[new], self._ids_of([raw[i:j] for i, j in zip(a, b, strict=True)], odd[first[new]]))
+            places = np.searchsorted(self.hashes, distinct)
         # Every piece, and behind each text's last the end id: where it is in flat, and its length.
-        n_texts = len(offsets) - 1
+        flat, n_texts = np.append(self.flat, np.uint32(end_id)), len(offsets) - 1
         where = np.arange(len(back)) + np.repeat(np.arange(n_texts), np.diff(first_of))
-        source, size = np.full(len(back) + n_texts, at[-1]), np.ones(len(back) + n_texts, np.int64)
-        source[where], size[where] = at[back], sizes[back]
+        source, size = np.full(len(back) + n_texts, len(self.flat)), np.ones(len(back) + n_texts, np.int64)
+        source[where], size[where] = self.at[places][back], self.size[places][back]
         stop = np.cumsum(size)
         ids = flat[np.repeat(source - (stop - size), size) + np.arange(int(stop[-1]) if n_texts else 0)]
         ends = stop[first_of[1:] + np.arange(n_texts)]
         return ids, np.diff(np.append(0, ends))
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each tokenizer and process: a Python worker keeps it from task to task."""
+    return Encoder(path)
+
+
 def _write(uri: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, encode = TaskContext.get().partitionId(), 0, Encoder(tokenizer)
+        part, number, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         fs, folder = filesystem(uri)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
 
         def close():
-            docs, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            docs, lengths, ids = (np.concatenate([x[k] for x in held]) for k in range(3))
+            nameless = sum(x[3] for x in held)
             held.clear()
             # A name of its own for each attempt: the manifest lists those of the attempts that counted.
             name = f"part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.gztok"
             with fs.open_output_stream(str(PurePosixPath(folder, name))) as f:
-                f.write(write_shard(docs, lengths, ids))
+                f.write(write_shard(docs, lengths, ids, nameless))
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([name]), pa.array([len(docs)]), pa.array([len(ids)])], ["part", "number", "name", "n_docs", "n_ids"])
 
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 ids, lengths = encode(*buffers(batch.column("text")), end_id)
-                held.append((batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), lengths, ids))
+                names = batch.column("doc_id")
+                held.append((names.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), lengths, ids, names.null_count))
                 if sum(len(x[2]) for x in held) >= SHARD_IDS:
                     yield close()
                     number += 1
@@ -288,7 +346,8 @@ def _read(uri: str):
                 ends = np.cumsum(lengths)
                 view = memoryview(ids.tobytes())
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids.astype(np.int64)), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                nameless = np.arange(len(lengths)) >= len(lengths) - shard.nameless
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids.astype(np.int64), mask=nameless), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -296,13 +355,13 @@ def _read(uri: str):
 def write_tokens(documents: DataFrame, tokenizer: str, end_id: int, uri: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all texts' ids as shards in the folder `uri`; gives its manifest: name, n_docs, n_ids and base (ids in all shards before).
 
-    Documents go in ascending doc_id order (equal ones by a hash of their text, null last as id -1). A null text is empty:
+    Documents go in ascending doc_id order (equal ones by a hash of their text, null last). A null text is empty:
     the end id alone. An empty table gives no shard. The folder must be one that all executors share.
     """
     spark = documents.sparkSession
     fs, folder = filesystem(uri)
     fs.create_dir(folder, recursive=True)
-    docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(id_col).cast("long").isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.repartitionByRange(n, "no_id", "doc_id", "tie").sortWithinPartitions("no_id", "doc_id", "tie").select("doc_id", "text")
     made = materialize(rows.mapInArrow(_write(uri, tokenizer, end_id), "part long, number long, name string, n_docs long, n_ids long"), "tok-manifest")

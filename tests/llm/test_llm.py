@@ -327,6 +327,33 @@ def test_tokens(spark):
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), i
         start += len(ids)
     assert tokens.tokenize(docs_of(spark, []), vocabulary_file(), 1).count() == 0
+    named = tokens.tokenize(docs_of(spark, ["x y", "z", None], ids=[None, -1, None]), vocabulary_file(), 1).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in named), key=str) == [(-1, 2), (None, 1), (None, 3)]
+
+
+def test_tokens_of_other_tokenizers(spark):
+    """A file whose texts cannot be parted here gets whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["It's A test\n\n of  é𝄞", None, "", "12 ab<|endoftext|>"]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokens.tokenize(docs_of(spark, texts), path, 1).collect()}
+    for i, x in enumerate(texts):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_encoder_forgets_and_learns_again():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_file())
+    small = type("Small", (tokens.Encoder,), {"LIMIT": 40, "IDS": 200})(vocabulary_file())
+    for i in range(12):
+        texts = [prose(30, i), "", "It's é ÀB " + prose(20, i % 3)]
+        ids, lengths = small(*buffers(pa.array(texts)), 1)
+        assert ids.tolist() == [k for x in texts for k in (*t.encode(x, add_special_tokens=False).ids, 1)] and lengths.sum() == len(ids)
 
 
 def test_pipeline_drops_near_copies_from_four_fifths(spark):
