@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,16 @@ def components(edges: DataFrame, name: str = "components", files: int = 0) -> Da
             break
         before = state
     return now.selectExpr("u as node", "v as component").union(now.selectExpr("v as node", "v as component").distinct())
+
+
+def smallest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each node's smallest node reachable, from labels so far and more edges (a, b): minima along edges and pointer jumping."""
+    a, b, parent = parent[a], parent[b], parent.copy()
+    while True:
+        low = np.minimum(parent[a], parent[b])
+        np.minimum.at(parent, a, low)
+        np.minimum.at(parent, b, low)
+        jumped = parent[parent]
+        if np.array_equal(jumped, parent) and np.array_equal(parent[a], parent[b]):
+            return parent
+        parent = jumped

@@ -1,22 +1,22 @@
 """MinHash near-duplicates by an LSH forest.
 
-Each text becomes the set of its 5-word shingles, the set a signature of 64 minimum hashes. The forest keeps the
-signatures in 16 sorted orders (order t starts with value 4t of the signature). Two sets of similarity s agree in
-the first four values of an order with probability s**4; neighbours by longest common prefix of at least four are
-candidates, so at 0.85 all orders miss a pair with probability (1 - 0.85**4)**16 = 7e-6. Depth adapts to the
-region: where few signatures share a prefix of four, all of them are compared; where many do, each is compared first with
-the WINDOW before it in sorted order, which are those that share the longest prefixes, and at the end with all others of
-the region that are still of another component. Every candidate is confirmed on full sets. The whole order is range-partitioned, so that a group of any size is dealt over many tasks, and what
-meets at the border of two partitions is compared in a step of its own.
-
-Rounds (one here) keep confirmation small: each confirms one candidate for each document, of another component than its own, and
-joins components. Then all candidates that are left between components are confirmed in blocks: a block is a piece of a
-sorted order with the sets of those in it that have candidates there, so rows grow with documents, not with pairs. A
-block links components as it goes and passes over pairs of one component.
-
-What is left are regions of more rows than the window that hold several components. Each is dealt into blocks, a large
-component into blocks of its own, and every two blocks that may hold two components are compared row by row: no set's
-comparisons end at a fixed count. The work grows with the square of what such a region holds outside its largest component.
+Each text becomes the set of its 5-word shingles, the set a signature of 64 minimum hashes (a byte each). The forest keeps
+the signatures in 16 sorted orders (order t starts with value 4t of the signature). Two sets of similarity s agree in the
+first four values of an order with probability s**4, so at 0.85 all orders miss a pair with probability
+(1 - 0.85**4)**16 = 7e-6. Sets that agree so far in an order are a region of it; most sets are alone in theirs and are not
+sorted at all. Depth adapts to the region, in two steps:
+
+1. Neighbours. Each set of a region gets one candidate among the WINDOW sets on each side in sorted order, which are those
+   that share the longest prefixes; it is confirmed on full sets, and links join components. The orders are
+   range-partitioned, so a region of any size is dealt over many tasks.
+2. The rest. What is left are regions with several components. In these all pairs of different components are compared, each
+   in the first order in which it shares a region: first by signatures, then, of sets that have candidates, by full sets.
+   Regions of up to SIDE rows are packed together; a larger one is dealt into blocks, a large component into blocks of its
+   own, and any two blocks that may hold two components are a task. No set's comparisons end at a fixed count, whatever the
+   windows or partitions were. The work grows with the square of what a region holds outside its largest component, at
+   about 0.1 microseconds a pair.
+
+A task holds at most two blocks, and of full sets at most two pieces of PIECE bytes (or two sets).
 """
 
 from __future__ import annotations
@@ -30,26 +30,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, buffers, drop, few_files, materialize, mix, signed, slices
-from .components import components
+from .components import components, smallest
 
 HASHES, DEPTH = 64, 4
 ORDERS = HASHES // DEPTH
-#: Neighbours in sorted order that a signature is compared with, before the rest of a region that has more.
+#: Neighbours in sorted order, on each side, among which a set finds its first candidate.
 WINDOW = 64
-#: Rows of a crowded region in a block; a component with more has blocks of its own.
-SIDE = 256
-#: Crowded regions, or large components in them, up to which their list is broadcast.
+#: Rows of a region that are compared in one task; a component of more has blocks of its own.
+SIDE = 1024
+#: Bytes of full sets in a piece of a task.
+PIECE = 16 << 20
+#: Rows up to which a list of regions is broadcast.
 LISTED = 200_000
 #: Values of sets that are compared with one set at a time.
 _AT_ONCE = 1 << 20
+#: Rows of a region from which on its pairs are compared as a matrix, and columns of that matrix at a time.
+_MATRIX, _COLUMNS = 64, 2048
 #: Candidates whose signatures agree in a share this far below the threshold are not confirmed: 5.6 standard deviations at 0.85.
 MARGIN = 0.25
-#: Agreeing values of 64 from which on a first round takes the candidate of the smallest component.
+#: Agreeing values of 64 from which on a set takes the candidate of the smallest component.
 SURE = 56
-#: Rounds of one candidate for each document; when a round links less than this share of its candidates, the rest follows at once.
-ROUNDS, FEW = 1, 0.02
-#: Rows of a sorted order in a block.
-BLOCK = 512
 #: Values of a set that are hashed at a time.
 _BLOCK = 8192
 
@@ -103,22 +103,23 @@ def _signatures(width: int):
             for batch in slices(whole, "text"):
                 sets = shingle_sets(*buffers(batch.column("text")), width)
                 keys = np.array([_set_key(s) for s in sets], np.uint64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(keys[:, 0].copy())), pa.array(signed(keys[:, 1].copy())), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "n_shingles", "k1", "k2", "sig"],
-                )
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), sizes, pa.array(signed(keys[:, 0].copy())), pa.array(signed(keys[:, 1].copy())), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "hash", "n_shingles", "k1", "k2", "sig"])
 
     return run
 
 
-def _pairs(keys: np.ndarray, ids: np.ndarray, comps: np.ndarray, order: np.ndarray, floor: float, one_each: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates of different components among rows in sorted order: positions a and b, and agreeing values.
+def _sigs(column: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(buffers(column)[0].reshape(-1, HASHES))
 
-    one_each: for each row one candidate, of those that agree in most values (SURE) that of the smallest component, else
-    the one that agrees in most.
+
+def _neighbours(keys: np.ndarray, comps: np.ndarray, order: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in sorted order one candidate of another component each: positions a and b, and agreeing values.
+
+    Of neighbours that agree in SURE values or more it is that of the smallest component, else the one that agrees in most.
     """
     prefix = keys[:, :DEPTH].copy().view(np.uint32).ravel().astype(np.int64) + (order.astype(np.int64) << 32)
-    n, found = len(ids), []
+    n = len(comps)
     best, who, least = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for w in range(1, min(WINDOW, n - 1) + 1):
         near = np.flatnonzero(prefix[w:] == prefix[:-w])
@@ -128,151 +129,47 @@ def _pairs(keys: np.ndarray, ids: np.ndarray, comps: np.ndarray, order: np.ndarr
         agree = (keys[near + w] == keys[near]).sum(axis=1)
         ok = agree >= floor
         near, agree = near[ok], agree[ok]
-        if one_each:
-            level = np.minimum(agree, SURE)
-            for mine, other in ((near + w, near), (near, near + w)):
-                better = (level > best[mine]) | (level == SURE) & (best[mine] == SURE) & (comps[other] < least[mine])
-                to = mine[better]
-                best[to], who[to], least[to] = level[better], other[better], comps[other[better]]
-        else:
-            found.append((near, near + w, agree))
-    if one_each:
-        mine = np.flatnonzero(best >= 0)
-        return mine, who[mine], best[mine]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _members(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each block of sorted rows (b: the later one of a candidate pair), the rows that have candidates in it."""
-    late = np.maximum(a, b) // BLOCK
-    for k in np.unique(late):
-        here = late == k
-        yield int(k), np.unique(np.concatenate((a[here], b[here])))
-
-
-def _across(keys: np.ndarray, comps: np.ndarray, side: np.ndarray, tree: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of different components between two sides (or inside one), but for those that share a prefix in an order before."""
-    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-    before = np.ascontiguousarray(keys).view(np.uint32)[:, ORDERS - tree :]
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in left:
-        others = right[right > i] if side[i] == side.max() else right
-        others = others[comps[others] != comps[i]]
-        others = others[(keys[others] == keys[i]).sum(axis=1) >= floor]
-        others = others[~(before[others] == before[i]).any(axis=1)]
-        a.append(others)
-        b.append(np.full(len(others), i))
-    return np.concatenate(a), np.concatenate(b)
-
-
-_SIDES = "block long, side int, tree int, key binary, a long, comp long"
-
-
-def _across_pass(floor: float):
-    """Of two blocks of a crowded region the rows that have candidates in them."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys = buffers(table.column("key"))[0].reshape(-1, HASHES)
-        a, b = _across(keys, table.column("comp").to_numpy(), table.column("side").to_numpy(), table.column("tree")[0].as_py(), floor)
-        return table.take(pa.array(np.unique(np.concatenate((a, b)))))
-
-    return run
-
-
-_BLOCKS = "block long, tree int, key binary, a long, comp long"
-
-
-def _block_rows(block: int, order: np.ndarray, keys: np.ndarray, ids: np.ndarray, comps: np.ndarray) -> pa.Table:
-    return pa.table({"block": np.full(len(ids), block, np.int64), "tree": order.astype(np.int32), "key": pa.array([k.tobytes() for k in keys], pa.binary()), "a": ids, "comp": comps})
+        level = np.minimum(agree, SURE)
+        for mine, other in ((near + w, near), (near, near + w)):
+            better = (level > best[mine]) | (level == SURE) & (best[mine] == SURE) & (comps[other] < least[mine])
+            to = mine[better]
+            best[to], who[to], least[to] = level[better], other[better], comps[other[better]]
+    mine = np.flatnonzero(best >= 0)
+    return mine, who[mine], best[mine]
 
 
-def _check_block(floor: float, num: int, den: int, crowded: bool = False):
-    """Of a block's candidates those whose sets are similar enough, without links inside what the block has linked already.
+_FOREST = "a long, b long, agree int, to long, border int, tree int, key binary, comp long"
 
-    crowded: the rows are of two blocks of a crowded region (_SIDES), without a window.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("tree", "ascending"), ("key", "ascending"), ("a", "ascending")])
-        ids, (labels, parent) = table.column("a").to_numpy(), np.unique(table.column("comp").to_numpy(), return_inverse=True)
-        data, offsets = buffers(table.column("shingles"))
-        sets, size = data.view(np.uint64), np.diff(offsets) // 8
-        start = offsets[:-1] // 8
-        keys = buffers(table.column("key"))[0].reshape(-1, HASHES)
-        if crowded:
-            a, b = _across(keys, parent, table.column("side").to_numpy(), table.column("tree")[0].as_py(), floor)
-        else:
-            a, b, _ = _pairs(keys, ids, parent, table.column("tree").to_numpy(), floor, False)
-        by_row = np.argsort(b, kind="stable")
-        a, b = a[by_row], b[by_row]
-        comp, u, v = parent.copy(), [], []
-        for row in np.unique(b):
-            others = a[np.searchsorted(b, row) : np.searchsorted(b, row, side="right")]
-            others = others[comp[others] != comp[row]]
-            low, high = np.minimum(size[others], size[row]), np.maximum(size[others], size[row])
-            rest = others[den * low >= num * high]
-            mine = sets[start[row] : start[row] + size[row]]
-            while len(rest):
-                n = max(1, int(np.searchsorted(np.cumsum(size[rest]), _AT_ONCE)))
-                others, rest = rest[:n], rest[n:]
-                cuts = np.cumsum(np.append(0, size[others]))
-                theirs = sets[np.repeat(start[others] - cuts[:-1], size[others]) + np.arange(cuts[-1])]
-                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-                common = np.add.reduceat((mine[at] == theirs).astype(np.int64), cuts[:-1])
-                for other in others[den * common >= num * (size[row] + size[others] - common)]:
-                    if comp[other] != comp[row]:
-                        u.append(ids[other])
-                        v.append(ids[row])
-                        comp[comp == comp[other]] = comp[row]
-                rest = rest[comp[rest] != comp[row]]
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return run
 
+def _rows(names: list[str], n: int, **given) -> pa.RecordBatch:
+    kinds = {"agree": pa.int32(), "border": pa.int32(), "tree": pa.int32(), "key": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(given[c], kinds.get(c, pa.int64())) if c in given else pa.nulls(n, kinds.get(c, pa.int64())) for c in names], names)
 
-def _forest_pass(floor: float, one_each: bool):
-    """Over range-partitioned, sorted rows. Rows out: a candidate pair, or (border) what the next or previous partition has to see.
 
-    one_each as in _pairs; without, rows (block) of the blocks in which they have candidates instead of pairs.
-    """
+def _forest_pass(floor: float):
+    """Over range-partitioned, sorted rows. Rows out: a candidate (a, b), or (border) what the partitions beside have to see."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tail, first = TaskContext.get().partitionId(), None, []
-        names = ["a", "b", "agree", "to", "border", "tree", "key", "comp", "block"]
-        made = part << 32
-
-        def pairs(order, keys, ids, comps):
-            a, b, agree = _pairs(keys, ids, comps, order, floor, one_each)
-            if len(a):
-                none = pa.nulls(len(a))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(agree.astype(np.int32)), pa.array(comps[b]), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.int64())], names)
-
-        def blocks(order, keys, ids, comps):
-            nonlocal made
-            a, b, _ = _pairs(keys, ids, comps, order, floor, False)
-            for _, rows in _members(a, b):
-                t, n = _block_rows(made, order[rows], keys[rows], ids[rows], comps[rows]), len(rows)
-                made += 1
-                yield pa.Table.from_arrays([t["a"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), t["tree"], t["key"], t["comp"], t["block"]], names).combine_chunks().to_batches()[0]
+        part, tail, first, head = TaskContext.get().partitionId(), None, [], 0
+        names = ["a", "b", "agree", "to", "border", "tree", "key", "comp"]
 
         def edge(rows, border):
             order, keys, ids, comps = rows
-            n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(np.full(n, border, np.int32)), pa.array(order.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(comps), pa.nulls(n, pa.int64())], names)
+            return _rows(names, len(ids), a=ids, border=np.full(len(ids), border), tree=order, key=[k.tobytes() for k in keys], comp=comps)
 
-        head = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = (batch.column("tree").to_numpy(), buffers(batch.column("key"))[0].reshape(-1, HASHES), batch.column("id").to_numpy(), batch.column("comp").to_numpy())
+            rows = (batch.column("tree").to_numpy(), _sigs(batch.column("key")), batch.column("id").to_numpy(), batch.column("comp").to_numpy())
             if head < WINDOW:
                 first.append(tuple(x[: WINDOW - head] for x in rows))
                 head += len(first[-1][2])
             if tail is not None:
                 rows = tuple(np.concatenate(x) for x in zip(tail, rows, strict=True))
-            yield from (pairs if one_each else blocks)(*rows)
+            order, keys, ids, comps = rows
+            a, b, agree = _neighbours(keys, comps, order, floor)
+            if len(a):
+                yield _rows(names, len(a), a=ids[a], b=ids[b], agree=agree, to=comps[b])
             tail = tuple(x[-WINDOW:] for x in rows)
         if tail is not None:
             yield edge(tuple(np.concatenate(x) for x in zip(*first, strict=True)), part)
@@ -281,74 +178,237 @@ def _forest_pass(floor: float, one_each: bool):
     return run
 
 
-def _border_pass(floor: float, one_each: bool):
+def _border_pass(floor: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("tree", "ascending"), ("key", "ascending"), ("a", "ascending")])
         ids, comps = table.column("a").to_numpy(), table.column("comp").to_numpy()
-        keys, order = buffers(table.column("key"))[0].reshape(-1, HASHES), table.column("tree").to_numpy()
-        a, b, agree = _pairs(keys, ids, comps, order, floor, one_each)
-        if not one_each:
-            rows = np.unique(np.concatenate((a, b)))
-            return _block_rows(-1 - table.column("border")[0].as_py(), order[rows], keys[rows], ids[rows], comps[rows])
+        a, b, agree = _neighbours(_sigs(table.column("key")), comps, table.column("tree").to_numpy(), floor)
         return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "agree": pa.array(agree.astype(np.int32)), "to": pa.array(comps[b], pa.int64())})
 
     return run
 
 
-def _candidates(forest: DataFrame, floor: float, one_each: bool, name: str) -> DataFrame:
-    """Candidates of different components: one_each: (a, b), one for each a, as in _pairs; without, blocks of rows (_BLOCKS)."""
-    spark = forest.sparkSession
+def _listed(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= LISTED else df
+
+
+def _regions(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(regions (tree, prefix, n) with several components, rows (tree, prefix, n, id, size, sig, comp) in them) of (id, size, sig, comp)."""
+    prefixes = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", t * DEPTH + 1, DEPTH).alias("prefix")) for t in range(ORDERS)])
+    at = lambda df: df.withColumn("x", F.explode(prefixes)).select("x.*", *labelled.columns)
+    found = labelled.select(F.explode(prefixes).alias("x"), "comp").select("x.*", "comp").groupBy("tree", "prefix")
+    regions = found.agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("n > 1 and low < high").select("tree", "prefix", "n")
+    regions = materialize(regions, "nd-regions", few_files(labelled.sparkSession))
+    return regions, at(labelled).join(_listed(regions), ["tree", "prefix"])
+
+
+def _first_candidates(rows: DataFrame, floor: float) -> DataFrame:
+    """(a, b) from the rows of regions: for each set that has one, a candidate of another component."""
+    spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = forest.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    out = materialize(rows.mapInArrow(_forest_pass(floor, one_each), "a long, b long, agree int, to long, border int, tree int, key binary, comp long, block long"), name, few_files(spark))
-    borders = out.where("border is not null").select("a", "border", "tree", "key", "comp").groupBy("border")
-    if not one_each:
-        done = materialize(out.where("block is not null").select("block", "tree", "key", "a", "comp").union(borders.applyInArrow(_border_pass(floor, False), _BLOCKS)), name, few_files(spark))
-        drop(out)
-        return done
-    more = borders.applyInArrow(_border_pass(floor, True), "a long, b long, agree int, to long")
+    key = F.concat(F.expr(f"substring(sig, tree * {DEPTH} + 1, {HASHES})"), F.expr(f"substring(sig, 1, tree * {DEPTH})"))
+    forest = rows.select("tree", key.alias("key"), "id", "comp").repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    out = materialize(forest.mapInArrow(_forest_pass(floor), _FOREST), "nd-forest", few_files(spark))
+    more = out.where("border is not null").select("a", "border", "tree", "key", "comp").groupBy("border").applyInArrow(_border_pass(floor), "a long, b long, agree int, to long")
     pairs = out.where("border is null").select("a", "b", "agree", "to").union(more)
     pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct(-F.col("agree"), "to", "b")).alias("b"))
-    pairs = pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a <> b").distinct()
-    done = materialize(pairs, name, few_files(spark))
+    done = materialize(pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a <> b").distinct(), "nd-first", few_files(spark))
     drop(out)
     return done
 
 
-def _listed(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= LISTED else df
+_TASK = "task long, side int, tree int, region long, id long, size long, sig binary, comp long"
+
+
+def _dealt(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """The rows of regions dealt to tasks (_TASK), so that any two of different components of a region meet in one."""
+    region = F.xxhash64("tree", "prefix")
+    columns = ["id", "size", "sig", "comp"]
+    total = regions.where(F.col("n") <= SIDE).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bins = max(1, -(-total // SIDE))
+    small = rows.where(F.col("n") <= SIDE).select(F.pmod(F.xxhash64(F.lit(7), "tree", "prefix"), F.lit(bins)).alias("task"), F.lit(0).alias("side"), "tree", region.alias("region"), *columns)
+    large = regions.where(F.col("n") > SIDE)
+    if large.isEmpty():
+        return small
+    key = ["tree", "prefix"]
+    inside = rows.where(F.col("n") > SIDE)
+    cells = materialize(inside.groupBy(*key, "comp").agg(F.count("*").alias("m")), "nd-cells", few_files(rows.sparkSession))
+    blocks = lambda n: F.ceil(F.col(n) / SIDE).cast("int")
+    own = cells.where(F.col("m") > SIDE).select(*key, "comp", blocks("m").alias("own"))
+    shared = cells.where(F.col("m") <= SIDE).groupBy(*key).agg(F.sum("m").alias("s")).select(*key, blocks("s").alias("shared"))
+    # A block is the component it is for (or none) and a number.
+    dealt = inside.join(_listed(own), [*key, "comp"], "left").join(_listed(shared), key, "left")
+    owner = F.when(F.col("own").isNotNull(), F.col("comp"))
+    number = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("id"), F.col("own"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("shared"))).cast("int")
+    dealt = dealt.select(*key, *columns, F.to_json(F.struct(owner.alias("owner"), number.alias("number"))).alias("block"))
+    numbers = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias("number")
+    every = own.select(*key, F.col("comp").alias("owner"), numbers("own")).union(shared.select(*key, F.lit(None).cast("long").alias("owner"), numbers("shared")))
+    every = every.select(*key, "owner", F.to_json(F.struct("owner", "number")).alias("block"))
+    x, y = (every.select(*key, F.col("owner").alias(f"owner_{k}"), F.col("block").alias(f"block_{k}")) for k in "xy")
+    twos = x.join(y, key).where((F.col("block_x") <= F.col("block_y")) & F.coalesce(F.col("owner_x") != F.col("owner_y"), F.lit(True)))
+    twos = materialize(twos.select(*key, "block_x", "block_y", (-1 - F.monotonically_increasing_id()).alias("task")), "nd-twos", few_files(rows.sparkSession))
+    sides = twos.select(*key, "task", F.col("block_x").alias("block"), F.lit(0).alias("side")).union(twos.where("block_x < block_y").select(*key, "task", F.col("block_y").alias("block"), F.lit(1).alias("side")))
+    return small.union(dealt.join(sides, [*key, "block"]).select("task", "side", "tree", region.alias("region"), *columns))
+
+
+class _Pairs:
+    """The rows of a task by region, and their candidates: pairs of different components that share no region in an order before."""
+
+    def __init__(self, table: pa.Table, floor: float):
+        region = table.column("region").to_numpy()
+        by = np.lexsort((table.column("id").to_numpy(), table.column("side").to_numpy(), region))
+        self.table = table = table.take(pa.array(by))
+        self.region, self.side, self.tree = table.column("region").to_numpy(), table.column("side").to_numpy(), table.column("tree").to_numpy()
+        self.comp, self.sig = table.column("comp").to_numpy(), _sigs(table.column("sig"))
+        self.words, self.floor = self.sig.view(np.uint32), floor
+        starts = np.flatnonzero(np.append(True, self.region[1:] != self.region[:-1])) if len(by) else np.zeros(0, np.int64)
+        self.regions = list(zip(starts.tolist(), np.append(starts[1:], len(by)).tolist(), strict=True))
+
+    def few(self) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates in regions of fewer than _MATRIX rows, which are of one side."""
+        size = np.repeat([b - a for a, b in self.regions], [b - a for a, b in self.regions])
+        rows = np.flatnonzero(size < _MATRIX)
+        found = [(np.zeros(0, np.int64),) * 2]
+        for w in range(1, min(_MATRIX - 1, len(rows))):
+            a, b = rows[:-w], rows[w:]
+            same = self.region[a] == self.region[b]
+            if not same.any():
+                break
+            a, b = a[same], b[same]
+            ok = (self.comp[a] != self.comp[b]) & ((self.sig[a] == self.sig[b]).sum(axis=1) >= self.floor)
+            before = (self.words[a] == self.words[b]) & (np.arange(ORDERS) < self.tree[a][:, None])
+            ok &= ~before.any(axis=1) & self._sides(a, b)
+            found.append((a[ok], b[ok]))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+    def _sides(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In a task of two blocks only pairs across them count: those of one block are a task of their own."""
+        return self.side[a] != self.side[b] if self.side.max(initial=0) else np.ones(np.broadcast(a, b).shape, bool)
+
+    def matrix(self, first: int, end: int) -> np.ndarray:
+        """For a region of many rows, which pairs (the later row second) are candidates."""
+        rows = np.arange(first, end)
+        sig, words, tree = self.sig[rows], self.words[rows], int(self.tree[first])
+        agree = np.zeros((len(rows), len(rows)), np.uint8)
+        for j in range(HASHES):
+            agree += sig[:, j, None] == sig[None, :, j]
+        ok = np.triu((agree >= self.floor) & (self.comp[rows][:, None] != self.comp[rows]), 1)
+        for t in range(tree):
+            ok &= words[:, t, None] != words[None, :, t]
+        return ok & self._sides(rows[:, None], rows)
+
+
+def _rows_with_candidates(floor: float):
+    """Of a task's rows those that have candidates in it, in pieces (sub) so small that two hold no more than 2 * PIECE bytes of full sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pairs = _Pairs(table, floor)
+        a, b = ([x] for x in pairs.few())
+        for first, end in pairs.regions:
+            if end - first >= _MATRIX:
+                x, y = np.nonzero(pairs.matrix(first, end))
+                a.append(x + first)
+                b.append(y + first)
+        a, b = np.concatenate(a), np.concatenate(b)
+        used = np.unique(np.concatenate((a, b)))
+        bytes_to = np.cumsum(pairs.table.column("size").to_numpy()[used] * 8)
+        piece = np.zeros(pairs.table.num_rows, np.int64)
+        piece[used] = (bytes_to - 1) // PIECE if len(used) else 0
+        if not len(used) or piece[used[-1]] == 0:
+            take, sub = used, np.zeros(len(used), np.int32)
+        else:
+            kinds, which = np.unique(piece[a] * (piece.max() + 1) + piece[b], return_inverse=True)
+            members = np.unique(np.concatenate((which * len(piece) + a, which * len(piece) + b)))
+            take, sub = members % len(piece), (members // len(piece)).astype(np.int32)
+        out = pairs.table.select(["task", "side", "tree", "region", "id", "sig", "comp"]).take(pa.array(take, pa.int64()))
+        return out.append_column("sub", pa.array(sub, pa.int32()))
 
+    return run
 
-def _crowded(forest: DataFrame, floor: float) -> DataFrame | None:
-    """Rows (_SIDES) of any two blocks of a crowded region that have candidates of different components; None without such a region."""
-    spark, region = forest.sparkSession, ["tree", "prefix"]
-    rows = forest.withColumn("prefix", F.substring("key", 1, DEPTH))
-    regions = rows.groupBy(*region).agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    regions = materialize(regions.where((F.col("n") > WINDOW + 1) & (F.col("low") < F.col("high"))).select(*region), "nd-regions", few_files(spark))
-    if regions.isEmpty():
-        drop(regions)
-        return None
-    inside = materialize(rows.join(_listed(regions), region), "nd-crowded")
-    cells = materialize(inside.groupBy(*region, "comp").agg(F.count("*").alias("m")), "nd-cells", few_files(spark))
-    parts = lambda rows: F.ceil(F.col(rows) / SIDE).cast("int")
-    large = cells.where(F.col("m") > SIDE).select(*region, "comp", parts("m").alias("own"))
-    small = cells.where(F.col("m") <= SIDE).groupBy(*region).agg(F.sum("m").alias("s")).select(*region, parts("s").alias("shared"))
-    # A block is the component it is for (or none) and a number.
-    dealt = inside.join(_listed(large), [*region, "comp"], "left").join(_listed(small), region, "left")
-    block = F.struct(F.when(F.col("own").isNotNull(), F.col("comp")).alias("owner"), F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("id"), F.col("own"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("shared"))).cast("int").alias("number"))
-    dealt = dealt.select(*region, "key", "id", "comp", F.to_json(block).alias("block"))
-    numbers = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    blocks = large.select(*region, F.col("comp").alias("owner"), numbers("own").alias("number")).union(small.select(*region, F.lit(None).cast("long").alias("owner"), numbers("shared").alias("number")))
-    blocks = blocks.select(*region, "owner", F.to_json(F.struct("owner", "number")).alias("block"))
-    x, y = (blocks.select(*region, F.col("owner").alias(f"owner_{k}"), F.col("block").alias(f"block_{k}")) for k in "xy")
-    twos = x.join(y, region).where((F.col("block_x") <= F.col("block_y")) & F.coalesce(F.col("owner_x") != F.col("owner_y"), F.lit(True)))
-    twos = materialize(twos.select(*region, "block_x", "block_y", F.monotonically_increasing_id().alias("two")), "nd-twos", few_files(spark))
-    sides = twos.select(*region, "two", F.col("block_x").alias("block"), F.lit(0).alias("side")).union(twos.where("block_x < block_y").select(*region, "two", F.col("block_y").alias("block"), F.lit(1).alias("side")))
-    met = dealt.join(sides, [*region, "block"]).select(F.col("two").alias("block"), "side", "tree", "key", F.col("id").alias("a"), "comp")
-    done = materialize(met.groupBy("block").applyInArrow(_across_pass(floor), _SIDES), "nd-pairs", few_files(spark))
-    for table in (regions, inside, cells, twos):
-        drop(table)
-    return done
+
+class _Sets:
+    """The full sets of a task's rows."""
+
+    def __init__(self, column: pa.Array):
+        data, offsets = buffers(column)
+        self.values, self.start, self.size = data.view(np.uint64), offsets[:-1] // 8, np.diff(offsets) // 8
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        cuts = np.cumsum(np.append(0, self.size[rows]))
+        return self.values[np.repeat(self.start[rows] - cuts[:-1], self.size[rows]) + np.arange(cuts[-1])]
+
+    def common(self, row: int, others: np.ndarray) -> np.ndarray:
+        """How many values a set shares with each of some others."""
+        mine, out = self.values[self.start[row] : self.start[row] + self.size[row]], []
+        while len(others):
+            n = max(1, int(np.searchsorted(np.cumsum(self.size[others]), _AT_ONCE)))
+            part, others = others[:n], others[n:]
+            theirs = self.of(part)
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            out.append(np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(np.append(0, self.size[part]))[:-1]))
+        return np.concatenate(out)
+
+    def all_common(self, rows: np.ndarray) -> np.ndarray:
+        """How many values any two of the sets share (the later row second)."""
+        m = len(rows)
+        owner, (_, column, times) = np.repeat(np.arange(m), self.size[rows]), np.unique(self.of(rows), return_inverse=True, return_counts=True)
+        total = np.zeros((m, m), np.float32)
+        often = max(8, m // 64)
+        order = np.argsort(column, kind="stable")
+        order = order[times[column[order]] > 1]
+        owner, column = owner[order], column[order]
+        n = times[column]
+        dense = n >= often
+        columns, at = np.unique(column[dense], return_inverse=True)
+        for k in range(0, len(columns), _COLUMNS):
+            here = (at >= k) & (at < k + _COLUMNS)
+            holds = np.zeros((m, min(_COLUMNS, len(columns) - k)), np.float32)
+            holds[owner[dense][here], at[here] - k] = 1
+            total += holds @ holds.T
+        total = total.ravel()
+        for times_of in np.unique(n[~dense]):
+            holders = owner[n == times_of].reshape(-1, times_of)
+            for i in range(times_of):
+                for j in range(i + 1, times_of):
+                    np.add.at(total, holders[:, i] * m + holders[:, j], np.float32(1))
+        return total.reshape(m, m)
+
+
+def _linked(floor: float, num: int, den: int):
+    """Of a task's candidates the links, as edges (u, v) between components: a tree for each group that the task joins."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pairs = _Pairs(table, floor)
+        sets = _Sets(pairs.table.column("shingles"))
+        names, label = np.unique(pairs.comp, return_inverse=True)
+        parent = np.arange(len(names))
+
+        def join(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> None:
+            nonlocal parent
+            ok = den * common >= num * (sets.size[a] + sets.size[b] - common)
+            if ok.any():
+                parent = smallest(parent, label[a[ok]], label[b[ok]])
+
+        a, b = pairs.few()
+        by = np.argsort(b, kind="stable")
+        a, b = a[by], b[by]
+        late, starts = np.unique(b, return_index=True)
+        for row, others in zip(late.tolist(), np.split(a, starts[1:])[: len(late)], strict=True):
+            others = others[parent[label[others]] != parent[label[row]]]
+            low, high = np.minimum(sets.size[others], sets.size[row]), np.maximum(sets.size[others], sets.size[row])
+            others = others[den * low >= num * high]
+            if len(others):
+                join(others, np.full(len(others), row), sets.common(row, others))
+        for first, end in pairs.regions:
+            if end - first >= _MATRIX:
+                x, y = np.nonzero(pairs.matrix(first, end))
+                if len(x):
+                    common = sets.all_common(np.arange(first, end))[x, y].astype(np.int64)
+                    join(x + first, y + first, common)
+        moved = np.flatnonzero(parent != np.arange(len(names)))
+        return pa.table({"u": pa.array(names[moved], pa.int64()), "v": pa.array(names[parent[moved]], pa.int64())})
+
+    return run
 
 
 def _confirm(num: int, den: int):
@@ -357,16 +417,25 @@ def _confirm(num: int, den: int):
             keep = []
             for one, two in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (one, two))
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                common = int((y[at] == x).sum())
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    a, b = (sets.selectExpr(f"id as {x}", f"shingles as set_{x}") for x in "ab")
-    return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "u long, v long"), name, few_files(sets.sparkSession))
+def _pick(width: int):
+    """The sets of texts, if they are those that are asked for (k1, k2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                wanted = zip(*(batch.column(c).to_pylist() for c in ("id", "k1", "k2")), strict=True)
+                found = [(i, s) for s, (i, k1, k2) in zip(shingle_sets(*buffers(batch.column("text")), width), wanted, strict=True) if _set_key(s) == (k1 % (1 << 64), k2 % (1 << 64))]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["id", "shingles"])
+
+    return run
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,85 +447,56 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
     Other columns, whatever their names, aren't read. An empty table gives an empty result.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sigs = materialize(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "nd-sigs")
-    sets = materialize(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig")), "nd-sets")
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    sigs = materialize(docs.mapInArrow(_signatures(width), "doc_id long, hash long, n_shingles long, k1 long, k2 long, sig binary"), "nd-sigs")
+    sets = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "hash")).alias("m"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
+    sets = materialize(sets.select("k1", "k2", F.col("m.doc_id").alias("first_id"), F.col("m.hash").alias("hash"), "size", "sig"), "nd-sets")
     # A set's id: its smallest doc_id, or (if that has sets of several texts) a number of its own.
-    sets_by_id = sets.groupBy("first_id").agg(F.min(F.struct("k1", "k2")).alias("m"))
-    ids = sets.join(sets_by_id, "first_id").select("k1", "k2", "first_id", "sig", F.when(F.struct("k1", "k2") == F.col("m"), F.col("first_id")).otherwise(F.xxhash64("k1", "k2")).alias("id"))
+    names = sets.groupBy("first_id").agg(F.min(F.struct("k1", "k2")).alias("m"))
+    ids = sets.join(names, "first_id").select("k1", "k2", "first_id", "hash", "size", "sig", F.when(F.struct("k1", "k2") == F.col("m"), F.col("first_id")).otherwise(F.xxhash64("k1", "k2")).alias("id"))
     ids = materialize(ids, "nd-ids")
-    forest_of = lambda labelled: labelled.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.expr(f"concat(substring(sig, {t * DEPTH + 1}, {HASHES}), substring(sig, 1, {t * DEPTH}))").alias("key")) for t in range(ORDERS)])).alias("x"), "id", "comp").select("x.tree", "x.key", "id", "comp")
     floor = HASHES * (num / den - MARGIN)
-    used = [sigs, sets, ids]
+    used, links = [sigs, sets, ids], None
+    comp = ids.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+
+    def labelled() -> DataFrame:
+        return ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "size", "sig", F.coalesce("component", "id").alias("comp"))
 
     def sets_of(ends: DataFrame) -> DataFrame:
-        wanted = ends.distinct().join(ids.select("id", "first_id", "k1", "k2"), "id")
-        rows = sigs.select("doc_id", "k1", "k2").join(wanted.withColumnRenamed("first_id", "doc_id"), ["doc_id", "k1", "k2"]).select("doc_id", "k1", "k2", "id").distinct()
-        found = docs.join(rows.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2", "id")).alias("w")), "doc_id")
+        wanted = ids.join(ends.distinct(), "id", "left_semi").select("id", F.col("first_id").alias("doc_id"), "hash", "k1", "k2")
+        found = docs.join(wanted, ["doc_id", "hash"]).select("text", "id", "k1", "k2")
         return materialize(found.mapInArrow(_pick(width), "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")), "nd-shingles")
 
-    def confirmed(found: DataFrame, one_each: bool, crowded: bool = False) -> DataFrame:
-        shingles = sets_of(found.selectExpr("a as id").union(found.selectExpr("b as id")) if one_each else found.selectExpr("a as id"))
-        if one_each:
-            out = _links(found, shingles, num, den, "nd-links")
-        else:
-            blocks = found.join(shingles.withColumnRenamed("id", "a"), "a").select(*found.columns, "shingles")
-            out = materialize(blocks.groupBy("block").applyInArrow(_check_block(floor, num, den, crowded), "u long, v long"), "nd-links", few_files(spark))
-        drop(shingles)
-        used.append(out)
-        return out
-
-    comp = ids.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    links, more = None, True
-    labels = lambda: ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
-
     def joined(found: DataFrame) -> DataFrame:
         nonlocal links
+        used.append(found)
+        if found.isEmpty():
+            return comp
         links = links.union(found) if links is not None else found
         used.append(materialize(components(links, "nd-cc", few_files(spark)), "nd-comp", few_files(spark)))
         return used[-1]
 
-    for turn in range(ROUNDS + 1):
-        one_each = more and turn < ROUNDS
-        pairs = _candidates(forest_of(labels()), floor, one_each, "nd-pairs")
-        used.append(pairs)
-        n = pairs.count()
-        found = confirmed(pairs, one_each) if n else None
-        new = found.count() if n else 0
-        if new:
-            comp = joined(found)
-        if not one_each or not n:
-            break
-        more = new > FEW * n
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the round's shuffle files
-    rest = _crowded(forest_of(labels()), floor)
-    if rest is not None:
-        used.append(rest)
-        if not rest.isEmpty():
-            comp = joined(confirmed(rest, False, True))
+    regions, rows = _regions(labelled())
+    if not regions.isEmpty():
+        pairs = _first_candidates(rows, floor)
+        shingles = sets_of(pairs.selectExpr("a as id").union(pairs.selectExpr("b as id")))
+        a, b = (shingles.selectExpr(f"id as {x}", f"shingles as set_{x}") for x in "ab")
+        comp = joined(materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "u long, v long"), "nd-links", few_files(spark)))
+        used += [regions, pairs, shingles]
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what is done
+        regions, rows = _regions(labelled())
+        tasks = _dealt(rows, regions).groupBy("task").applyInArrow(_rows_with_candidates(floor), "task long, side int, tree int, region long, id long, sig binary, comp long, sub int")
+        tasks = materialize(tasks, "nd-tasks", few_files(spark))
+        shingles = sets_of(tasks.select("id"))
+        found = tasks.join(shingles, "id").groupBy("task", "sub").applyInArrow(_linked(floor, num, den), "u long, v long")
+        comp = joined(materialize(found, "nd-links", few_files(spark)))
+        used += [tasks, shingles]
+    used.append(regions)
     by_set = ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "first_id", F.coalesce("component", "id").alias("comp"))
-    smallest = by_set.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    by_set = by_set.join(smallest, "comp").select("k1", "k2", "component_id")
-    out = sigs.join(by_set, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = by_set.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+    by_set = by_set.join(least, "comp").select("k1", "k2", "component_id")
+    out = sigs.select("doc_id", "n_shingles", "k1", "k2").join(by_set, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     done = materialize(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")), "nd-out")
     for table in used:
         drop(table)
     return done
-
-
-def _pick(width: int):
-    """The sets that are wanted of each text's document (w): those whose keys the text has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                ids, out = [], []
-                for s, wanted in zip(shingle_sets(*buffers(batch.column("text")), width), batch.column("w").to_pylist(), strict=True):
-                    key = _set_key(s)
-                    for w in wanted:
-                        if key == (w["k1"] % (1 << 64), w["k2"] % (1 << 64)):
-                            ids.append(w["id"])
-                            out.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "shingles"])
-
-    return run

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, drop, materialize
-from .components import components
+from .components import components, smallest
 
 #: Vectors in a block; two blocks and their products are what a task holds.
 BLOCK = 4096
@@ -100,18 +100,6 @@ def _deal(pivots: np.ndarray, radius: np.ndarray, blocks: np.ndarray, reach: flo
     return run
 
 
-def _root(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node of each node's component, by repeated minimum over the edges (a, b) and pointer jumping."""
-    while True:
-        low = np.minimum(parent[a], parent[b])
-        np.minimum.at(parent, a, low)
-        np.minimum.at(parent, b, low)
-        jumped = parent[parent]
-        if np.array_equal(jumped, parent) and np.array_equal(parent[a], parent[b]):
-            return parent
-        parent = jumped
-
-
 def _join(cosine: float):
     def run(table: pa.Table) -> pa.Table:
         role = table.column("role").to_numpy()
@@ -139,7 +127,7 @@ def _join(cosine: float):
                 x, y = x[ok], y[ok]
                 np.add.at(count, x, copies[y])
                 if len(x):
-                    parent = _root(parent, where[x], where[y])
+                    parent = smallest(parent, where[x], where[y])
         moved = np.flatnonzero(parent != np.arange(len(nodes)))
         out_id = np.concatenate((ids[a], nodes[moved]))
         return pa.table({"id": pa.array(out_id), "links": pa.array(np.concatenate((count[a], np.zeros(len(moved), np.int64)))), "to": pa.array(np.concatenate((np.full(len(a), -1), nodes[parent[moved]])))})

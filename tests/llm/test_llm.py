@@ -244,10 +244,27 @@ def brute_near(texts):
     return [(len(s), c) for s, c in zip(sets, label)]
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_near_duplicates(spark, monkeypatch, rounds):
-    monkeypatch.setattr(neardup, "WINDOW", 8)
-    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+@pytest.fixture
+def small_forest(monkeypatch):
+    """Sets the operator's sizes for this process and for the workers."""
+    from pyspark import cloudpickle
+
+    def set_to(**sizes):
+        for name, value in sizes.items():
+            monkeypatch.setattr(neardup, name, value)
+        cloudpickle.register_pickle_by_value(neardup)
+
+    yield set_to
+    try:
+        cloudpickle.unregister_pickle_by_value(neardup)
+    except ValueError:
+        pass
+
+
+@pytest.mark.parametrize("sizes", [{}, {"WINDOW": 2, "SIDE": 8, "_MATRIX": 4, "PIECE": 4000, "_COLUMNS": 16}])
+def test_near_duplicates(spark, small_forest, sizes):
+    if sizes:
+        small_forest(**sizes)
     base = [prose(200, i) for i in range(12)]
     texts = [None, "", "  ", "a b", "A B", "a b c d e"] + base + [edited(base[0], 2, i) for i in range(40)] + [edited(base[1], 9, i) for i in range(10)] + [base[2].upper(), base[2], base[2]] + [base[3] + " " + prose(15, 99), prose(3000, 7), prose(3000, 7) + " tail"] + [" ".join(base[4].split()[:120] + prose(80, 50 + i).split()) for i in range(30)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
@@ -257,24 +274,37 @@ def test_near_duplicates(spark, monkeypatch, rounds):
     assert sorted((r["component_id"], r["kept"]) for r in odd if r["doc_id"] is not None) == [(3, True)] * 3 + [(9, True)] and len(odd) == 5
 
 
-def test_near_duplicates_of_a_crowded_region(spark, monkeypatch):
+def test_near_duplicates_of_a_crowded_region(spark, small_forest):
     """Copies that only their original links (0.87 and more of it, about 0.76 of each other), many more than the windows reach."""
-    from pyspark import cloudpickle
-
-    monkeypatch.setattr(neardup, "WINDOW", 1)
-    monkeypatch.setattr(neardup, "SIDE", 16, raising=False)
-    cloudpickle.register_pickle_by_value(neardup)  # so that workers see the small window
+    small_forest(WINDOW=1, SIDE=16)
     texts = [edited(prose(300, 1), 4, 1000 + i) for i in range(150)]
     texts.insert(75, prose(300, 1))
     want = brute_near(texts)
     assert len({c for _, c in want}) < 20
-    try:
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
-    finally:
-        cloudpickle.unregister_pickle_by_value(neardup)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_duplicates_keeps_every_pair_of_a_crowd(spark):
+    """2,000 texts of one template at a similarity of 0.8 of each other, too many for windows and a block, and 150 pairs of 0.87 among them."""
+    core = prose(270, 1).split()
+    crowd = [" ".join(core + [f"own{i}x{k}" for k in range(30)]) for i in range(2000)]
+    pairs = {i: " ".join(t.split()[:-12] + [f"new{i}x{k}" for k in range(12)]) for i, t in enumerate(crowd[:150])}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(spark, crowd + [*pairs.values()])).collect()}
+    assert [got[2000 + i] for i in range(150)] == list(range(150)) and [got[i] for i in range(2000)] == list(range(2000))
+
+
+def test_sets_are_compared_in_full():
+    r = np.random.default_rng(0)
+    sets = [np.unique(r.integers(0, 400, r.integers(1, 300)).astype(np.uint64)) for _ in range(90)]
+    held = neardup._Sets(pa.array([x.tobytes() for x in sets], pa.binary()))
+    every = held.all_common(np.arange(90))
+    for i in range(90):
+        some = held.common(i, np.arange(90))
+        for j in range(i + 1, 90):
+            assert every[i, j] == some[j] == len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_mixing(spark):
     sizes = [("b", 10), ("a", 400), ("a", 50), (None, 7), ("c", 0), ("B", 1000)] + [("d", k % 13) for k in range(300)] + [("d", 5)] * 2
     texts = [" ".join(["w"] * n) if n else None for _, n in sizes]
