@@ -40,7 +40,7 @@ WINDOW = 64
 SIDE = 1024
 #: Bytes of full sets in a piece of a task.
 PIECE = 16 << 20
-#: Rows up to which a list of regions is broadcast.
+#: Rows up to which a list of regions or of wanted sets is broadcast.
 LISTED = 200_000
 #: Values of sets that are compared with one set at a time.
 _AT_ONCE = 1 << 20
@@ -464,7 +464,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
 
     def sets_of(ends: DataFrame) -> DataFrame:
         wanted = ids.join(ends.distinct(), "id", "left_semi").select("id", F.col("first_id").alias("doc_id"), "hash", "k1", "k2")
-        found = docs.join(wanted, ["doc_id", "hash"]).select("text", "id", "k1", "k2")
+        found = docs.join(_listed(wanted), ["doc_id", "hash"]).select("text", "id", "k1", "k2")
         return materialize(found.mapInArrow(_pick(width), "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")), "nd-shingles")
 
     def joined(found: DataFrame) -> DataFrame:
