@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into arrays at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 18
@@ -156,3 +157,18 @@ def hash_words(words: list[bytes]) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def summed(pieces: DataFrame) -> DataFrame:
+    """Rows (piece, sums: vectors of doubles as bytes) added up by piece, in two steps, so that no task holds a row of every task."""
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column("sums"):
+                part = np.frombuffer(x.as_buffer(), np.float64)
+                total = part.copy() if total is None else total + part
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "sums"])
+
+    spread = pieces.groupBy("piece", F.pmod(F.xxhash64("sums"), F.lit(64)).alias("part"))
+    return spread.applyInArrow(add, "piece int, sums binary").groupBy("piece").applyInArrow(add, "piece int, sums binary")

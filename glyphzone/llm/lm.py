@@ -1,17 +1,27 @@
-"""Language-model scoring by online logistic context mixing over the bits of words.
-
-A word is coded as its bytes and a blank, bit by bit. Four predictors, with the contexts of
-one, two and three bytes before (in the word) and of the whole word so far, each look a bit's log odds up in a table,
-by a hash of the context and the byte's bits so far (a Huffman code, so that frequent bytes have few bits); the
-whole-word predictor knows the beginnings of the most frequent words. A gate (how often the whole-word and the
-three-byte contexts were seen) selects the weights that combine them; the weights are learned online, chunk by chunk,
-by every partition of the vocabulary, and averaged; each example is left out of the counts it is judged by. A final
-table refines each gate's probability by what came true at such probabilities, learned in the same pass.
-
-As no context reaches over a word's beginning, a word's probability is a property of the word: it is computed once for
-each distinct word of the corpus, in a vocabulary table that grows with the corpus and is joined with the documents.
-Words that occur often (HOT of them at most) are looked up in a broadcast instead. A text's probability is that of its
-lower-cased words and of its end; the end's is the share of ends among the training tokens.
+"""Language-model scoring by online logistic context mixing over the bits of words, in the context of the words before.
+
+A token is coded bit by bit: its bytes and its end by an alphabetic code (frequent bytes have few bits, codes sort as bytes
+do). Six predictors each give a bit's log odds from the counts of what followed in their context:
+
+- one, two and three bytes before in the word, each with the state of the text, and four bytes before: tables by a hash of
+  the context and the byte's bits so far;
+- the word's whole beginning, over all training words, and over those that stood in the same state of the text: exact
+  counts, from the vocabulary in sorted order, where the words with a beginning are neighbours.
+
+The state of a text at a word is made of the WINDOW short words before it: one of STATES classes, the one under which they
+are likeliest, or none yet. The classes (as a rule languages and kinds of text) come from how often short words follow one
+another, counted over all training texts in BUCKETS hashed buckets, by expectation maximisation on that matrix.
+
+A gate (how often the two beginnings and the four-byte context were seen) selects the weights that combine the predictors;
+they are learned online, chunk by chunk, by every part of the vocabulary, and averaged by the tokens that the parts stand for;
+each token is left out of the counts it is judged by. A last table refines each gate's probability by what came true at
+such probabilities, learned in the same pass.
+
+All contexts are frozen after training, so a word's probability is a property of the word and the state: it is computed once
+for each such pair of the corpus, in a vocabulary table that grows with the corpus and is joined with the documents. Pairs
+that occur often (HOT of them at most) are looked up in a broadcast instead. The vocabulary is range-partitioned by word
+into parts of about PART rows; beginnings that cross a border between parts are added up in a table of their own. A text's
+probability is that of its lower-cased words and of its end; the end's is the share of ends among the training tokens.
 """
 
 from __future__ import annotations
@@ -24,96 +34,313 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, Words, buffers, drop, hash_spans, materialize, mix, powers, signed, slices
-
-PREDICTORS, TABLE_BITS = 4, (16, 18, 20, 22)
-_FIRST = np.cumsum([0, *(1 << b for b in TABLE_BITS)]).tolist()
-TABLE = _FIRST[-1]
-#: Words at most whose beginnings the whole-word predictor knows: the most frequent ones.
-WHOLE_WORDS = 1 << 17
-#: Words at most whose figures are broadcast: 24 bytes each.
+from .common import Words, buffers, drop, few_files, materialize, mix, signed, slices, summed
+
+#: Short words: bytes at most, hashed buckets, those before a word that make up the state, and classes of them.
+SHORT, BUCKETS, WINDOW, STATES = 4, 256, 24, 8
+#: Rounds of expectation maximisation, and the least probability of a bucket in a class.
+_ROUNDS, _LEAST = 200, 1e-6
+#: Bytes before a bit that make up the hashed contexts, and which of these have the state in them.
+ORDERS, WITH_STATE = (1, 2, 3, 4), (True, True, True, False)
+PREDICTORS = len(ORDERS) + 2
+#: Slots of a hashed context's table, as a power of two: 8 for each pair of the vocabulary, in these bounds.
+LEAST_BITS, MOST_BITS = 12, 20
+#: Symbols of a word whose beginnings are counted exactly; behind them the hashed contexts alone go on.
+DEPTH = 32
+#: Rows of the vocabulary in a part, on average.
+PART = 50_000
+#: Pairs at most whose figures are broadcast: 24 bytes each.
 HOT = 1 << 19
-#: Bytes of words whose bits are mixed at a time; the weights learn after each.
-CHUNK_BYTES = 1 << 14
-GATES, CELLS = 30, 33
-_DELTA, _RATE, _LIMIT = 0.03, 0.15, 12.0
-_START = np.array([0.0, 0.1, 0.3, 0.6])
-_EDGES = np.array([1, 2, 4, 16, 256])
-_EDGES_3 = np.array([1, 4, 64, 1024])
-#: Rows of a table that are summed by one group.
+#: Rows whose bits are mixed at a time; the weights learn after each.
+CHUNK = 2000
+#: Levels of the counts that make up a gate: of the beginning in the state, of the beginning, and of the last hashed context.
+_EDGES = (np.array([1, 2, 4, 16, 256]), np.array([1, 4, 64]), np.array([1, 16, 256]))
+_STEPS = (16, 4, 1)
+GATES, CELLS = 6 * 16, 33
+_DELTA, _RATE, _LIMIT = 0.1, 0.2, 12.0
+_START = np.array([0.0, 0.1, 0.2, 0.3, 0.2, 0.3])
+#: Values of a table that are summed by one group.
 _PIECE = 1 << 14
 
 
-def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lengths, bits, nodes) of a code for the 256 bytes: frequent ones have few bits. nodes: the tree's node before each bit."""
-    import heapq
-
-    heap = [(int(c) + 1, k, k) for k, c in enumerate(counts)]
-    heapq.heapify(heap)
-    above: dict[int, tuple[int, int]] = {}
-    for inner in range(256, 511):
-        (n, _, left), (m, _, right) = heapq.heappop(heap), heapq.heappop(heap)
-        above[left], above[right] = (inner, 0), (inner, 1)
-        heapq.heappush(heap, (n + m, inner, inner))
-    paths = []
-    for k in range(256):
-        path = []
-        while k in above:
-            k, bit = above[k]
-            path.append((bit, k - 256))
-        paths.append(path[::-1])
-    lengths = np.array([len(p) for p in paths])
-    bits, nodes = np.zeros((256, lengths.max()), np.uint8), np.zeros((256, lengths.max()), np.uint8)
-    for k, path in enumerate(paths):
-        bits[k, : len(path)], nodes[k, : len(path)] = zip(*path, strict=True)
-    return lengths, bits, nodes
+class Code:
+    """An alphabetic code for the end of a word (symbol 0) and the bytes (1 to 256): symbols' bits, and the tree's node before each."""
+
+    def __init__(self, counts: np.ndarray):
+        weight = np.cumsum(np.append(0, counts + 1 + counts.sum() * 1e-5))
+        paths: list[list[tuple[int, int]]] = [[] for _ in range(257)]
+        work, node = [(0, 257)], 0
+        while work:
+            first, end = work.pop()
+            if end - first > 1:
+                cut = int(np.clip(np.searchsorted(weight, (weight[first] + weight[end]) / 2), first + 1, end - 1))
+                if cut > first + 1 and abs(weight[cut - 1] - (weight[first] + weight[end]) / 2) < abs(weight[cut] - (weight[first] + weight[end]) / 2):
+                    cut -= 1
+                for s in range(first, end):
+                    paths[s].append((int(s >= cut), node))
+                node += 1
+                work += [(first, cut), (cut, end)]
+        self.length = np.array([len(p) for p in paths])
+        self.bits, self.nodes = (np.zeros((257, self.length.max()), np.int64) for _ in range(2))
+        for s, path in enumerate(paths):
+            self.bits[s, : len(path)], self.nodes[s, : len(path)] = zip(*path, strict=True)
+        same = np.cumprod(self.bits[:, None, :] == self.bits[None, :, :], axis=2, dtype=np.uint8).sum(axis=2)
+        #: Bits that two symbols' codes begin alike with.
+        self.alike = np.minimum(same, np.minimum(self.length[:, None], self.length[None, :]))
+        self.spread = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def classes_of(follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log prior of each class, log probability of each bucket in it) under which buckets that follow one another are independent.
+
+    In whole units of 2**-16, so that sums of them are exact in any order.
+    """
+    joint = (follows + follows.T).astype(np.float64)
+    share = (joint.sum(axis=0) + 1e-9) / (joint.sum() + 1e-9 * len(joint))
+    joint /= max(joint.sum(), 1)
+    inside = share * (0.5 + np.random.default_rng(1).random((STATES, len(share))))
+    inside /= inside.sum(axis=1, keepdims=True)
+    prior = np.full(STATES, 1 / STATES)
+    for _ in range(_ROUNDS if joint.any() else 0):
+        weighted = prior[:, None] * inside
+        new = weighted * (inside @ (joint / np.maximum(weighted.T @ inside, 1e-15)))
+        total = new.sum(axis=1)
+        prior, inside = total / total.sum(), new / np.maximum(total, 1e-15)[:, None]
+    return tuple(np.rint(np.log(np.maximum(x, least)) * 65536).astype(np.int64) for x, least in ((prior, 1e-9), (inside, _LEAST)))
+
+
+def _short(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the short words, their buckets)."""
+    at = np.flatnonzero(w.end - w.start <= SHORT)
+    return at, (w.hash[at] >> np.uint64(32)).astype(np.int64) % BUCKETS
+
+
+def states(w: Words, classes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Each word's state: 0 without a short word before it in its text, else 1 and its class."""
+    at, bucket = _short(w)
+    n = len(w.hash)
+    before = np.searchsorted(at, np.arange(n))
+    first = np.searchsorted(at, np.repeat(w.first[:-1], np.diff(w.first)))
+    first = np.maximum(first, before - WINDOW)
+    best, state = np.full(n, np.iinfo(np.int64).min), np.zeros(n, np.int64)
+    for k in range(STATES):
+        total = np.append(0, np.cumsum(classes[1][k][bucket]))
+        value = classes[0][k] + total[before] - total[first]
+        better = (value > best) & (before > first)
+        best[better], state[better] = value[better], k + 1
+    return state
+
+
+def _count_follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS * BUCKETS)
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            w = Words(*buffers(batch.column("text")))
+            at, bucket = _short(w)
+            text = np.searchsorted(w.first, at, side="right")
+            same = text[1:] == text[:-1]
+            total += np.bincount(bucket[:-1][same] * BUCKETS + bucket[1:][same], minlength=BUCKETS * BUCKETS)
+    yield from _pieces(total)
+
+
+def _pieces(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(total), _PIECE):
+        part = total[k : k + _PIECE]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k // _PIECE], pa.int32()), pa.array([part.astype(np.float64).tobytes()], pa.binary())], ["piece", "sums"])
+
+
+def _whole_table(pieces: DataFrame, size: int) -> np.ndarray:
+    """The sum of tables that tasks gave in pieces; the table has a fixed size, whatever the input."""
+    out = np.zeros(size)
+    for k, x in summed(pieces).toLocalIterator():
+        out[k * _PIECE : (k + 1) * _PIECE] = np.frombuffer(x, np.float64)
+    return out
+
+
+def _pair(h: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """A number for a word in a state."""
+    return signed(mix(h + state.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _count_words(shared):
+    """(pair, h, state, word, n, learned): occurrences of each word in each state, and those in documents to learn from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pair", "h", "state", "word", "n", "learned"]
+        for whole in batches:
+            parts: list[tuple] = []
+            for batch in slices(whole, "text"):
+                w = Words(*buffers(batch.column("text")))
+                learn = np.repeat(batch.column("learn").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(w.first))
+                state = states(w, shared.value)
+                pair, first, back = np.unique(_pair(w.hash, state), return_index=True, return_inverse=True)
+                starts, sizes = w.start[first], w.end[first] - w.start[first]
+                cuts = np.cumsum(np.append(0, sizes))
+                text = w.data[np.repeat(starts - cuts[:-1], sizes) + np.arange(cuts[-1])]
+                words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pair), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(text)])
+                parts.append((pair, w.hash[first], state[first], words, np.bincount(back, minlength=len(pair)), np.bincount(back, learn, len(pair)).astype(np.int64)))
+            if parts:
+                pair, first, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+                h, state = (np.concatenate([p[k] for p in parts])[first] for k in (1, 2))
+                n, learned = (np.bincount(back, np.concatenate([p[k] for p in parts]), len(pair)).astype(np.int64) for k in (4, 5))
+                words = pa.chunked_array([p[3] for p in parts], pa.large_binary()).take(pa.array(first)).combine_chunks()
+                words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
+                for k in range(0, len(pair), 50_000):
+                    to = slice(k, k + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[to]), pa.array(signed(h[to].copy())), pa.array(state[to].astype(np.int32)), words.slice(k, 50_000).cast(pa.binary()), pa.array(n[to]), pa.array(learned[to])], names)
+
+    return run
+
+
+def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(257)
+    for batch in batches:
+        data, offsets = buffers(batch.column("word"))
+        learned = batch.column("learned").to_numpy()
+        total[1:] += np.bincount(data, np.repeat(learned, np.diff(offsets)), 256)
+        total[0] += learned.sum()
+    yield from _pieces(total)
+
+
+class Symbols:
+    """Words as symbols, the end included: one flat array, and where each word begins in it."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        n = len(offsets) - 1
+        self.start = offsets + np.arange(n + 1)
+        self.flat = np.zeros(len(data) + n, np.int64)
+        keep = np.ones(len(self.flat), bool)
+        keep[self.start[1:] - 1] = False
+        self.flat[keep] = data.astype(np.int64) + 1
+        self.size = np.diff(self.start)
+        self.word = np.repeat(np.arange(n), self.size)
+        self.at = np.arange(len(self.flat)) - self.start[self.word]
 
 
 class Bits:
-    """For all bits of some words: slots (predictor, bit), the bit, and the word."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        sizes = np.diff(offsets)
-        n = len(sizes)
-        flat = np.full(len(data) + n, 32, np.uint8)
-        start = offsets[:-1] + np.arange(n)
-        word = np.repeat(np.arange(n), sizes + 1)
-        keep = np.ones(len(flat), bool)
-        keep[offsets[1:] + np.arange(n)] = False
-        flat[keep] = data
-        at = np.arange(len(flat)) - start[word]
-        back = [np.zeros(len(flat), np.uint64) for _ in range(3)]
-        for k in range(3):
-            back[k][k + 1 :] = flat[: -k - 1] if len(flat) > k + 1 else 0
-            back[k][at <= k] = 0
-        base = 0x100000001B3
-        total = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * powers(base, len(flat)), out=total[1:])
-        prefix = (total[:-1] - total[start[word]]) * powers(pow(base, -1, 1 << 64), len(flat) + 1)[start[word]]
-        one = back[0] + np.uint64(1)
-        two = one * np.uint64(257) + back[1]
-        three = two * np.uint64(257) + back[2]
-        contexts = [mix(c + np.uint64(k << 56)) for k, c in enumerate((one, two, three, prefix + at.astype(np.uint64)))]
-        lengths, bits, nodes = code
-        size = lengths[flat]
-        owner = np.repeat(np.arange(len(flat)), size)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        symbol = flat[owner]
-        self.y = bits[symbol, place]
-        spread = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[nodes[symbol, place]]
-        self.slots = [((c[owner] ^ spread) >> np.uint64(64 - b)).astype(np.int64) + first for c, b, first in zip(contexts, TABLE_BITS, _FIRST, strict=False)]
-        self.word, self.n_words = word[owner], n
-
-    def per_word(self, of_bits: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, of_bits, self.n_words)
-
-
-def _chunks(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    yield from slices(batch, "word", size)
-
-
-def _gate(seen_word: np.ndarray, seen_3: np.ndarray) -> np.ndarray:
-    return np.searchsorted(_EDGES, seen_word, side="right") * 5 + np.searchsorted(_EDGES_3, seen_3, side="right")
+    """For all bits of some words: the bit, the word, and the slot in each hashed context's table."""
+
+    def __init__(self, s: Symbols, state: np.ndarray, code: Code, table_bits: int):
+        back, contexts = np.zeros(len(s.flat), np.uint64), []
+        for k, (order, with_state) in enumerate(zip(ORDERS, WITH_STATE, strict=True)):
+            earlier = np.zeros(len(s.flat), np.uint64)
+            earlier[order:] = s.flat[:-order] if len(s.flat) > order else 0
+            earlier[s.at < order] = 0
+            back = back * np.uint64(263) + earlier + np.uint64(1)
+            own = state[s.word].astype(np.uint64) << np.uint64(48) if with_state else np.uint64(0)
+            contexts.append(mix((back ^ own) + np.uint64((k + 1) << 58)))
+        size = code.length[s.flat]
+        owner = np.repeat(np.arange(len(s.flat)), size)
+        self.place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        symbol = s.flat[owner]
+        self.y, spread = code.bits[symbol, self.place], code.spread[code.nodes[symbol, self.place]]
+        self.slots = [((c[owner] ^ spread) >> np.uint64(64 - table_bits)).astype(np.int64) + (k << table_bits) for k, c in enumerate(contexts)]
+        self.word = s.word[owner]
+        self.first = np.append(0, np.cumsum(np.bincount(self.word, minlength=len(s.size))))
+
+
+class Beginnings:
+    """Counts of the next bit after every beginning of a part's words, in sorted order: over all states, and in the word's own.
+
+    Words have DEPTH symbols at most here. edge: the counts (states, 2) of beginnings that other parts have too, by name.
+    """
+
+    def __init__(self, s: Symbols, state: np.ndarray, count: np.ndarray, code: Code):
+        m = len(s.size)
+        self.code, self.state, self.count, self.kinds = code, state, count.astype(np.float64), STATES + 1
+        here = s.at < DEPTH
+        symbols = np.zeros((m, DEPTH), np.int64)
+        symbols[s.word[here], s.at[here]] = s.flat[here]
+        self.order = np.lexsort((state, *symbols.T[::-1]))
+        self.symbols, self.size = symbols[self.order], np.minimum(s.size, DEPTH)[self.order]
+        lengths = np.where(np.arange(DEPTH) < self.size[:, None], code.length[self.symbols], 0)
+        to = np.cumsum(lengths, axis=1)
+        self.bits = to[:, -1] if m else np.zeros(0, np.int64)
+        #: Bits that a word begins alike with as the one before.
+        self.alike = np.full(m, -1)
+        if m > 1:
+            differ = self.symbols[1:] != self.symbols[:-1]
+            at, rows = differ.argmax(axis=1), np.arange(m - 1)
+            shared = code.alike[self.symbols[1:][rows, at], self.symbols[:-1][rows, at]] + np.where(at > 0, to[1:][rows, np.maximum(at, 1) - 1], 0)
+            self.alike[1:] = np.where(differ.any(axis=1), shared, self.bits[1:])
+        #: All words' bits, and where each word's begin.
+        flat = self.symbols[np.arange(DEPTH) < self.size[:, None]]
+        size = code.length[flat]
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        self.y = code.bits[np.repeat(flat, size), place]
+        self.start = np.cumsum(self.bits) - self.bits
+
+    def edge_names(self, row: int) -> np.ndarray:
+        """Names of the beginnings (one for each bit) of a row, by its place in sorted order."""
+        out, h = [], np.uint64(0x51ED270B)
+        for symbol in self.symbols[row, : self.size[row]].tolist():
+            out.append(mix(h ^ self.code.spread[self.code.nodes[symbol, : self.code.length[symbol]]]))
+            h = mix(np.array([h + np.uint64(symbol + 1)]))[0]
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    def edge_counts(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(names, states, counts (n, 2)) of the beginnings of the first and the last word, the latter's but for the former's."""
+        m, out = len(self.size), []
+        if not m:
+            return out
+        both = int(self.alike[1:].min()) if m > 1 else int(self.bits[0])
+        for row, least in ((0, 0), (m - 1, both + 1)):
+            names = self.edge_names(row)
+            # Rows that share at least this many bits with the edge's word.
+            lcp = np.minimum.accumulate(np.append(self.bits[0], self.alike[1:])) if row == 0 else np.append(np.minimum.accumulate(self.alike[1:][::-1])[::-1], self.bits[-1])
+            for depth in range(least, len(names)):
+                rows = np.flatnonzero((lcp >= depth) & (self.bits > depth))
+                counts = np.bincount(self.state[self.order[rows]] * 2 + self.y[self.start[rows] + depth], self.count[self.order[rows]], 2 * self.kinds).reshape(-1, 2)
+                where = np.flatnonzero(counts.any(axis=1))
+                # A name without counts asks for those of other parts.
+                out.append((np.full(max(1, len(where)), names[depth]), where if len(where) else np.zeros(1, np.int64), counts[where] if len(where) else np.zeros((1, 2))))
+        return out
+
+    def counts(self, first: np.ndarray, edge: dict[int, np.ndarray]) -> np.ndarray:
+        """(bits, all or own state, 2) for the bits of the words as given; first: where each word's bits begin."""
+        m = len(self.size)
+        out = np.zeros((int(first[-1]), 2, 2), np.float32)
+        if not m:
+            return out
+        start, own = first[self.order], self.count[self.order]
+        state = self.state[self.order]
+        names = [self.edge_names(row) if edge else np.zeros(0, np.uint64) for row in (0, m - 1)]
+        nearest = np.maximum(self.alike, np.append(self.alike[1:], -1))
+        alone = np.maximum(nearest + 1, 0)  # from this depth on a word is alone in its beginning
+        for row, of in zip((0, m - 1), names, strict=True):
+            alone[row] = max(alone[row], len(of))
+        depth, rows = 0, np.arange(m)
+        while True:
+            rows = rows[(self.bits[rows] > depth) & (alone[rows] > depth)]
+            if not len(rows):
+                break
+            group = np.cumsum(self.alike[rows] < depth) - 1
+            n = int(group[-1]) + 1
+            key = (group * self.kinds + state[rows]) * 2 + self.y[self.start[rows] + depth]
+            by_state = np.bincount(key, own[rows], n * self.kinds * 2).reshape(n, self.kinds, 2)
+            for row, of in zip((0, m - 1), names, strict=True):
+                if depth < len(of) and (found := edge.get(int(of[depth]))) is not None:
+                    at = np.flatnonzero(rows == row)
+                    if len(at):
+                        by_state[group[at[0]]] = found
+            out[start[rows] + depth, 0] = by_state.sum(axis=1)[group]
+            out[start[rows] + depth, 1] = by_state[group, state[rows]]
+            depth += 1
+        rest = np.maximum(self.bits - np.minimum(alone, self.bits), 0)
+        owner = np.repeat(np.arange(m), rest)
+        at = np.minimum(alone, self.bits)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(rest) - rest, rest)
+        bit, at = self.y[self.start[owner] + at], start[owner] + at
+        out[at, 0, bit] = out[at, 1, bit] = own[owner]
+        return out
+
+
+_LEVELS = [(np.searchsorted(edges, np.arange(int(edges[-1]) + 1), side="right") * step).astype(np.uint8) for edges, step in zip(_EDGES, _STEPS, strict=True)]
+
+
+def _level(counts: np.ndarray, k: int) -> np.ndarray:
+    """A count's part of the gate's number; counts are whole."""
+    return _LEVELS[k][np.minimum(counts, _EDGES[k][-1]).astype(np.int64)]
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -124,147 +351,180 @@ def _cell(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((x + 8) * 2), 0, CELLS - 1).astype(np.int64)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, word, n, learned): occurrences of each word, and those in documents to learn from."""
-    for whole in batches:
-        parts: list[tuple[np.ndarray, ...]] = []
-        for batch in slices(whole, "text"):
-            w = Words(*buffers(batch.column("text")))
-            learn = np.repeat(batch.column("learn").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(w.first))
-            h, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-            starts, sizes = w.start[first], w.end[first] - w.start[first]
+def _odds(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts[:, 1] + np.float32(_DELTA)) / (counts[:, 0] + np.float32(_DELTA)))
+
+
+class Part:
+    """Rows of the vocabulary that are neighbours in sorted order, ready to be mixed."""
+
+    def __init__(self, table: pa.Table, edges: pa.Table, code: Code, table_bits: int):
+        data, offsets = buffers(table.column("word"))
+        self.code, self.table_bits, self.data, self.offsets = code, table_bits, data, offsets
+        self.state, self.learned = table.column("state").to_numpy().astype(np.int64), table.column("learned").to_numpy().astype(np.float64)
+        symbols = Symbols(data, offsets)
+        bits = np.bincount(symbols.word, code.length[symbols.flat], len(symbols.size)).astype(np.int64)
+        self.first = np.append(0, np.cumsum(bits))
+        self.begun = Beginnings(symbols, self.state, self.learned, code).counts(self.first, _edge_table(edges))
+
+    def chunks(self, by: np.ndarray) -> Iterator[tuple[np.ndarray, Bits, np.ndarray]]:
+        """(rows, their bits, their beginnings' counts) in this order, CHUNK rows at a time."""
+        for k in range(0, len(by), CHUNK):
+            rows = by[k : k + CHUNK]
+            sizes = np.diff(self.offsets)[rows]
             cuts = np.cumsum(np.append(0, sizes))
-            text = w.data[np.repeat(starts - cuts[:-1], sizes) + np.arange(cuts[-1])]
-            parts.append((h, np.bincount(back, minlength=len(h)), np.bincount(back, learn, len(h)).astype(np.int64), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(h), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(text)])))
-        if parts:
-            h, first, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-            n, learned = (np.bincount(back, np.concatenate([p[k] for p in parts]), len(h)).astype(np.int64) for k in (1, 2))
-            words = pa.chunked_array([p[3] for p in parts], pa.large_binary()).take(pa.array(first)).combine_chunks()
-            words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
-            for k in range(0, len(h), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[k : k + 50_000])), words.slice(k, 50_000).cast(pa.binary()), pa.array(n[k : k + 50_000]), pa.array(learned[k : k + 50_000])], ["h", "word", "n", "learned"])
+            data = self.data[np.repeat(self.offsets[rows] - cuts[:-1], sizes) + np.arange(cuts[-1])]
+            n = np.diff(self.first)[rows]
+            to = np.cumsum(n)
+            yield rows, Bits(Symbols(data, cuts), self.state[rows], self.code, self.table_bits), self.begun[np.repeat(self.first[rows] - (to - n), n) + np.arange(int(to[-1]))]
 
 
-def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256)
-    for batch in batches:
-        data, offsets = buffers(batch.column("word"))
-        total += np.bincount(data, np.repeat(batch.column("learned").to_numpy(), np.diff(offsets)), 256)
-        total[32] += batch.column("learned").to_numpy().sum()
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total.astype(np.int64))], ["byte", "n"])
+def _edge_table(edges: pa.Table) -> dict[int, np.ndarray]:
+    """Counts (states, 2) of each edge's name."""
+    out: dict[int, np.ndarray] = {}
+    for name, state, zero, one in zip(*(edges.column(c).to_pylist() for c in ("name", "state", "zero", "one")), strict=True):
+        out.setdefault(name % (1 << 64), np.zeros((STATES + 1, 2)))[state] = zero, one
+    return out
 
 
-def _count_bits(code, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2 * TABLE)
-        for whole in batches:
-            for batch in _chunks(whole, 1 << 16):
-                bits = Bits(*buffers(batch.column("word")), code)
-                learned = batch.column("learned").to_numpy().astype(np.float64)
-                for k in range(PREDICTORS):
-                    weight = np.where(learned >= least, learned, 0) if k == 3 else learned
-                    at, which = np.unique(bits.slots[k] * 2 + bits.y, return_inverse=True)
-                    table[at] += np.bincount(which, weight[bits.word])
-        flat = table.astype(np.float32).reshape(-1, _PIECE)
-        for k in np.flatnonzero(flat.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([flat[k].tobytes()], pa.binary())], ["piece", "counts"])
+_RANKED = "part int, pair long, h long, state int, word binary, n long, learned long, word_learned long, name long, zero double, one double"
 
-    return run
 
+def _ranked(code: Code):
+    """Over range-partitioned rows: each with its part and its word's count over all states, and the part's edges (name)."""
 
-def _sum_pieces(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(_PIECE, np.float64)
-    for batch in batches:
-        for x in batch.column("counts").to_pylist():
-            total += np.frombuffer(x, np.float32)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["piece", "counts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        part, table = TaskContext.get().partitionId(), pa.Table.from_batches(rows)
+        n, h = table.num_rows, table.column("h").to_numpy()
+        learned = table.column("learned").to_numpy()
+        _, back = np.unique(h, return_inverse=True)
+        of_word = np.bincount(back, learned).astype(np.int64)[back]
+        empty = lambda kind, m: pa.nulls(m, kind)
+        names = [x.split(" ")[0] for x in _RANKED.split(", ")]
+        full = pa.Table.from_arrays([pa.array(np.full(n, part, np.int32)), *(table.column(c) for c in ("pair", "h", "state", "word", "n", "learned")), pa.array(of_word), empty(pa.int64(), n), empty(pa.float64(), n), empty(pa.float64(), n)], names)
+        yield from full.to_batches(max_chunksize=20_000)
+        found = Beginnings(Symbols(*buffers(table.column("word"))), table.column("state").to_numpy().astype(np.int64), learned, code).edge_counts()
+        if found:
+            name, state, counts = (np.concatenate([x[k] for x in found]) for k in range(3))
+            m = len(name)
+            none = [empty(kind, m) for kind in (pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int32)), *none, pa.array(state.astype(np.int32)), empty(pa.binary(), m), empty(pa.int64(), m), empty(pa.int64(), m), empty(pa.int64(), m), pa.array(signed(name.astype(np.uint64))), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names)
 
+    return run
 
-def _learn_weights(shared, code, least: int):
+
+def _count_bits(code: Code, table_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        weights = np.tile(_START, (GATES, 1))
-        cells, seen = np.zeros((GATES * CELLS, 2)), 0.0
+        table = np.zeros(2 * len(ORDERS) << table_bits)
         for whole in batches:
-            for batch in _chunks(whole, CHUNK_BYTES):
-                bits = Bits(*buffers(batch.column("word")), code)
-                learned = batch.column("learned").to_numpy()
-                share = learned.astype(np.float64)
-                c = share[bits.word]
-                x, total = np.empty((len(bits.y), PREDICTORS)), []
-                for k in range(PREDICTORS):
-                    n = counts[bits.slots[k]].astype(np.float64)
-                    n[np.arange(len(n)), bits.y] -= (learned >= least)[bits.word] if k == 3 else 1
-                    np.maximum(n, 0, out=n)
-                    x[:, k] = np.log((n[:, 1] + _DELTA) / (n[:, 0] + _DELTA))
-                    total.append(n.sum(axis=1))
-                gate = _gate(total[3], total[2])
-                dot = (weights[gate] * x).sum(axis=1)
-                p = _squash(dot)
-                error, curve = (bits.y - p) * c, c * np.maximum(p * (1 - p), 1e-4)
-                for k in range(PREDICTORS):
-                    step = np.bincount(gate, error * x[:, k], GATES) / (np.bincount(gate, curve * x[:, k] ** 2, GATES) + 50)
-                    weights[:, k] += _RATE * np.clip(step, -1, 1)
-                at = gate * CELLS + _cell(dot)
-                cells *= 0.998
-                cells[:, 0] += np.bincount(at, c, GATES * CELLS)
-                cells[:, 1] += np.bincount(at, c * bits.y, GATES * CELLS)
-                seen += share.sum()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([(weights * seen).ravel().tolist()]), pa.array([cells.ravel().tolist()])], ["seen", "weights", "cells"])
+            for batch in slices(whole, "word", 1 << 16):
+                bits = Bits(Symbols(*buffers(batch.column("word"))), batch.column("state").to_numpy(), code, table_bits)
+                n = batch.column("learned").to_numpy().astype(np.float64)[bits.word]
+                for slots in bits.slots:
+                    np.add.at(table, slots * 2 + bits.y, n)
+        yield from _pieces(table)
 
     return run
 
 
+def learned_weights(part: Part, hashed: np.ndarray, by: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(tokens, weights, cells) that the rows of a part give, each token left out of the counts it is judged by."""
+    weights, cells, seen = np.tile(_START, (GATES, 1)), np.zeros((GATES * CELLS, 2)), 0.0
+    for rows, bits, begun in part.chunks(by):
+        at, share = np.arange(len(bits.y)), part.learned[rows]
+        x, total = [], []
+        for counts in (*(hashed[slots] for slots in bits.slots), begun[:, 0].copy(), begun[:, 1].copy()):
+            counts[at, bits.y] -= 1
+            np.maximum(counts, 0, out=counts)
+            x.append(_odds(counts))
+            total.append(counts[:, 0] + counts[:, 1])
+        gate = (_level(total[-1], 0) + _level(total[-2], 1) + _level(total[-3], 2)).astype(np.int64)
+        c, dot = share[bits.word].astype(np.float32), np.zeros(len(bits.y), np.float32)
+        for k in range(PREDICTORS):
+            dot += weights[:, k].astype(np.float32)[gate] * x[k]
+        p = _squash(dot)
+        error, curve = (bits.y - p).astype(np.float32) * c, c * np.maximum(p * (1 - p), np.float32(1e-4))
+        for k in range(PREDICTORS):
+            step = np.bincount(gate, error * x[k], GATES) / (np.bincount(gate, curve * x[k] ** 2, GATES) + 50)
+            weights[:, k] += _RATE * np.clip(step, -1, 1)
+        cell = gate * CELLS + _cell(dot)
+        cells *= 0.998
+        cells[:, 0] += np.bincount(cell, c, GATES * CELLS)
+        cells[:, 1] += np.bincount(cell, c * bits.y, GATES * CELLS)
+        seen += share.sum()
+    return seen, weights, cells
+
+
 class Mixer:
-    """The frozen model of words: tables of log odds and counts, weights by gate, refinement by gate and cell."""
-
-    def __init__(self, counts: np.ndarray, weights: np.ndarray, cells: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.code = code
-        self.odds = np.log((counts[..., 1] + _DELTA) / (counts[..., 0] + _DELTA)).astype(np.float32)
-        total = counts.sum(axis=-1)
-        whole, three = total[_FIRST[3] :], total[_FIRST[2] : _FIRST[3]]
-        self.level = (np.searchsorted(_EDGES, whole, side="right") * 5).astype(np.uint8), np.searchsorted(_EDGES_3, three, side="right").astype(np.uint8)
+    """The frozen model: counts of the hashed contexts, weights by gate, refinement by gate and cell."""
+
+    def __init__(self, hashed: np.ndarray, weights: np.ndarray, cells: np.ndarray):
+        self.odds = np.log((hashed[:, 1] + _DELTA) / (hashed[:, 0] + _DELTA)).astype(np.float32)
+        self.level = _level(hashed[-(len(hashed) // len(ORDERS)) :].sum(axis=1), 2).astype(np.uint8)
         self.weights = weights.astype(np.float32)
         middle = _squash(np.tile(np.arange(CELLS) / 2 - 8, GATES))
         self.refined = ((cells[:, 1] + 20 * middle) / (cells[:, 0] + 20)).astype(np.float32)
 
-    def log10(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 of each word's probability."""
-        bits = Bits(data, offsets, self.code)
-        gate = (self.level[0][bits.slots[3] - _FIRST[3]] + self.level[1][bits.slots[2] - _FIRST[2]]).astype(np.int64)
+    def ones(self, bits: Bits, begun: np.ndarray) -> np.ndarray:
+        """The probability that each bit is one."""
+        last = bits.slots[-1] - (len(self.odds) - len(self.level))
+        gate = (_level(begun[:, 1, 0] + begun[:, 1, 1], 0) + _level(begun[:, 0, 0] + begun[:, 0, 1], 1) + self.level[last]).astype(np.int64)
         dot = np.zeros(len(bits.y), np.float32)
-        for k in range(PREDICTORS):
+        for k in range(len(ORDERS)):
             dot += self.weights[gate, k] * self.odds[bits.slots[k]]
-        p = (_squash(dot) + self.refined[gate * CELLS + _cell(dot)]) / 2
-        return bits.per_word(np.log10(np.maximum(np.where(bits.y == 1, p, 1 - p), 1e-7)))
+        for k in range(2):
+            dot += self.weights[gate, len(ORDERS) + k] * _odds(begun[:, k])
+        at = np.clip((dot + 8) * 2, 0, CELLS - 1)
+        low = np.minimum(at.astype(np.int64), CELLS - 2)
+        at -= low
+        low += gate * CELLS
+        return np.clip((_squash(dot) + self.refined[low] * (1 - at) + self.refined[low + 1] * at) / 2, 1e-7, 1 - 1e-7)
+
+    def log10(self, part: Part) -> np.ndarray:
+        """log10 of the probability of each row's word in its state."""
+        out = np.zeros(len(part.state))
+        for rows, bits, begun in part.chunks(np.arange(len(part.state))):
+            p = self.ones(bits, begun)
+            out[rows] = np.bincount(bits.word, np.log10(np.where(bits.y == 1, p, 1 - p)), len(rows))
+        return out
+
+
+def _learn_part(shared, code: Code, table_bits: int):
+    def run(table: pa.Table, edges: pa.Table) -> pa.Table:
+        part, hashed = Part(table, edges, code, table_bits), shared.value
+        by = np.argsort(mix(table.column("pair").to_numpy().view(np.uint64)), kind="stable")
+        seen, weights, cells = learned_weights(part, hashed, by[part.learned[by] > 0])
+        sums = np.concatenate(([seen], (weights * seen).ravel(), cells.ravel()))
+        return pa.table({"piece": pa.array([0], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
 
+    return run
 
-def _score_words(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for whole in batches:
-            for batch in _chunks(whole, 1 << 16):
-                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), batch.column("learned"), pa.array(model.log10(*buffers(batch.column("word"))))], ["h", "n", "learned", "log10"])
+
+def _score_part(shared, code: Code, table_bits: int):
+    def run(table: pa.Table, edges: pa.Table) -> pa.Table:
+        logs = shared.value.log10(Part(table, edges, code, table_bits))
+        return table.select(["pair", "n", "word_learned"]).append_column("log10", pa.array(logs, pa.float64()))
 
     return run
 
 
-def _score_texts(shared):
+def _score_texts(classes, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, learned, logs, base_rest = shared.value
         key = TaskContext.get().partitionId() << 40
-        names = ["key", "h", "tf", "doc_id", "n_words", "n_bytes", "known", "base", "score"]
+        names = ["key", "pair", "tf", "doc_id", "n_words", "n_bytes", "known", "base", "score"]
         for whole in batches:
             for batch in slices(whole, "text"):
                 w = Words(*buffers(batch.column("text")))
                 texts = batch.num_rows
                 owner = np.repeat(np.arange(texts), np.diff(w.first))
-                h, back = np.unique(w.hash, return_inverse=True)
-                h = signed(h)
-                at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
-                found = hot[at] == h if len(hot) else np.zeros(len(h), bool)
-                c, lg = (np.where(found, x[at], 0) if len(hot) else np.zeros(len(h)) for x in (learned, logs))
+                pair, back = np.unique(_pair(w.hash, states(w, classes.value)), return_inverse=True)
+                at = np.minimum(np.searchsorted(hot, pair), max(len(hot) - 1, 0))
+                found = hot[at] == pair if len(hot) else np.zeros(len(pair), bool)
+                c, lg = (np.where(found, x[at], 0) if len(hot) else np.zeros(len(pair)) for x in (learned, logs))
                 base = np.where(found, np.log10(c + 1) + base_rest, 0.0)
                 keys = key + np.arange(texts)
                 key += texts
@@ -273,20 +533,20 @@ def _score_texts(shared):
                 none = np.zeros(texts, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(signed(mix(keys.astype(np.uint64)))), pa.array(none), batch.column("doc_id"), pa.array(np.diff(w.first)), pa.array(n_bytes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names)
                 rest = np.flatnonzero(~found[back])
-                pairs, tf = np.unique(owner[rest] * np.int64(len(h) + 1) + back[rest], return_counts=True)
+                pairs, tf = np.unique(owner[rest] * np.int64(len(pair) + 1) + back[rest], return_counts=True)
                 n = len(pairs)
                 for k in range(0, n, 100_000):
                     part, many = pairs[k : k + 100_000], tf[k : k + 100_000]
                     null = lambda t: pa.nulls(len(part), t)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[part // (len(h) + 1)]), pa.array(h[part % (len(h) + 1)]), pa.array(many.astype(np.int64)), null(pa.int64()), null(pa.int64()), null(pa.int64()), null(pa.int64()), null(pa.float64()), null(pa.float64())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part // (len(pair) + 1)]), pa.array(pair[part % (len(pair) + 1)]), pa.array(many.astype(np.int64)), null(pa.int64()), null(pa.int64()), null(pa.int64()), null(pa.int64()), null(pa.float64()), null(pa.float64())], names)
 
     return run
 
 
-def _threshold(words: DataFrame, column: str, most: int) -> int:
-    """The least power of two that at most so many words reach."""
+def _threshold(rows: DataFrame, column: str, most: int) -> int:
+    """The least power of two that at most so many rows reach."""
     level, above = 0, 0
-    for level, n in words.groupBy(F.floor(F.log2(column)).cast("int").alias("level")).count().orderBy(F.desc("level")).collect():
+    for level, n in rows.groupBy(F.floor(F.log2(column)).cast("int").alias("level")).count().orderBy(F.desc("level")).collect():
         above += n
         if above > most:
             return 1 << (level + 1)
@@ -302,41 +562,49 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     a row each. If nothing is learned, all counts are 0. Other columns aren't read; an empty table gives an empty result.
     """
     spark = documents.sparkSession
+    sc = spark.sparkContext
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    counted = docs.select("text", "learn").mapInArrow(_count_words, "h long, word binary, n long, learned long")
-    vocabulary = materialize(counted.groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("n"), F.sum("learned").alias("learned")), "lm-words")
+    follows = _whole_table(docs.where("learn").select("text").mapInArrow(_count_follows, "piece int, sums binary"), BUCKETS * BUCKETS)
+    classes = sc.broadcast(classes_of(follows.reshape(BUCKETS, BUCKETS)))
+    counted = docs.select("text", "learn").mapInArrow(_count_words(classes), "pair long, h long, state int, word binary, n long, learned long")
+    vocabulary = materialize(counted.groupBy("pair").agg(F.first("h").alias("h"), F.first("state").alias("state"), F.first("word").alias("word"), F.sum("n").alias("n"), F.sum("learned").alias("learned")), "lm-words")
     ends = docs.select("learn").agg(F.sum(F.col("learn").cast("long"))).first()[0] or 0
-    tokens, distinct = vocabulary.where("learned > 0").agg(F.coalesce(F.sum("learned"), F.lit(0)), F.count("*")).first()
-    total, kinds = tokens + ends, distinct + (ends > 0)
-    known = vocabulary.where("learned > 0")
-    code = huffman(np.array([n for _, n in sorted(known.select("word", "learned").mapInArrow(_count_bytes, "byte long, n long").groupBy("byte").agg(F.sum("n")).collect())] or [0] * 256))
-    least = _threshold(known, "learned", WHOLE_WORDS)
+    size = vocabulary.count()
+    known = vocabulary.where("learned > 0").select("state", "word", "learned")
+    code = Code(_whole_table(known.mapInArrow(_count_bytes, "piece int, sums binary"), 257))
+    table_bits = int(np.clip(np.ceil(np.log2(8 * max(size, 1))), LEAST_BITS, MOST_BITS))
     # Few partitions: each holds the tables of all predictors, and sends them once.
     few = known.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
-    pieces = few.select("word", "learned").mapInArrow(_count_bits(code, least), "piece int, counts binary").groupBy("piece").applyInArrow(_sum_pieces, "piece int, counts binary")
-    counts = np.zeros((2 * TABLE // _PIECE, _PIECE), np.float32)
-    for piece, x in pieces.toLocalIterator():
-        counts[piece] = np.frombuffer(x, np.float32)
-    counts = counts.reshape(TABLE, 2)
-    shared = spark.sparkContext.broadcast(counts)
-    learned = known.select("word", "learned").mapInArrow(_learn_weights(shared, code, least), "seen double, weights array<double>, cells array<double>").collect()
-    seen = sum(r[0] for r in learned)
-    weights = (np.sum([r[1] for r in learned], axis=0) / seen if seen else np.tile(_START, GATES)).reshape(GATES, PREDICTORS)
-    cells = (np.sum([r[2] for r in learned], axis=0) if seen else np.zeros(2 * GATES * CELLS)).reshape(-1, 2)
-    model = spark.sparkContext.broadcast(Mixer(counts, weights, cells, code))
-    figures = materialize(vocabulary.mapInArrow(_score_words(model), "h long, n long, learned long, log10 double"), "lm-figures")
+    hashed = _whole_table(few.mapInArrow(_count_bits(code, table_bits), "piece int, sums binary"), 2 * len(ORDERS) << table_bits).astype(np.float32).reshape(-1, 2)
+    # Equal words go to one part, whatever their states.
+    parts = max(1, -(-size // PART))
+    ranked = materialize(vocabulary.repartitionByRange(parts, "word").mapInArrow(_ranked(code), _RANKED), "lm-ranked")
+    rows = ranked.where("pair is not null").select("part", "pair", "h", "state", "word", "n", "learned", "word_learned")
+    edges = ranked.where("pair is null").select("part", "state", "name", "zero", "one")
+    totals = edges.groupBy("name", "state").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).where("zero > 0 or one > 0")
+    edges = materialize(edges.select("part", "name").distinct().join(totals, "name"), "lm-edges", few_files(spark))
+    shared = sc.broadcast(hashed)
+    by_part = lambda: rows.groupBy("part").cogroup(edges.groupBy("part"))
+    learned = _whole_table_rows(by_part().applyInArrow(_learn_part(shared, code, table_bits), "piece int, sums binary"))
+    seen = learned[0]
+    weights = learned[1 : 1 + GATES * PREDICTORS].reshape(GATES, -1) / seen if seen else np.tile(_START, (GATES, 1))
+    cells = learned[1 + GATES * PREDICTORS :].reshape(-1, 2)
+    model = sc.broadcast(Mixer(hashed, weights, cells))
+    figures = materialize(by_part().applyInArrow(_score_part(model, code, table_bits), "pair long, n long, word_learned long, log10 double"), "lm-figures")
     shared.unpersist()
     model.unpersist()
+    tokens, distinct = rows.where("word_learned > 0").agg(F.coalesce(F.sum("learned"), F.lit(0)), F.count_distinct("h")).first()
+    total, kinds = tokens + ends, distinct + (ends > 0)
     often = _threshold(figures, "n", HOT)
-    hot = figures.where(F.col("n") >= often).select("h", "learned", "log10").toArrow().sort_by("h")
-    hot_h, hot_c, hot_log = (np.array(hot.column(c).to_numpy()) for c in ("h", "learned", "log10"))
+    hot = figures.where(F.col("n") >= often).select("pair", "word_learned", "log10").toArrow().sort_by("pair")
+    hot_h, hot_c, hot_log = (np.array(hot.column(c).to_numpy()) for c in ("pair", "word_learned", "log10"))
     per = -float(np.log10(total + kinds + 1))
     end = float(np.log10((ends + 1) / (total + 2))), float(np.log10((tokens + 1) / (total + 2)))
-    rows = docs.select("doc_id", "text").mapInArrow(_score_texts(spark.sparkContext.broadcast((hot_h, hot_c, hot_log, per))), "key long, h long, tf long, doc_id long, n_words long, n_bytes long, known long, base double, score double")
-    rest = figures.where(F.col("n") < often).select("h", "learned", "log10")
+    texts = docs.select("doc_id", "text").mapInArrow(_score_texts(classes, sc.broadcast((hot_h, hot_c, hot_log, per))), "key long, pair long, tf long, doc_id long, n_words long, n_bytes long, known long, base double, score double")
+    rest = figures.where(F.col("n") < often).select("pair", "word_learned", "log10")
     tf = F.when(F.col("tf") > 0, F.col("tf")).otherwise(0)
-    c = F.coalesce("learned", F.lit(0))
-    joined = rows.join(rest, "h", "left").select(
+    c = F.coalesce("word_learned", F.lit(0))
+    joined = texts.join(rest, "pair", "left").select(
         "key", "doc_id", "n_words", "n_bytes", (F.coalesce("known", F.lit(0)) + F.when(c > 0, tf).otherwise(0)).alias("known"), (F.coalesce("base", F.lit(0.0)) + tf * (F.log10(c + 1) + per)).alias("base"), (F.coalesce("score", F.lit(0.0)) + tf * F.coalesce("log10", F.lit(0.0))).alias("score")
     )
     by_doc = joined.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("n_bytes").alias("n_bytes"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
@@ -350,6 +618,12 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
         F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
     out = materialize(result, "lm-out")
-    drop(vocabulary)
-    drop(figures)
+    for table in (vocabulary, ranked, edges, figures):
+        drop(table)
     return out
+
+
+def _whole_table_rows(rows: DataFrame) -> np.ndarray:
+    """The sum of the parts' weights and cells, as one row."""
+    got = summed(rows).collect()
+    return np.frombuffer(got[0]["sums"], np.float64) if got else np.zeros(1 + GATES * PREDICTORS + GATES * CELLS * 2)

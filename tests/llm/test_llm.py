@@ -432,36 +432,147 @@ def test_context_mixing(spark, monkeypatch, hot):
     assert lm.score(docs_of(spark, ["a b"]), F.lit(False)).first()["train_tokens"] == 0
 
 
-def test_weights_learn_from_true_counts():
-    """A word's count is not cut off: the same tables and words, with a count of 1000 and of 100,000 for the frequent one."""
-    code = lm.huffman(np.ones(256))
-    shared = type("Shared", (), {"value": np.full((lm.TABLE, 2), 50, np.float32)})
+NO_EDGES = pa.table({"name": pa.array([], pa.int64()), "state": pa.array([], pa.int32()), "zero": pa.array([], pa.float64()), "one": pa.array([], pa.float64())})
+
+
+def vocabulary(rows):
+    """A part of (word, state, learned)."""
+    return pa.table({"word": pa.array([w for w, _, _ in rows], pa.binary()), "state": pa.array([s for _, s, _ in rows], pa.int32()), "learned": pa.array([n for _, _, n in rows], pa.int64())})
+
+
+def some_words(n, seed):
+    r = np.random.default_rng(seed)
+    words = {(VOCAB[r.integers(300)][: r.integers(1, 5)] + VOCAB[r.integers(300)]).encode() for _ in range(n)} | {b"a" * 40, b"a" * 40 + b"b", "été".encode(), b"x\x01", b"x"}
+    return [(w, int(s), int(r.integers(0, 30))) for w in sorted(words) for s in sorted(r.choice(lm.STATES + 1, r.integers(1, 4), replace=False))]
+
 
-    def learned(n):
-        words = pa.RecordBatch.from_arrays([pa.array([b"often", b"seldom"]), pa.array([n, 1000])], ["word", "learned"])
-        return next(lm._learn_weights(shared, code, 1)(iter([words]))).to_pylist()[0]
+def model_of(rows, table_bits=16):
+    table = vocabulary(rows)
+    counts = np.zeros(257)
+    for word, _, n in rows:
+        counts[0] += n
+        for byte in word:
+            counts[byte + 1] += n
+    code = lm.Code(counts)
+    hashed = np.zeros((len(lm.ORDERS) << table_bits, 2), np.float32)
+    bits = lm.Bits(lm.Symbols(*buffers(table.column("word"))), table.column("state").to_numpy(), code, table_bits)
+    for slots in bits.slots:
+        np.add.at(hashed, (slots, bits.y), table.column("learned").to_numpy()[bits.word].astype(np.float32))
+    part = lm.Part(table, NO_EDGES, code, table_bits)
+    _, weights, cells = lm.learned_weights(part, hashed, np.flatnonzero(part.learned > 0))
+    return code, hashed, weights, cells, part
 
-    few, many = learned(1000), learned(100_000)
-    assert (few["seen"], many["seen"]) == (2000, 101_000)
-    assert sum(many["cells"]) > 20 * sum(few["cells"])
+
+def test_code_is_alphabetic_and_prefix_free():
+    code = lm.Code(np.random.default_rng(1).zipf(1.3, 257) % 10_000)
+    strings = ["".join(map(str, code.bits[s, : code.length[s]])) for s in range(257)]
+    assert strings == sorted(strings) and sum(2.0**-n for n in code.length) == 1
+    assert code.alike[5, 9] == len(__import__("os").path.commonprefix([strings[5], strings[9]]))
+
+
+def test_weights_learn_from_true_counts():
+    """A word's count is not cut off: the same words, with a count of 1000 and of 100,000 for the frequent one."""
+    few, many = (model_of([(b"often", 1, n), (b"seldom", 1, 1000)]) for n in (1000, 100_000))
+    assert many[3].sum() > 20 * few[3].sum()
+
+
+def test_mixer_against_brute_force():
+    """The same probabilities from beginnings and contexts that are looked up word by word."""
+    rows = some_words(40, 2)
+    code, hashed, weights, cells, part = model_of(rows, 22)  # so that no two contexts share a slot
+    mixer = lm.Mixer(hashed, weights, cells)
+    got = mixer.log10(part)
+    strings = [[(k, s, int(code.bits[s, j]), int(code.nodes[s, j])) for k, s in enumerate([*(b + 1 for b in w), 0]) for j in range(code.length[s])] for w, _, _ in rows]
+    begun, contexts = Counter(), Counter()
+
+    def names(i, t):
+        word, state, _ = rows[i]
+        k, _, _, node = strings[i][t]
+        symbols = [b + 1 for b in word][:k]
+        earlier = [(order, tuple(symbols[-order:] if k >= order else [None] * (order - k) + symbols), state if with_state else None, node) for order, with_state in zip(lm.ORDERS, lm.WITH_STATE)]
+        beginning = (tuple(symbols), tuple(y for kk, _, y, _ in strings[i][:t] if kk == k))
+        return earlier, beginning if k < lm.DEPTH else None
+
+    for i, (_, state, n) in enumerate(rows):
+        for t, (_, _, y, _) in enumerate(strings[i]):
+            earlier, beginning = names(i, t)
+            for e in earlier:
+                contexts[e, y] += n
+            begun[beginning, None, y] += n
+            begun[beginning, state, y] += n
+    for i in range(len(rows)):
+        total = 0.0
+        for t, (_, _, y, _) in enumerate(strings[i]):
+            earlier, beginning = names(i, t)
+            pairs = [(contexts[e, 0], contexts[e, 1]) for e in earlier] + [(begun[beginning, s, 0], begun[beginning, s, 1]) if beginning else (0, 0) for s in (None, rows[i][1])]
+            level = lambda n, k: sum(n >= e for e in lm._EDGES[k]) * lm._STEPS[k]
+            gate = level(sum(pairs[-1]), 0) + level(sum(pairs[-2]), 1) + level(sum(pairs[-3]), 2)
+            dot = sum(w * math.log((b + lm._DELTA) / (a + lm._DELTA)) for w, (a, b) in zip(weights[gate], pairs))
+            p = 1 / (1 + math.exp(-min(max(dot, -12), 12)))
+            at = min(max((dot + 8) * 2, 0), lm.CELLS - 1)
+            low = min(int(at), lm.CELLS - 2)
+            refined = [(cells[gate * lm.CELLS + c, 1] + 20 / (1 + math.exp(8 - c / 2))) / (cells[gate * lm.CELLS + c, 0] + 20) for c in (low, low + 1)]
+            p = (p + refined[0] * (low + 1 - at) + refined[1] * (at - low)) / 2
+            total += math.log10(p if y else 1 - p)
+        assert got[i] == pytest.approx(total, rel=1e-3, abs=1e-3), (i, rows[i])
 
 
 def test_mixer_is_a_distribution():
-    data = np.frombuffer("".join(VOCAB).encode(), np.uint8)
-    model = lm.Mixer(np.random.default_rng(0).integers(0, 9, (lm.TABLE, 2)).astype(np.float32), np.tile(lm._START, (lm.GATES, 1)), np.zeros((lm.GATES * lm.CELLS, 2)), lm.huffman(np.bincount(data, minlength=256)))
-    short = [bytes([a]) for a in range(256) if a != 32]
-    logs = model.log10(*buffers(pa.array([b"", *short], pa.binary())))
-    code = model.code
-    # Every first byte's codes add up to one, the blank (the empty word) included, once the second symbol is left out.
-    first = 0.0
-    for w in [b"", *short]:
-        bits = lm.Bits(*buffers(pa.array([w], pa.binary())), code)
-        n = code[0][w[0] if w else 32]
-        gate = (model.level[0][bits.slots[3] - lm._FIRST[3]] + model.level[1][bits.slots[2] - lm._FIRST[2]]).astype(int)
-        dot = sum(model.weights[gate, k] * model.odds[bits.slots[k]] for k in range(lm.PREDICTORS))
-        p = (lm._squash(dot) + model.refined[gate * lm.CELLS + lm._cell(dot)]) / 2
-        first += np.prod(np.where(bits.y == 1, p, 1 - p)[:n])
-    assert first == pytest.approx(1, rel=1e-3) and (logs < 0).all()
+    """After any beginning the probabilities of all next bytes and of the word's end add up to one."""
+    known = some_words(200, 3)
+    for state in (0, 3):
+        for begin in (b"", known[40][0][:1], known[40][0][:3], known[90][0], b"zzq", b"a" * 40):
+            probes = [(begin + bytes([x]), state, 0) for x in range(256)] + [(begin, state, 0)]
+            rows = known + probes
+            code, hashed, weights, cells, part = model_of(rows)
+            mixer, total = lm.Mixer(hashed, weights, cells), 0.0
+            for chosen, bits, begun in part.chunks(np.arange(len(known), len(rows))):
+                p = np.where(bits.y == 1, ones := mixer.ones(bits, begun), 1 - ones)
+                for j, i in enumerate(chosen):
+                    own = p[bits.word == j]
+                    word = rows[i][0]
+                    before = sum(int(code.length[x + 1]) for x in begin)
+                    total += np.prod(own[before : before + code.length[word[len(begin)] + 1 if len(word) > len(begin) else 0]].astype(np.float64))
+            assert total == pytest.approx(1, rel=1e-3), (state, begin)
+
+
+def test_beginnings_across_parts():
+    """Parts with what they have in common added up count as the whole does."""
+    rows = some_words(300, 4)
+    code = model_of(rows)[0]
+
+    def built(some):
+        t = vocabulary(some)
+        s = lm.Symbols(*buffers(t.column("word")))
+        first = np.append(0, np.cumsum(np.bincount(s.word, code.length[s.flat], len(some)))).astype(np.int64)
+        return lm.Beginnings(s, t.column("state").to_numpy().astype(np.int64), t.column("learned").to_numpy(), code), first
+
+    whole, first = built(rows)
+    want = whole.counts(first, {})
+    words = sorted({w for w, _, _ in rows})
+    for cuts in ([100], [1, 2, 150], [40, 80, 81, 200, 250]):
+        edges = [0, *cuts, len(words)]
+        parts = [[r for r in rows if r[0] in set(words[a:b])] for a, b in zip(edges, edges[1:])]
+        total: dict = {}
+        asked = []
+        for some in parts:
+            found = built(some)[0].edge_counts()
+            asked.append({int(n) for names, _, _ in found for n in names})
+            for names, states, counts in found:
+                for n, state, c in zip(names, states, counts):
+                    total.setdefault(int(n), np.zeros((lm.STATES + 1, 2)))[state] += c
+        at = 0
+        for some, names in zip(parts, asked):
+            part, begins = built(some)
+            got = part.counts(begins, {n: total[n] for n in names if total[n].any()})
+            assert (got == want[at : at + len(got)]).all(), cuts
+            at += len(got)
+
+
+def test_language_model_beats_the_unigram_on_held_out_texts(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lm.score(d, remainder(7) != 2).join(d.select("doc_id", (remainder(7) == 2).alias("out")), "doc_id").where("out").toPandas()
+    assert got.score.sum() > 0.99 * got.base_score.sum() and got.score.sum() > got.base_score.sum()
 
 
 def test_pipeline(spark):
