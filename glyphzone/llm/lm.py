@@ -48,7 +48,7 @@ LEAST_BITS, MOST_BITS = 12, 20
 #: Symbols of a word whose beginnings are counted exactly; behind them the hashed contexts alone go on.
 DEPTH = 32
 #: Rows of the vocabulary in a part, on average.
-PART = 50_000
+PART = 30_000
 #: Pairs at most whose figures are broadcast: 24 bytes each.
 HOT = 1 << 19
 #: Rows whose bits are mixed at a time; the weights learn after each.
@@ -59,6 +59,8 @@ _STEPS = (16, 4, 1)
 GATES, CELLS = 6 * 16, 33
 _DELTA, _RATE, _LIMIT = 0.1, 0.2, 12.0
 _START = np.array([0.0, 0.1, 0.2, 0.3, 0.2, 0.3])
+#: Chunks for which a measure of the loss's curvature serves, and neighbours in sorted order that learn together.
+_CURVES, _NEAR = 4, 250
 #: Values of a table that are summed by one group.
 _PIECE = 1 << 14
 
@@ -241,36 +243,43 @@ class Bits:
 
 
 class Beginnings:
-    """Counts of the next bit after every beginning of a part's words, in sorted order: over all states, and in the word's own.
+    """Counts of the next bit after every beginning of a part's words: over all states, and in the word's own.
 
     Words have DEPTH symbols at most here. edge: the counts (states, 2) of beginnings that other parts have too, by name.
     """
 
     def __init__(self, s: Symbols, state: np.ndarray, count: np.ndarray, code: Code):
         m = len(s.size)
-        self.code, self.state, self.count, self.kinds = code, state, count.astype(np.float64), STATES + 1
+        self.code, self.count, self.kinds = code, count.astype(np.float64), STATES + 1
         here = s.at < DEPTH
-        symbols = np.zeros((m, DEPTH), np.int64)
+        symbols = np.zeros((m, DEPTH), np.int16)
         symbols[s.word[here], s.at[here]] = s.flat[here]
+        #: Rows in sorted order; all below is by that order.
         self.order = np.lexsort((state, *symbols.T[::-1]))
+        self.state, self.count = state[self.order], self.count[self.order]
         self.symbols, self.size = symbols[self.order], np.minimum(s.size, DEPTH)[self.order]
-        lengths = np.where(np.arange(DEPTH) < self.size[:, None], code.length[self.symbols], 0)
-        to = np.cumsum(lengths, axis=1)
-        self.bits = to[:, -1] if m else np.zeros(0, np.int64)
-        #: Bits that a word begins alike with as the one before.
-        self.alike = np.full(m, -1)
-        if m > 1:
-            differ = self.symbols[1:] != self.symbols[:-1]
-            at, rows = differ.argmax(axis=1), np.arange(m - 1)
-            shared = code.alike[self.symbols[1:][rows, at], self.symbols[:-1][rows, at]] + np.where(at > 0, to[1:][rows, np.maximum(at, 1) - 1], 0)
-            self.alike[1:] = np.where(differ.any(axis=1), shared, self.bits[1:])
+        lengths = np.where(np.arange(DEPTH) < self.size[:, None], code.length.astype(np.int16)[self.symbols], np.int16(0))
+        self.to = np.cumsum(lengths, axis=1, dtype=np.int16)
+        self.bits = self.to[:, -1].astype(np.int64) if m else np.zeros(0, np.int64)
+        self.alike = self._alike(np.arange(m))
         #: All words' bits, and where each word's begin.
         flat = self.symbols[np.arange(DEPTH) < self.size[:, None]]
         size = code.length[flat]
         place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        self.y = code.bits[np.repeat(flat, size), place]
+        self.y = code.bits[np.repeat(flat, size), place].astype(np.int8)
         self.start = np.cumsum(self.bits) - self.bits
 
+    def _alike(self, rows: np.ndarray) -> np.ndarray:
+        """Bits that each of the rows' words begins alike with as the one before; -1 for the first."""
+        out = np.full(len(rows), -1)
+        if len(rows) > 1:
+            one, two = self.symbols[rows[:-1]], self.symbols[rows[1:]]
+            differ = one != two
+            at, n = differ.argmax(axis=1), np.arange(len(rows) - 1)
+            before = np.where(at > 0, self.to[rows[1:]][n, np.maximum(at, 1) - 1], 0)
+            out[1:] = np.where(differ.any(axis=1), self.code.alike[two[n, at], one[n, at]] + before, self.bits[rows[1:]])
+        return out
+
     def edge_names(self, row: int) -> np.ndarray:
         """Names of the beginnings (one for each bit) of a row, by its place in sorted order."""
         out, h = [], np.uint64(0x51ED270B)
@@ -279,59 +288,67 @@ class Beginnings:
             h = mix(np.array([h + np.uint64(symbol + 1)]))[0]
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
+    def _edges(self) -> list[tuple[int, np.ndarray]]:
+        """(row, bits that each word begins alike with as that row's) of the first and the last row."""
+        forward = np.minimum.accumulate(np.append(self.bits[0], self.alike[1:]))
+        backward = np.append(np.minimum.accumulate(self.alike[1:][::-1])[::-1], self.bits[-1])
+        return [(0, forward), (len(self.bits) - 1, backward)]
+
     def edge_counts(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(names, states, counts (n, 2)) of the beginnings of the first and the last word, the latter's but for the former's."""
         m, out = len(self.size), []
         if not m:
             return out
         both = int(self.alike[1:].min()) if m > 1 else int(self.bits[0])
-        for row, least in ((0, 0), (m - 1, both + 1)):
+        for (row, alike), least in zip(self._edges(), (0, both + 1), strict=True):
             names = self.edge_names(row)
-            # Rows that share at least this many bits with the edge's word.
-            lcp = np.minimum.accumulate(np.append(self.bits[0], self.alike[1:])) if row == 0 else np.append(np.minimum.accumulate(self.alike[1:][::-1])[::-1], self.bits[-1])
             for depth in range(least, len(names)):
-                rows = np.flatnonzero((lcp >= depth) & (self.bits > depth))
-                counts = np.bincount(self.state[self.order[rows]] * 2 + self.y[self.start[rows] + depth], self.count[self.order[rows]], 2 * self.kinds).reshape(-1, 2)
+                rows = np.flatnonzero((alike >= depth) & (self.bits > depth))
+                counts = np.bincount(self.state[rows] * 2 + self.y[self.start[rows] + depth], self.count[rows], 2 * self.kinds).reshape(-1, 2)
                 where = np.flatnonzero(counts.any(axis=1))
                 # A name without counts asks for those of other parts.
                 out.append((np.full(max(1, len(where)), names[depth]), where if len(where) else np.zeros(1, np.int64), counts[where] if len(where) else np.zeros((1, 2))))
         return out
 
+    def _nested(self, rows: np.ndarray, alike: np.ndarray, out: np.ndarray) -> None:
+        """Fills out (bits, 2) with the counts of every beginning among rows, which are sorted; alike as in _alike."""
+        # From this depth on a word is alone in its beginning.
+        alone = np.minimum(np.maximum(alike, np.append(alike[1:], -1)) + 1, self.bits[rows])
+        rest = self.bits[rows] - alone
+        owner = np.repeat(rows, rest)
+        at = self.start[owner] + np.repeat(alone - (np.cumsum(rest) - rest), rest) + np.arange(len(owner))
+        out[at, self.y[at]] = self.count[owner]
+        start, own, depth = self.start[rows], self.count[rows], 0
+        while True:
+            on = alone > depth
+            if not on.all():
+                start, own, alike, alone = start[on], own[on], alike[on], alone[on]
+            if not len(start):
+                break
+            at = start + depth
+            group = np.cumsum(alike < depth) - 1
+            out[at] = np.bincount(group * 2 + self.y[at], own, 2 * int(group[-1]) + 2).reshape(-1, 2)[group]
+            depth += 1
+
     def counts(self, first: np.ndarray, edge: dict[int, np.ndarray]) -> np.ndarray:
         """(bits, all or own state, 2) for the bits of the words as given; first: where each word's bits begin."""
-        m = len(self.size)
+        m, n = len(self.size), len(self.y)
         out = np.zeros((int(first[-1]), 2, 2), np.float32)
         if not m:
             return out
-        start, own = first[self.order], self.count[self.order]
-        state = self.state[self.order]
-        names = [self.edge_names(row) if edge else np.zeros(0, np.uint64) for row in (0, m - 1)]
-        nearest = np.maximum(self.alike, np.append(self.alike[1:], -1))
-        alone = np.maximum(nearest + 1, 0)  # from this depth on a word is alone in its beginning
-        for row, of in zip((0, m - 1), names, strict=True):
-            alone[row] = max(alone[row], len(of))
-        depth, rows = 0, np.arange(m)
-        while True:
-            rows = rows[(self.bits[rows] > depth) & (alone[rows] > depth)]
-            if not len(rows):
-                break
-            group = np.cumsum(self.alike[rows] < depth) - 1
-            n = int(group[-1]) + 1
-            key = (group * self.kinds + state[rows]) * 2 + self.y[self.start[rows] + depth]
-            by_state = np.bincount(key, own[rows], n * self.kinds * 2).reshape(n, self.kinds, 2)
-            for row, of in zip((0, m - 1), names, strict=True):
-                if depth < len(of) and (found := edge.get(int(of[depth]))) is not None:
-                    at = np.flatnonzero(rows == row)
-                    if len(at):
-                        by_state[group[at[0]]] = found
-            out[start[rows] + depth, 0] = by_state.sum(axis=1)[group]
-            out[start[rows] + depth, 1] = by_state[group, state[rows]]
-            depth += 1
-        rest = np.maximum(self.bits - np.minimum(alone, self.bits), 0)
-        owner = np.repeat(np.arange(m), rest)
-        at = np.minimum(alone, self.bits)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(rest) - rest, rest)
-        bit, at = self.y[self.start[owner] + at], start[owner] + at
-        out[at, 0, bit] = out[at, 1, bit] = own[owner]
+        every, own = np.zeros((n, 2), np.float32), np.zeros((n, 2), np.float32)
+        self._nested(np.arange(m), self.alike, every)
+        by_state = np.argsort(self.state, kind="stable")
+        alike = self._alike(by_state)
+        alike[1:][np.diff(self.state[by_state]) > 0] = -1
+        self._nested(by_state, alike, own)
+        for row, shared in self._edges() if edge else ():
+            for depth, name in enumerate(self.edge_names(row).tolist()):
+                if (found := edge.get(name)) is not None:
+                    rows = np.flatnonzero((shared >= depth) & (self.bits > depth))
+                    every[self.start[rows] + depth], own[self.start[rows] + depth] = found.sum(axis=0), found[self.state[rows]]
+        to = np.repeat(first[self.order] - self.start, self.bits) + np.arange(n)
+        out[to, 0], out[to, 1] = every, own
         return out
 
 
@@ -433,7 +450,7 @@ def _count_bits(code: Code, table_bits: int):
 def learned_weights(part: Part, hashed: np.ndarray, by: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """(tokens, weights, cells) that the rows of a part give, each token left out of the counts it is judged by."""
     weights, cells, seen = np.tile(_START, (GATES, 1)), np.zeros((GATES * CELLS, 2)), 0.0
-    for rows, bits, begun in part.chunks(by):
+    for turn, (rows, bits, begun) in enumerate(part.chunks(by)):
         at, share = np.arange(len(bits.y)), part.learned[rows]
         x, total = [], []
         for counts in (*(hashed[slots] for slots in bits.slots), begun[:, 0].copy(), begun[:, 1].copy()):
@@ -446,10 +463,12 @@ def learned_weights(part: Part, hashed: np.ndarray, by: np.ndarray) -> tuple[flo
         for k in range(PREDICTORS):
             dot += weights[:, k].astype(np.float32)[gate] * x[k]
         p = _squash(dot)
-        error, curve = (bits.y - p).astype(np.float32) * c, c * np.maximum(p * (1 - p), np.float32(1e-4))
+        error = (bits.y - p).astype(np.float32) * c
+        if turn % _CURVES == 0:  # how steep the loss is changes slowly
+            slope = c * np.maximum(p * (1 - p), np.float32(1e-4))
+            curve = [np.bincount(gate, slope * v * v, GATES) + 50 for v in x]
         for k in range(PREDICTORS):
-            step = np.bincount(gate, error * x[k], GATES) / (np.bincount(gate, curve * x[k] ** 2, GATES) + 50)
-            weights[:, k] += _RATE * np.clip(step, -1, 1)
+            weights[:, k] += _RATE * np.clip(np.bincount(gate, error * x[k], GATES) / curve[k], -1, 1)
         cell = gate * CELLS + _cell(dot)
         cells *= 0.998
         cells[:, 0] += np.bincount(cell, c, GATES * CELLS)
@@ -494,9 +513,11 @@ class Mixer:
 
 def _learn_part(shared, code: Code, table_bits: int):
     def run(table: pa.Table, edges: pa.Table) -> pa.Table:
+        table = table.sort_by([("word", "ascending"), ("state", "ascending")])
         part, hashed = Part(table, edges, code, table_bits), shared.value
-        by = np.argsort(mix(table.column("pair").to_numpy().view(np.uint64)), kind="stable")
-        seen, weights, cells = learned_weights(part, hashed, by[part.learned[by] > 0])
+        known = np.flatnonzero(part.learned > 0)
+        known = known[np.argsort(mix(np.arange(len(known), dtype=np.uint64) // np.uint64(_NEAR)), kind="stable")]
+        seen, weights, cells = learned_weights(part, hashed, known)
         sums = np.concatenate(([seen], (weights * seen).ravel(), cells.ravel()))
         return pa.table({"piece": pa.array([0], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
 
@@ -567,7 +588,7 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     follows = _whole_table(docs.where("learn").select("text").mapInArrow(_count_follows, "piece int, sums binary"), BUCKETS * BUCKETS)
     classes = sc.broadcast(classes_of(follows.reshape(BUCKETS, BUCKETS)))
     counted = docs.select("text", "learn").mapInArrow(_count_words(classes), "pair long, h long, state int, word binary, n long, learned long")
-    vocabulary = materialize(counted.groupBy("pair").agg(F.first("h").alias("h"), F.first("state").alias("state"), F.first("word").alias("word"), F.sum("n").alias("n"), F.sum("learned").alias("learned")), "lm-words")
+    vocabulary = materialize(counted.groupBy("pair", "h", "state", "word").agg(F.sum("n").alias("n"), F.sum("learned").alias("learned")), "lm-words")
     ends = docs.select("learn").agg(F.sum(F.col("learn").cast("long"))).first()[0] or 0
     size = vocabulary.count()
     known = vocabulary.where("learned > 0").select("state", "word", "learned")
