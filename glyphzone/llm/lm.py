@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, drop, few_files, materialize, mix, signed, slices, summed
+from .common import Words, buffers, drop, few_files, hash_spans, materialize, mix, signed, slices, summed
 
 #: Short words: bytes at most, hashed buckets, those before a word that make up the state, and classes of them.
 SHORT, BUCKETS, WINDOW, STATES = 4, 256, 24, 8
@@ -48,9 +48,11 @@ LEAST_BITS, MOST_BITS = 12, 20
 #: Symbols of a word whose beginnings are counted exactly; behind them the hashed contexts alone go on.
 DEPTH = 32
 #: Rows of the vocabulary in a part, on average.
-PART = 30_000
+PART = 16_000
+#: Rows of the vocabulary for each task that fills the hashed contexts' tables, where there are more than tasks at a time.
+TABLE_ROWS = 4_000_000
 #: Pairs at most whose figures are broadcast: 24 bytes each.
-HOT = 1 << 19
+HOT = 1 << 20
 #: Rows whose bits are mixed at a time; the weights learn after each.
 CHUNK = 2000
 #: Levels of the counts that make up a gate: of the beginning in the state, of the beginning, and of the last hashed context.
@@ -166,10 +168,9 @@ def _pair(h: np.ndarray, state: np.ndarray) -> np.ndarray:
 
 
 def _count_words(shared):
-    """(pair, h, state, word, n, learned): occurrences of each word in each state, and those in documents to learn from."""
+    """(state, word, n, learned): occurrences of each word in each state, and those in documents to learn from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pair", "h", "state", "word", "n", "learned"]
         for whole in batches:
             parts: list[tuple] = []
             for batch in slices(whole, "text"):
@@ -181,16 +182,17 @@ def _count_words(shared):
                 cuts = np.cumsum(np.append(0, sizes))
                 text = w.data[np.repeat(starts - cuts[:-1], sizes) + np.arange(cuts[-1])]
                 words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pair), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(text)])
-                parts.append((pair, w.hash[first], state[first], words, np.bincount(back, minlength=len(pair)), np.bincount(back, learn, len(pair)).astype(np.int64)))
+                parts.append((pair, state[first].astype(np.int32), words, np.bincount(back, minlength=len(pair)), np.bincount(back, learn, len(pair)).astype(np.int64)))
             if parts:
                 pair, first, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-                h, state = (np.concatenate([p[k] for p in parts])[first] for k in (1, 2))
-                n, learned = (np.bincount(back, np.concatenate([p[k] for p in parts]), len(pair)).astype(np.int64) for k in (4, 5))
-                words = pa.chunked_array([p[3] for p in parts], pa.large_binary()).take(pa.array(first)).combine_chunks()
+                state = np.concatenate([p[1] for p in parts])[first]
+                n, learned = (np.bincount(back, np.concatenate([p[k] for p in parts]), len(pair)).astype(np.int64) for k in (3, 4))
+                words = pa.chunked_array([p[2] for p in parts], pa.large_binary()).take(pa.array(first)).combine_chunks()
                 words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
+                parts.clear()
                 for k in range(0, len(pair), 50_000):
                     to = slice(k, k + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[to]), pa.array(signed(h[to].copy())), pa.array(state[to].astype(np.int32)), words.slice(k, 50_000).cast(pa.binary()), pa.array(n[to]), pa.array(learned[to])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(state[to]), words.slice(k, 50_000).cast(pa.binary()), pa.array(n[to]), pa.array(learned[to])], ["state", "word", "n", "learned"])
 
     return run
 
@@ -404,31 +406,36 @@ def _edge_table(edges: pa.Table) -> dict[int, np.ndarray]:
     return out
 
 
-_RANKED = "part int, pair long, h long, state int, word binary, n long, learned long, word_learned long, name long, zero double, one double"
+_RANKED = "part int, pair long, state int, word binary, n long, learned long, word_learned long, fresh boolean, name long, zero double, one double"
 
 
 def _ranked(code: Code):
-    """Over range-partitioned rows: each with its part and its word's count over all states, and the part's edges (name)."""
+    """Over rows range-partitioned by word: each with its part, its number, its word's count over all states, and whether it is the first of the word's rows; and the part's edges (name)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
         part, table = TaskContext.get().partitionId(), pa.Table.from_batches(rows)
-        n, h = table.num_rows, table.column("h").to_numpy()
-        learned = table.column("learned").to_numpy()
-        _, back = np.unique(h, return_inverse=True)
-        of_word = np.bincount(back, learned).astype(np.int64)[back]
-        empty = lambda kind, m: pa.nulls(m, kind)
-        names = [x.split(" ")[0] for x in _RANKED.split(", ")]
-        full = pa.Table.from_arrays([pa.array(np.full(n, part, np.int32)), *(table.column(c) for c in ("pair", "h", "state", "word", "n", "learned")), pa.array(of_word), empty(pa.int64(), n), empty(pa.float64(), n), empty(pa.float64(), n)], names)
-        yield from full.to_batches(max_chunksize=20_000)
-        found = Beginnings(Symbols(*buffers(table.column("word"))), table.column("state").to_numpy().astype(np.int64), learned, code).edge_counts()
+        names, kinds = zip(*(x.split(" ") for x in _RANKED.split(", ")), strict=True)
+        of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+        data, offsets = buffers(table.column("word"))
+        h, state, learned = hash_spans(data, offsets[:-1], offsets[1:]), table.column("state").to_numpy().astype(np.int64), table.column("learned").to_numpy()
+        _, first, back = np.unique(h, return_index=True, return_inverse=True)
+        fresh = np.zeros(len(h), bool)
+        fresh[first] = True
+
+        def batch(size: int, **given) -> pa.Table:
+            return pa.table([given[c] if c in given else pa.nulls(size, of[kind]) for c, kind in zip(names, kinds, strict=True)], names=list(names))
+
+        same = {c: table.column(c) for c in ("state", "word", "n", "learned")}
+        full = batch(len(h), part=pa.array(np.full(len(h), part, np.int32)), pair=pa.array(_pair(h, state)), word_learned=pa.array(np.bincount(back, learned).astype(np.int64)[back]), fresh=pa.array(fresh), **same)
+        yield from full.combine_chunks().to_batches(max_chunksize=20_000)
+        found = Beginnings(Symbols(data, offsets), state, learned, code).edge_counts()
         if found:
-            name, state, counts = (np.concatenate([x[k] for x in found]) for k in range(3))
-            m = len(name)
-            none = [empty(kind, m) for kind in (pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int32)), *none, pa.array(state.astype(np.int32)), empty(pa.binary(), m), empty(pa.int64(), m), empty(pa.int64(), m), empty(pa.int64(), m), pa.array(signed(name.astype(np.uint64))), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names)
+            name, kind, counts = (np.concatenate([x[k] for x in found]) for k in range(3))
+            edges = batch(len(name), part=pa.array(np.full(len(name), part, np.int32)), state=pa.array(kind.astype(np.int32)), name=pa.array(signed(name.astype(np.uint64))), zero=pa.array(counts[:, 0]), one=pa.array(counts[:, 1]))
+            yield from edges.to_batches()
 
     return run
 
@@ -587,20 +594,20 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     follows = _whole_table(docs.where("learn").select("text").mapInArrow(_count_follows, "piece int, sums binary"), BUCKETS * BUCKETS)
     classes = sc.broadcast(classes_of(follows.reshape(BUCKETS, BUCKETS)))
-    counted = docs.select("text", "learn").mapInArrow(_count_words(classes), "pair long, h long, state int, word binary, n long, learned long")
-    vocabulary = materialize(counted.groupBy("pair", "h", "state", "word").agg(F.sum("n").alias("n"), F.sum("learned").alias("learned")), "lm-words")
+    counted = docs.select("text", "learn").mapInArrow(_count_words(classes), "state int, word binary, n long, learned long")
+    vocabulary = materialize(counted.groupBy("state", "word").agg(F.sum("n").alias("n"), F.sum("learned").alias("learned")), "lm-words")
     ends = docs.select("learn").agg(F.sum(F.col("learn").cast("long"))).first()[0] or 0
     size = vocabulary.count()
     known = vocabulary.where("learned > 0").select("state", "word", "learned")
     code = Code(_whole_table(known.mapInArrow(_count_bytes, "piece int, sums binary"), 257))
     table_bits = int(np.clip(np.ceil(np.log2(8 * max(size, 1))), LEAST_BITS, MOST_BITS))
-    # Few partitions: each holds the tables of all predictors, and sends them once.
-    few = known.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    # Few tasks: each holds the tables of all predictors, and sends them once.
+    few = known.coalesce(max(sc.defaultParallelism, size // TABLE_ROWS))
     hashed = _whole_table(few.mapInArrow(_count_bits(code, table_bits), "piece int, sums binary"), 2 * len(ORDERS) << table_bits).astype(np.float32).reshape(-1, 2)
     # Equal words go to one part, whatever their states.
     parts = max(1, -(-size // PART))
     ranked = materialize(vocabulary.repartitionByRange(parts, "word").mapInArrow(_ranked(code), _RANKED), "lm-ranked")
-    rows = ranked.where("pair is not null").select("part", "pair", "h", "state", "word", "n", "learned", "word_learned")
+    rows = ranked.where("pair is not null").select("part", "pair", "state", "word", "n", "learned", "word_learned")
     edges = ranked.where("pair is null").select("part", "state", "name", "zero", "one")
     totals = edges.groupBy("name", "state").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).where("zero > 0 or one > 0")
     edges = materialize(edges.select("part", "name").distinct().join(totals, "name"), "lm-edges", few_files(spark))
@@ -614,7 +621,7 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     figures = materialize(by_part().applyInArrow(_score_part(model, code, table_bits), "pair long, n long, word_learned long, log10 double"), "lm-figures")
     shared.unpersist()
     model.unpersist()
-    tokens, distinct = rows.where("word_learned > 0").agg(F.coalesce(F.sum("learned"), F.lit(0)), F.count_distinct("h")).first()
+    tokens, distinct = ranked.where("word_learned > 0").agg(F.coalesce(F.sum("learned"), F.lit(0)), F.count_if("fresh")).first()
     total, kinds = tokens + ends, distinct + (ends > 0)
     often = _threshold(figures, "n", HOT)
     hot = figures.where(F.col("n") >= often).select("pair", "word_learned", "log10").toArrow().sort_by("pair")
