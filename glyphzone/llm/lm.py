@@ -92,6 +92,16 @@ class Code:
         #: Bits that two symbols' codes begin alike with.
         self.alike = np.minimum(same, np.minimum(self.length[:, None], self.length[None, :]))
         self.spread = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        inside = np.arange(self.bits.shape[1]) < self.length[:, None]
+        #: All symbols' bits and spreads one behind the other, and where each symbol's begin.
+        self.all_bits, self.all_spreads = self.bits[inside].astype(np.int8), self.spread[self.nodes[inside]]
+        self.begin = np.cumsum(self.length) - self.length
+
+    def spell(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the symbols each bit belongs to, its place in all_bits and all_spreads)."""
+        size = self.length[symbols]
+        owner = np.repeat(np.arange(len(symbols)), size)
+        return owner, np.arange(len(owner)) + np.repeat(self.begin[symbols] - (np.cumsum(size) - size), size)
 
 
 def classes_of(follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,17 +132,23 @@ def _short(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def states(w: Words, classes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Each word's state: 0 without a short word before it in its text, else 1 and its class."""
     at, bucket = _short(w)
-    n = len(w.hash)
-    before = np.searchsorted(at, np.arange(n))
-    first = np.searchsorted(at, np.repeat(w.first[:-1], np.diff(w.first)))
-    first = np.maximum(first, before - WINDOW)
-    best, state = np.full(n, np.iinfo(np.int64).min), np.zeros(n, np.int64)
+    short = np.zeros(len(w.hash) + 1, np.int64)
+    short[at + 1] = 1
+    before = np.cumsum(short)  # short words before each word, in all texts
+    first = before[w.first[:-1]]
+    # The state behind each short word: of the WINDOW of its text that ends with it.
+    owner = np.searchsorted(w.first, at, side="right") - 1
+    end = np.arange(1, len(at) + 1)
+    begin = np.maximum(first[owner], end - WINDOW)
+    best, behind = np.full(len(at), np.iinfo(np.int64).min), np.zeros(len(at), np.int64)
     for k in range(STATES):
         total = np.append(0, np.cumsum(classes[1][k][bucket]))
-        value = classes[0][k] + total[before] - total[first]
-        better = (value > best) & (before > first)
-        best[better], state[better] = value[better], k + 1
-    return state
+        value = classes[0][k] + total[end] - total[begin]
+        better = value > best
+        best[better], behind[better] = value[better], k + 1
+    before = before[:-1]
+    some = before > np.repeat(first, np.diff(w.first))
+    return np.where(some, np.append(behind, 0)[before - 1], 0)
 
 
 def _count_follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,14 +250,16 @@ class Bits:
             back = back * np.uint64(263) + earlier + np.uint64(1)
             own = state[s.word].astype(np.uint64) << np.uint64(48) if with_state else np.uint64(0)
             contexts.append(mix((back ^ own) + np.uint64((k + 1) << 58)))
-        size = code.length[s.flat]
-        owner = np.repeat(np.arange(len(s.flat)), size)
-        self.place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        symbol = s.flat[owner]
-        self.y, spread = code.bits[symbol, self.place], code.spread[code.nodes[symbol, self.place]]
-        self.slots = [((c[owner] ^ spread) >> np.uint64(64 - table_bits)).astype(np.int64) + (k << table_bits) for k, c in enumerate(contexts)]
+        owner, at = code.spell(s.flat)
+        self.y, spread, self.slots = code.all_bits[at], code.all_spreads[at], []
+        for k, c in enumerate(contexts):
+            slot = c[owner]
+            slot ^= spread
+            slot >>= np.uint64(64 - table_bits)
+            slot = slot.view(np.int64)
+            slot += k << table_bits
+            self.slots.append(slot)
         self.word = s.word[owner]
-        self.first = np.append(0, np.cumsum(np.bincount(self.word, minlength=len(s.size))))
 
 
 class Beginnings:
@@ -266,9 +284,7 @@ class Beginnings:
         self.alike = self._alike(np.arange(m))
         #: All words' bits, and where each word's begin.
         flat = self.symbols[np.arange(DEPTH) < self.size[:, None]]
-        size = code.length[flat]
-        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        self.y = code.bits[np.repeat(flat, size), place].astype(np.int8)
+        self.y = code.all_bits[code.spell(flat)[1]]
         self.start = np.cumsum(self.bits) - self.bits
 
     def _alike(self, rows: np.ndarray) -> np.ndarray:
@@ -333,9 +349,9 @@ class Beginnings:
             depth += 1
 
     def counts(self, first: np.ndarray, edge: dict[int, np.ndarray]) -> np.ndarray:
-        """(bits, all or own state, 2) for the bits of the words as given; first: where each word's bits begin."""
+        """(all and own state, bits) for the bits of the words as given, as zeros + ones * 1j; first: where each word's bits begin."""
         m, n = len(self.size), len(self.y)
-        out = np.zeros((int(first[-1]), 2, 2), np.float32)
+        out = np.zeros((2, int(first[-1])), np.complex64)
         if not m:
             return out
         every, own = np.zeros((n, 2), np.float32), np.zeros((n, 2), np.float32)
@@ -350,7 +366,7 @@ class Beginnings:
                     rows = np.flatnonzero((shared >= depth) & (self.bits > depth))
                     every[self.start[rows] + depth], own[self.start[rows] + depth] = found.sum(axis=0), found[self.state[rows]]
         to = np.repeat(first[self.order] - self.start, self.bits) + np.arange(n)
-        out[to, 0], out[to, 1] = every, own
+        out[0, to], out[1, to] = (x.view(np.complex64).ravel() for x in (every, own))
         return out
 
 
@@ -371,7 +387,8 @@ def _cell(x: np.ndarray) -> np.ndarray:
 
 
 def _odds(counts: np.ndarray) -> np.ndarray:
-    return np.log((counts[:, 1] + np.float32(_DELTA)) / (counts[:, 0] + np.float32(_DELTA)))
+    """Log odds of a one from counts, zeros + ones * 1j."""
+    return np.log((counts.imag + np.float32(_DELTA)) / (counts.real + np.float32(_DELTA)))
 
 
 class Part:
@@ -395,7 +412,7 @@ class Part:
             data = self.data[np.repeat(self.offsets[rows] - cuts[:-1], sizes) + np.arange(cuts[-1])]
             n = np.diff(self.first)[rows]
             to = np.cumsum(n)
-            yield rows, Bits(Symbols(data, cuts), self.state[rows], self.code, self.table_bits), self.begun[np.repeat(self.first[rows] - (to - n), n) + np.arange(int(to[-1]))]
+            yield rows, Bits(Symbols(data, cuts), self.state[rows], self.code, self.table_bits), self.begun[:, np.repeat(self.first[rows] - (to - n), n) + np.arange(int(to[-1]))]
 
 
 def _edge_table(edges: pa.Table) -> dict[int, np.ndarray]:
@@ -458,21 +475,23 @@ def learned_weights(part: Part, hashed: np.ndarray, by: np.ndarray) -> tuple[flo
     """(tokens, weights, cells) that the rows of a part give, each token left out of the counts it is judged by."""
     weights, cells, seen = np.tile(_START, (GATES, 1)), np.zeros((GATES * CELLS, 2)), 0.0
     for turn, (rows, bits, begun) in enumerate(part.chunks(by)):
-        at, share = np.arange(len(bits.y)), part.learned[rows]
-        x, total = [], []
-        for counts in (*(hashed[slots] for slots in bits.slots), begun[:, 0].copy(), begun[:, 1].copy()):
-            counts[at, bits.y] -= 1
-            np.maximum(counts, 0, out=counts)
-            x.append(_odds(counts))
-            total.append(counts[:, 0] + counts[:, 1])
+        share, one = part.learned[rows], bits.y.astype(np.float32)
+        x, total, zero, delta = [], [], 1 - one, np.float32(_DELTA)
+        for counts in (*(hashed[slots] for slots in bits.slots), *begun):
+            n1, n0 = np.maximum(counts.imag - one, 0), np.maximum(counts.real - zero, 0)
+            total.append(n1 + n0)
+            n1 += delta
+            n0 += delta
+            n1 /= n0
+            x.append(np.log(n1, out=n1))
         gate = (_level(total[-1], 0) + _level(total[-2], 1) + _level(total[-3], 2)).astype(np.int64)
         c, dot = share[bits.word].astype(np.float32), np.zeros(len(bits.y), np.float32)
         for k in range(PREDICTORS):
             dot += weights[:, k].astype(np.float32)[gate] * x[k]
         p = _squash(dot)
-        error = (bits.y - p).astype(np.float32) * c
+        error = ((one - p) * c).astype(np.float64)
         if turn % _CURVES == 0:  # how steep the loss is changes slowly
-            slope = c * np.maximum(p * (1 - p), np.float32(1e-4))
+            slope = (c * np.maximum(p * (1 - p), np.float32(1e-4))).astype(np.float64)
             curve = [np.bincount(gate, slope * v * v, GATES) + 50 for v in x]
         for k in range(PREDICTORS):
             weights[:, k] += _RATE * np.clip(np.bincount(gate, error * x[k], GATES) / curve[k], -1, 1)
@@ -488,8 +507,9 @@ class Mixer:
     """The frozen model: counts of the hashed contexts, weights by gate, refinement by gate and cell."""
 
     def __init__(self, hashed: np.ndarray, weights: np.ndarray, cells: np.ndarray):
-        self.odds = np.log((hashed[:, 1] + _DELTA) / (hashed[:, 0] + _DELTA)).astype(np.float32)
-        self.level = _level(hashed[-(len(hashed) // len(ORDERS)) :].sum(axis=1), 2).astype(np.uint8)
+        self.odds = _odds(hashed)
+        last = hashed[-(len(hashed) // len(ORDERS)) :]
+        self.level = _level(last.real + last.imag, 2)
         self.weights = weights.astype(np.float32)
         middle = _squash(np.tile(np.arange(CELLS) / 2 - 8, GATES))
         self.refined = ((cells[:, 1] + 20 * middle) / (cells[:, 0] + 20)).astype(np.float32)
@@ -497,12 +517,12 @@ class Mixer:
     def ones(self, bits: Bits, begun: np.ndarray) -> np.ndarray:
         """The probability that each bit is one."""
         last = bits.slots[-1] - (len(self.odds) - len(self.level))
-        gate = (_level(begun[:, 1, 0] + begun[:, 1, 1], 0) + _level(begun[:, 0, 0] + begun[:, 0, 1], 1) + self.level[last]).astype(np.int64)
+        gate = (_level(begun[1].real + begun[1].imag, 0) + _level(begun[0].real + begun[0].imag, 1) + self.level[last]).astype(np.int64)
         dot = np.zeros(len(bits.y), np.float32)
         for k in range(len(ORDERS)):
             dot += self.weights[gate, k] * self.odds[bits.slots[k]]
         for k in range(2):
-            dot += self.weights[gate, len(ORDERS) + k] * _odds(begun[:, k])
+            dot += self.weights[gate, len(ORDERS) + k] * _odds(begun[k])
         at = np.clip((dot + 8) * 2, 0, CELLS - 1)
         low = np.minimum(at.astype(np.int64), CELLS - 2)
         at -= low
@@ -603,7 +623,7 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     table_bits = int(np.clip(np.ceil(np.log2(8 * max(size, 1))), LEAST_BITS, MOST_BITS))
     # Few tasks: each holds the tables of all predictors, and sends them once.
     few = known.coalesce(max(sc.defaultParallelism, size // TABLE_ROWS))
-    hashed = _whole_table(few.mapInArrow(_count_bits(code, table_bits), "piece int, sums binary"), 2 * len(ORDERS) << table_bits).astype(np.float32).reshape(-1, 2)
+    hashed = _whole_table(few.mapInArrow(_count_bits(code, table_bits), "piece int, sums binary"), 2 * len(ORDERS) << table_bits).astype(np.float32).view(np.complex64)
     # Equal words go to one part, whatever their states.
     parts = max(1, -(-size // PART))
     ranked = materialize(vocabulary.repartitionByRange(parts, "word").mapInArrow(_ranked(code), _RANKED), "lm-ranked")
