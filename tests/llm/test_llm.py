@@ -140,43 +140,49 @@ def test_quality(spark):
     assert {r["score"] for r in quality.quality(docs_of(spark, ["a", "b"]), labels.limit(0), remainder(3) != 1).collect()} == {0.5}
 
 
-def brute_bits(counts, text, classes):
-    s = [classes[0][32]] * langid.ORDER + [classes[0][b] for b in (bytes(48 if 48 <= c <= 57 else c for c in bytes(x + 32 if 65 <= x <= 90 else x for x in text.encode())))]
-    total = 0.0
+def folded(text):
+    return [32] * langid.ORDER + [48 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+
+
+def brute_bits(counts, text):
+    s, total = folded(text), 0.0
     for i in range(langid.ORDER, len(s)):
-        bits, done = 0.0, False
         for k in range(langid.ORDER, -1, -1):
-            ctx = tuple(s[i - k : i])
-            c = counts[k].get(ctx)
+            c = counts[k].get(tuple(s[i - k : i]))
             if not c:
                 continue
             n, u = sum(c.values()), len(c)
             if c[s[i]]:
-                bits -= math.log2(c[s[i]] / (n + u))
-                done = True
+                total -= math.log2(c[s[i]] / (n + u))
                 break
-            bits -= math.log2(u / (n + u))
-        total += bits if done else bits + math.log2(langid.SYMBOLS)
+            total -= math.log2(u / (n + u))
+        else:
+            total += 8
     return total
 
 
+def brute_tree(texts):
+    counts = [{} for _ in range(langid.ORDER + 1)]
+    for t in texts:
+        s = folded(t)
+        for i in range(langid.ORDER, len(s)):
+            for k in range(langid.ORDER + 1):
+                counts[k].setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
+    return counts
+
+
 def test_language(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.train(d.where(remainder(4) != 2))
     got = langid.predict(d, model).join(d.select("doc_id", "lang"), "doc_id").where(remainder(4) == 2).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got if r["lang"]]) > 0.97
-    rows = d.where(remainder(4) != 2).select("text", "lang").where("lang = 'en'").collect()
-    counts = [{} for _ in range(langid.ORDER + 1)]
-    classes = (model.classes,)
-    for t, _ in rows:
-        s = [classes[0][32]] * langid.ORDER + [classes[0][48 if 48 <= b <= 57 else b] for b in bytes(x + 32 if 65 <= x <= 90 else x for x in t.encode())]
-        for i in range(langid.ORDER, len(s)):
-            for k in range(langid.ORDER + 1):
-                counts[k].setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
-    for text in ("The thing is 12 ÄÖ.", "x", "zq zq zq \U0001d11e", rows[0][0][:300]):
+    rows = [t for (t,) in d.where(remainder(4) != 2).select("text").where("lang = 'en'").collect()]
+    counts = brute_tree(rows)
+    for text in ("The thing is 12 ÄÖ.", "x", "zq zq zq \U0001d11e", rows[0][:300]):
         bits = model.bits(*buffers(pa.array([text, "ab", text])))
         k = model.langs.index("en")
-        assert bits[0, k] == pytest.approx(brute_bits(counts, text, classes), rel=1e-4) and bits[0, k] == pytest.approx(bits[2, k])
+        assert bits[0, k] == pytest.approx(brute_bits(counts, text), rel=1e-6) and bits[0, k] == pytest.approx(bits[2, k])
+    assert sum(2.0 ** -model.trees["en"].lengths(np.array([b | 0x61626300 for b in range(256)], np.uint32))) < 1.0001
     texts = [None, "", " 12 %", "é", "the " * 30_000]
     odd = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs_of(spark, texts), model).collect()}
     assert [odd[i][0] == "und" for i in range(5)] == [True, True, True, False, False] and all(0 <= s <= 1 for _, s in odd.values())
@@ -185,6 +191,21 @@ def test_language(spark):
     assert [r["lang_pred"] for r in langid.predict(docs_of(spark, ["a"]), empty).collect()] == ["und"] and langid.predict(docs_of(spark, []), model).count() == 0
 
 
+def test_languages_of_other_scripts(spark):
+    """Minority scripts beside a source that fills the corpus; all bytes are told apart, even where few grams are kept."""
+    r = np.random.default_rng(6)
+    letters = {"en": "abcdefghiklmnoprstu", "ru": "абвгдеийклмнопрстуя", "uk": "абвгґдеєиіїйклмнопр", "el": "αβγδεζηθικλμνξοπρστ", "zh": "的一是不了人我在有他这中大来", "ja": "のにはをたがでてとしれさいる"}
+
+    def text(lang):
+        return " ".join("".join(r.choice(list(letters[lang]), r.integers(2, 6))) for _ in range(30))
+
+    rows = [(lang, text(lang)) for lang in letters for _ in range(400 if lang == "en" else 8)]
+    model = langid.train(docs_of(spark, [t for _, t in rows], langs=[x for x, _ in rows]))
+    new = [(lang, text(lang)) for lang in letters for _ in range(10)]
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.predict(docs_of(spark, [t for _, t in new]), model).collect()}
+    assert [got[i] for i in range(len(new))] == [x for x, _ in new]
+
+
 def test_range_join(spark):
     r = np.random.default_rng(3)
     centre = r.normal(size=(6, 16))
