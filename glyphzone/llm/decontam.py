@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Words, buffers, mix, slices
+from .common import WORD, Words, buffers, materialize, mix, slices
 
-#: Entries of a shift table: a power of two.
-TABLE_BITS = 18
-#: Bytes of benchmark text in a block: the searches for each block follow one another, so that what a broadcast holds is bounded.
-BLOCK_BYTES = 16 << 20
+#: Entries of a shift table for each block of words in the patterns, and the least and most of them, as powers of two.
+ENTRIES, LEAST_BITS, MOST_BITS = 4, 12, 24
+#: Bytes of benchmark text in a block. The searches for each block follow one another, what one found is written before the
+#: next begins, and its broadcast is given up, so that a worker holds the patterns of one block at a time.
+BLOCK_BYTES = 8 << 20
 
 
 class Matcher:
@@ -29,28 +30,28 @@ class Matcher:
 
     def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[int]]):
         self.length, self.block = length, min(2, length)
-        self.shift = np.full(1 << TABLE_BITS, length - self.block + 1, np.int32)
-        self.buckets: dict[int, list[tuple[np.ndarray, bytes, list[int]]]] = defaultdict(list)
         flat = Words(*_joined([b" ".join(p) for p in patterns]), WORD)
-        for k, (words, items) in enumerate(patterns.items()):
-            h = flat.hash[flat.first[k] : flat.first[k + 1]]
-            slots = self.slots(h)
-            for end, slot in enumerate(slots):
-                self.shift[slot] = min(self.shift[slot], len(slots) - 1 - end)
-            self.buckets[int(slots[-1])].append((h, b" ".join(words), items))
+        h = flat.hash.reshape(len(patterns), length)
+        n = h.shape[1] - self.block + 1
+        self.bits = int(np.clip(np.ceil(np.log2(max(1, ENTRIES * h.size))), LEAST_BITS, MOST_BITS))
+        slots = np.concatenate([self.slots(np.ascontiguousarray(h[:, i : i + self.block])) for i in range(n)]).reshape(n, -1)
+        self.shift = np.full(1 << self.bits, length - self.block + 1, np.int32)
+        np.minimum.at(self.shift, slots, np.arange(n - 1, -1, -1, dtype=np.int32)[:, None])
+        self.buckets: dict[int, list[tuple[np.ndarray, bytes, list[int]]]] = defaultdict(list)
+        for slot, row, (words, items) in zip(slots[-1].tolist(), h, patterns.items(), strict=True):
+            self.buckets[slot].append((row, b" ".join(words), items))
         self.buckets = dict(self.buckets)
 
-    def slots(self, h: np.ndarray) -> np.ndarray:
-        """The table index of the block that ends at each word, from word block - 1 on."""
-        if self.block == 1:
-            return (mix(h.copy()) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        return (mix(h[:-1] * np.uint64(3) + h[1:]) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    def slots(self, blocks: np.ndarray) -> np.ndarray:
+        """The table index of each block (row) of word hashes."""
+        last = blocks[:, -1]
+        return (mix(last.copy() if self.block == 1 else blocks[:, 0] * np.uint64(3) + last) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def search(self, w: Words) -> Iterator[tuple[int, int, list[int]]]:
         """(text, first word, items) of each occurrence."""
         if len(w.hash) < self.length:
             return
-        slots = self.slots(w.hash)
+        slots = self.slots(np.stack([w.hash[i : len(w.hash) - self.block + 1 + i] for i in range(self.block)], axis=1))
         texts = np.flatnonzero(np.diff(w.first) >= self.length)
         at, stop = w.first[texts] + self.length - 1, w.first[texts + 1]
         while len(texts):
@@ -110,6 +111,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
     """The items in blocks of bounded size, one at a time on the driver."""
     block, size = [], 0
@@ -150,7 +153,11 @@ def _scanned(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     block = next(blocks)
     while block is not None:
         following = next(blocks, None)
-        df = df.mapInArrow(_scan(spark.sparkContext.broadcast(_without_null(matchers(block, window))), following is None), schema)
+        found = spark.sparkContext.broadcast(_without_null(matchers(block, window)))
+        df = df.mapInArrow(_scan(found, following is None), schema)
+        if following is not None:
+            df = materialize(df, "decontam-block")
+            found.unpersist()
         block = following
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     df = df.withColumn("n_hit", hit)

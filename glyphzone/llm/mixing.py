@@ -4,7 +4,7 @@ Targets: sources share the demand by weight; where a share exceeds `cap` times i
 excess is shared again. In closed form: with sources by ascending cap / weight, the level is the greatest of what is
 left of the demand over what is left of the weights, and a target is the least of its cap and its weight times the level.
 
-Order: each source's documents stand in an order by a hash of their ids, over and over; a source's first `target` words
+Order: each source's documents stand in an order by a hash of their ids (of their texts without), over and over; a source's first `target` words
 are taken. Training time runs from 0 to 1; a source's weight at time t is a straight line, whose integral, scaled to the
 target, is the source's cumulative demand; inverted, it gives the time at which a word is due. Documents are range-sorted
 by it.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: Weight at the beginning and the end of training, by a source's place among the sources; repeating.
@@ -55,14 +55,13 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     taken: words that the mix takes of the document, repeats counted; position: the time of the first of them, null if
     none. The last document that a source's target reaches is taken in part. A null text has size 0 and takes 0; null
-    sources are one source, null ids one order; equal rows may change places. An empty table gives an empty result.
+    sources are one source, those with a null id stand by their texts; equal rows may change places. An empty table gives an empty result.
     keep: columns to carry along, as keep_<name>; then `before` (the source's words before the document), `start` and
     `finish` come too, and the rows aren't sorted.
     """
     kept = keep or []
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in kept])
-    rows = rows.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows if kept else materialize(rows, "mix-sizes")
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.coalesce(F.col(text_col), F.lit("")))).cast("binary")).alias("order"), *[F.col(c).alias(f"keep_{c}") for c in kept])
+    written = rows = rows if kept else materialize(rows, "mix-sizes")
     n = rows.count() if not kept else documents.count()
     buckets = max(1, int(n**0.5))
     bucket = F.expr(f"cast(conv(substring(order, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296")
@@ -82,7 +81,9 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     columns = ["doc_id", "size", "source_size", "target", "taken", position.alias("position")]
     if kept:
         return out.select(*columns, "before", "start", "finish", *[f"keep_{c}" for c in kept])
-    return out.select(*columns).repartitionByRange(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    done = materialize(out.select(*columns).repartitionByRange(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "position", "doc_id").sortWithinPartitions("position", "doc_id"), "mix-out")
+    drop(written)
+    return done
 
 
 def mixed(documents: DataFrame, **options) -> DataFrame:

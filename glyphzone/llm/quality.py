@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import NON_SPACE, Words, buffers, drop, materialize, signed, slices
 
 START_PRIOR, STEPS, RATE, RIDGE = 0.7, 24, 0.5, 1e-3
+#: Rows of sums that the driver gets at once.
+SENT = 64
 #: Bins of a score histogram, and the least share of positives in a tail that counts for the prior.
 BINS, LEAST_TAIL = 200, 0.2
 
@@ -107,9 +109,22 @@ def _gradients(scale: np.ndarray, beta: np.ndarray):
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for row in batch.column("sums"):
+            part = row.values.to_numpy()
+            total = part.copy() if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
+
+
 def _total(rows: DataFrame, function) -> np.ndarray:
-    got = rows.mapInArrow(function, "sums array<double>").collect()  # one short row from each partition
-    return np.sum([r[0] for r in got], axis=0)
+    """The sum of one short row from each partition; of many partitions groups are added up first, SENT rows for the driver."""
+    sums = rows.mapInArrow(function, "sums array<double>")
+    if rows.rdd.getNumPartitions() > SENT:
+        sums = sums.repartition(SENT).mapInArrow(_added, "sums array<double>")
+    return np.sum([r[0] for r in sums.collect()], axis=0)
 
 
 def _fit(rows: DataFrame, scale: np.ndarray, prior: float, beta: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:

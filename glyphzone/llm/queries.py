@@ -112,14 +112,14 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 """
 
 _OP8 = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM d GROUP BY source),
 w AS (SELECT *, CAST([3, 1, 2][place % 3 + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS most, CAST([0.5, 1.0, 1.5][place % 3 + 1] AS DOUBLE) AS start, CAST([1.5, 1.0, 0.5][place % 3 + 1] AS DOUBLE) AS finish FROM s),
 v AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
       FROM w WINDOW before AS (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, start, finish, round(least(most, weight * max(level) OVER ()), 6) AS target FROM v),
 o AS (SELECT d.doc_id, d.size, t.source_size, t.target, start, finish,
-             CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS before,
+             CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 't' || coalesce(text, ''))), doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS before,
              CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS full_passes
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, full_passes * size + greatest(0, least(size, CAST(round(target - full_passes * source_size) AS BIGINT) - before)) AS taken FROM o)

@@ -43,6 +43,8 @@ MORE = [
 
 #: Alternatives of a pattern that are followed, and members of a character class that are spelled out.
 _ALTERNATIVES, _MEMBERS = 64, 4
+#: Matches that are put together at a time.
+_RUN = 256
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
@@ -98,14 +100,23 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     sizes = F.zip_with(found, values, lambda m, v: F.struct(F.length(m).alias("n"), F.length(v).alias("value")))
     # The piece behind the last match has no match: its size is null and it adds nothing.
     sizes = F.zip_with(sizes, F.split(text, rule.pattern, -1), lambda s, p: F.struct(F.length(p).alias("gap"), s["n"].alias("n"), s["value"].alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string>>").alias("out"))
+    span = "struct<start:int,kind_order:int,end:int,kind:string>"
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("kind_order"), (begin + x["n"]).alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct((begin + F.coalesce(x["n"], F.lit(0))).alias("at"), F.when(x["value"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+        one = F.struct(begin.alias("start"), F.lit(order).alias("kind_order"), (begin + x["n"]).alias("end"), F.lit(rule.kind).alias("kind"))
+        return F.struct((begin + F.coalesce(x["n"], F.lit(0))).alias("at"), F.when(x["value"] >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+    def spans_of(runs: Column) -> Column:
+        # Where each run begins: sums of the runs before; a fold copies what it has so far, so it sees a run at a time.
+        lengths = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(x["n"], F.lit(0))))
+        begins = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        start = lambda at: F.struct(at.alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+        return F.flatten(F.zip_with(runs, begins, lambda r, at: F.aggregate(r, start(at), step, lambda acc: acc["out"])))
+
+    # Bound to variables, so that each is made once.
+    in_runs = F.transform(F.array(sizes), lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _RUN).cast("int")), lambda k: F.slice(s, k * _RUN + 1, _RUN)))
+    return F.flatten(F.transform(in_runs, spans_of))
 
 
 def _as_text(spans: Column) -> Column:
