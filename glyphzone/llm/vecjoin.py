@@ -30,7 +30,7 @@ BLOCK = 16 << 20
 #: Single-precision products this close to the threshold are computed again in double precision.
 SLACK = 1e-4
 #: Pivots: one for each half block, and of few vectors one for each SPREAD, up to so many; never more than MOST.
-SPREAD, LEAST, MOST = 1024, 24, 1024
+SPREAD, LEAST, MOST = 1024, 8, 1024
 _TILE = 1024
 
 
