@@ -439,8 +439,9 @@ def _pick(width: int):
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row: links sets with den * |both| >= num * |either|.
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row: links sets with den * |both| >= num * |either|.
 
+    text_hash (xxhash64 of the text, a null one as empty) tells rows of a repeated doc_id apart.
     Words are runs of characters other than 0x20 and 0x09-0x0D, with A-Z lower-cased. A null, empty or blank text has
     no set (n_shingles 0), links with nothing and is its own component. Rows of equal text are one set and need no
     pairs. A repeated doc_id gives a row for each of its rows. A null doc_id is its own component (null; kept false).
@@ -495,8 +496,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
     by_set = ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "first_id", F.coalesce("component", "id").alias("comp"))
     least = by_set.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_set = by_set.join(least, "comp").select("k1", "k2", "component_id")
-    out = sigs.select("doc_id", "n_shingles", "k1", "k2").join(by_set, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    done = materialize(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")), "nd-out")
+    out = sigs.select("doc_id", "n_shingles", "k1", "k2", "hash").join(by_set, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "hash")
+    done = materialize(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.col("hash").alias("text_hash")), "nd-out")
     for table in used:
         drop(table)
     return done

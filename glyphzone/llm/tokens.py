@@ -23,6 +23,7 @@ from pathlib import PurePosixPath
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -380,16 +381,43 @@ def read_tokens(manifest: DataFrame, uri: str) -> DataFrame:
     return manifest.select("name", "base").repartition(n, "name").mapInArrow(_read(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def in_file_order(documents: DataFrame) -> DataFrame | None:
+    """(doc_id, turn) for rows that come straight from Parquet files: turn, the number of a doc_id's row among its rows, and at, the row's place, as the files were written. None for other rows."""
+    try:
+        at = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("_metadata.file_name", "_metadata.row_index").alias("at"))
+    except AnalysisException:
+        return None
+    return at.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")))
+
+
+def training_order(documents: DataFrame, tokens: DataFrame) -> DataFrame | None:
+    """(place, doc_id, start, n_tokens): where the ids of each row of documents are in the token files, range-sorted by place.
+
+    documents have to come from Parquet files that were written in training order; their rows are matched with what
+    tokenize() gives by doc_id and turn (rows of null ids are left out). place: the row's file and its number in that.
+    """
+    rows = in_file_order(documents)
+    if rows is None:
+        return None
+    turns = tokens.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")))
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.join(turns, ["doc_id", "turn"]).select(F.col("at").alias("place"), "doc_id", "start", "n_tokens").repartitionByRange(n, "place").sortWithinPartitions("place")
+
+
 def tokenize(documents: DataFrame, tokenizer: str, end_id: int, keep: str | None = None) -> DataFrame:
     """Writes the shards into the shared folder and reads them back: (doc_id, start, n_tokens, ids_crc32).
 
-    keep: a folder in which the shards stay, with their manifest as a Parquet table `manifest`; without, they are removed.
+    keep: a folder in which the shards stay, with their manifest as a Parquet table `manifest`, and (of rows from files) the
+    order in which documents came as a table `order`, as in training_order(); without, they are removed.
     """
     uri = keep or new_path(documents.sparkSession, "tokens")
     manifest = write_tokens(documents, tokenizer, end_id, uri)
     out = materialize(read_tokens(manifest, uri), "tok-out")
     if keep:
         manifest.write.parquet(f"{uri}/manifest")
+        order = training_order(documents, out)
+        if order is not None:
+            order.write.parquet(f"{uri}/order")
     drop(manifest)
     if not keep:
         remove(documents.sparkSession, uri)

@@ -501,6 +501,47 @@ def test_pipeline_drops_near_copies_from_four_fifths(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), "").collect()) == [0, 2]
 
 
+def test_pipeline_judges_rows_not_ids(spark):
+    """Repeated ids, nulls, empties and columns with the operators' own names."""
+    import corpus_pipeline
+
+    a, b = prose(100, 1), prose(100, 2)
+    rows = [(1, a), (3, b), (3, a), (4, None), (5, ""), (None, a), (None, None), (3, b), (6, a.upper()), (7, "é 12")]
+    names = "doc_id long, text string, lang string, source string, glyphzone_hash long, text_hash string, row int, kept int, at long, size int, n_words int"
+    d = spark.createDataFrame([(i, t, "en", None if i == 3 else "s", 1, "x", 2, 3, 4, 5, 6) for i, t in rows], names)
+    got = corpus_pipeline.near_duplicates(spark, d, "")
+    assert got.columns == d.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, a), (3, b), (4, None), (5, ""), (7, "é 12"), (None, a), (None, None)], key=str)
+    assert corpus_pipeline.language(spark, d, "").columns == d.columns
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, d, "").collect()} == {1, 3, None, 6, 7}
+    clean = corpus_pipeline.decontaminate(spark, d, "/root/testdata/sf0.001")
+    assert clean.columns == d.columns and clean.count() == len(rows)
+    mixed = corpus_pipeline.mix(spark, d, "")
+    assert mixed.columns == d.columns and all(r["text"] for r in mixed.collect())
+    for stage in (corpus_pipeline.language, corpus_pipeline.near_duplicates, corpus_pipeline.mix, corpus_pipeline.tokenize):
+        assert stage(spark, d.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_pipeline_stores_the_training_order(spark, tmp_path):
+    from pathlib import Path
+
+    import corpus_pipeline
+    from glyphzone.llm.common import shared_dir
+
+    d = docs_of(spark, [prose(20 + i % 30, i) for i in range(200)], sources=["ab"[i % 2] for i in range(200)])
+    path = f"file://{tmp_path}/mixed"
+    mixed = corpus_pipeline.mix(spark, d, "")
+    want = [r["doc_id"] for r in mixed.collect()]
+    mixed.write.parquet(path)
+    top = Path(shared_dir(spark).removeprefix("file://"), "glyphzone")
+    before = {*top.glob("corpus-tokens-*")}
+    out = {r["start"]: (r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.tokenize(spark, spark.read.parquet(path), "").collect()}
+    (folder,) = {*top.glob("corpus-tokens-*")} - before
+    order = spark.read.parquet(f"file://{folder}/order").orderBy("place").collect()
+    assert [r["doc_id"] for r in order] == want and len({r["start"] for r in order}) == len(want) == len(out)
+    assert all(out[r["start"]] == (r["doc_id"], r["n_tokens"]) for r in order)
+
+
 def test_pipeline_keeps_token_files(spark):
     from pathlib import Path
 
