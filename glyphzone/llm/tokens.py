@@ -187,7 +187,7 @@ class Encoder:
     those of the texts at hand stay.
     """
 
-    LIMIT, IDS, TOGETHER = 1_000_000, 8_000_000, 4096
+    LIMIT, IDS, TOGETHER = 800_000, 6_000_000, 4096
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -195,7 +195,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = self._parts(self.tokenizer)
         self.hashes = np.zeros(0, np.uint64)
-        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        # All pieces' ids one behind the other; the first place is for the end id.
+        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.uint32)
 
     @staticmethod
     def _parts(tokenizer) -> bool:
@@ -261,8 +262,8 @@ class Encoder:
     def _forget(self, but: np.ndarray) -> None:
         sizes, at = self.size[but], self.at[but]
         ends = np.cumsum(sizes, dtype=np.int64)
-        self.flat = self.flat[np.repeat(at - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        self.hashes, self.at, self.size = self.hashes[but], ends - sizes, sizes
+        self.flat = np.append(self.flat[:1], self.flat[np.repeat(at - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)])
+        self.hashes, self.at, self.size = self.hashes[but], 1 + ends - sizes, sizes
 
     def _whole(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
@@ -288,12 +289,12 @@ class Encoder:
             self._learn(distinct[new], places[new], self._ids_of([raw[i:j] for i, j in zip(a, b, strict=True)], odd[first[new]]))
             places = np.searchsorted(self.hashes, distinct)
         # Every piece, and behind each text's last the end id: where it is in flat, and its length.
-        flat, n_texts = np.append(self.flat, np.uint32(end_id)), len(offsets) - 1
+        self.flat[0], n_texts = end_id, len(offsets) - 1
         where = np.arange(len(back)) + np.repeat(np.arange(n_texts), np.diff(first_of))
-        source, size = np.full(len(back) + n_texts, len(self.flat)), np.ones(len(back) + n_texts, np.int64)
+        source, size = np.zeros(len(back) + n_texts, np.int64), np.ones(len(back) + n_texts, np.int64)
         source[where], size[where] = self.at[places][back], self.size[places][back]
         stop = np.cumsum(size)
-        ids = flat[np.repeat(source - (stop - size), size) + np.arange(int(stop[-1]) if n_texts else 0)]
+        ids = self.flat[np.repeat(source - (stop - size), size) + np.arange(int(stop[-1]) if n_texts else 0)]
         ends = stop[first_of[1:] + np.arange(n_texts)]
         return ids, np.diff(np.append(0, ends))
 
@@ -323,7 +324,7 @@ def _write(uri: str, tokenizer: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([name]), pa.array([len(docs)]), pa.array([len(ids)])], ["part", "number", "name", "n_docs", "n_ids"])
 
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 ids, lengths = encode(*buffers(batch.column("text")), end_id)
                 names = batch.column("doc_id")
                 held.append((names.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), lengths, ids, names.null_count))
