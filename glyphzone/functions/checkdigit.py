@@ -26,12 +26,24 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _residues(s: Column) -> Column:
+    return F.translate(s, _SYMBOLS, _RESIDUES)
+
+
 def check_digit(s: Column, width: int | None = None) -> Column:
-    """Null for a string outside the charset (or of another width, if one is given)."""
-    weight = lambda i: F.get(F.array(F.lit(7), F.lit(3), F.lit(1)), i % 3)
-    total = lambda x: F.aggregate(F.transform(F.split(F.translate(x, _SYMBOLS, _RESIDUES), ""), lambda c, i: F.coalesce(c.try_cast("int"), F.lit(0)) * weight(i)), F.lit(0), lambda a, b: a + b)
-    fits = lambda x: in_charset(x) if width is None else x.rlike(f"\\A[A-Z0-9<]{{{width}}}\\z")
-    return let(s, lambda x: F.when(fits(x), F.pmod(total(x), F.lit(10))))
+    """Null for a string outside the charset (or of another width, if one is given, which makes it a plain sum without a fold)."""
+    if width is None:
+        weight = lambda i: F.get(F.array(F.lit(7), F.lit(3), F.lit(1)), i % 3)
+        total = lambda x: F.aggregate(F.transform(F.split(_residues(x), ""), lambda c, i: F.coalesce(c.try_cast("int"), F.lit(0)) * weight(i)), F.lit(0), lambda a, b: a + b)
+        return let(s, lambda x: F.when(in_charset(x), F.pmod(total(x), F.lit(10))))
+    weights = [(7, 3, 1)[i % 3] for i in range(width)]
+    total = lambda t: sum((F.ascii(F.substring(t, i + 1, 1)) * w for i, w in enumerate(weights)), F.lit(-48 * sum(weights)))
+    return let(s, lambda x: F.when(x.rlike(f"\\A[A-Z0-9<]{{{width}}}\\z"), F.pmod(let(_residues(x), total), F.lit(10))))
+
+
+def digit_or_minus_one(s: Column) -> Column:
+    """The check digit of any text, -1 for one outside the charset."""
+    return F.coalesce(check_digit(s), F.lit(-1))
 
 
 def verify(s: Column, digit: Column, width: int | None = None) -> Column:

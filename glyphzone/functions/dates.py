@@ -23,3 +23,13 @@ def parse_iso(s: Column) -> Column:
 def validity(birth: Column, expiry: Column, today: Column) -> Column:
     b, e = parse_iso(birth), parse_iso(expiry)
     return F.struct((b.isNotNull() & e.isNotNull()).alias("dates_well_formed"), F.coalesce(e >= today, F.lit(False)).alias("in_date"), F.coalesce(b < e, F.lit(False)).alias("dob_before_expiry"), F.datediff(e, today).cast("long").alias("days_until_expiry"))
+
+
+def all_ok(v: Column) -> Column:
+    """Whether a validity() has nothing against the dates."""
+    return v["dates_well_formed"] & v["in_date"] & v["dob_before_expiry"]
+
+
+def today(unix_seconds: Column) -> Column:
+    """The UTC day of a clock that the caller reads, so that a query gives the same on every run."""
+    return F.date_from_unix_date(F.floor(unix_seconds / 86400).cast("int"))

@@ -40,3 +40,10 @@ def sex(s: Column) -> Column:
 def document_type(s: Column) -> Column:
     u = F.upper(F.trim(s))
     return F.when(u == "PASSPORT", "P").when(u.isin("IDENTITY CARD", "ID CARD", "NATIONAL IDENTITY CARD", "NATIONAL ID"), "I").when(u == "VISA", "V").otherwise(u)
+
+
+def record(df: DataFrame, table: DataFrame) -> DataFrame:
+    """The seven fields of a model's record in their normal forms; nulls stay null."""
+    for column in ("issuing_country", "nationality"):
+        df = country(df, column, column, table)
+    return df.withColumns({"given_names": given_names(F.col("given_names")), "date_of_birth": date(F.col("date_of_birth")), "date_of_expiry": date(F.col("date_of_expiry")), "sex": sex(F.col("sex")), "document_type": document_type(F.col("document_type"))})

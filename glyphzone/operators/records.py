@@ -34,12 +34,33 @@ def confidence(findings: Column) -> Column:
     return F.struct(*[F.when(low(f), IMPLAUSIBLE).otherwise(1.0 if f in PROVEN else 0.9).alias(f) for f in CONFIDENCE])
 
 
+def uniform(score: float) -> Column:
+    """The same confidence for every field: 1.0 for a proven record, 0.5 for a model's without a look at it."""
+    return F.struct(*[F.lit(score).alias(f) for f in CONFIDENCE])
+
+
+def checksum_scope() -> Column:
+    """1.0 for what check digits prove, 0.9 for what is only read at its place."""
+    return F.struct(*[F.lit(1.0 if f in PROVEN else 0.9).alias(f) for f in CONFIDENCE])
+
+
+def all_proven(c: Column) -> Column:
+    return sum((c[f] for f in CONFIDENCE), F.lit(0.0)) == float(len(CONFIDENCE))
+
+
+def looks_like_a_date(s: Column) -> Column:
+    """Three numbers with dashes: a year of 1900 to 2999, a month, a day to 31; no calendar test."""
+    part = lambda i: F.get(F.split(s, "-"), F.lit(i)).try_cast("int")
+    return s.rlike("\\A[0-9]+-[0-9]+-[0-9]+\\z") & F.coalesce(part(0).between(1900, 2999) & part(1).between(1, 12) & part(2).between(1, 31), F.lit(False))
+
+
 def heuristic_confidence(record: dict[str, Column]) -> Column:
     """0.5 for what is absent, 0.65 for what looks plausible, else 0.3; a personal number always 0.5."""
-    date = lambda c: c.rlike("\\A(19|2[0-9])[0-9]{2}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])\\z")
-    tests = {"document_type": lambda c: c.rlike("\\A[A-Z]"), "issuing_country": lambda c: c.rlike("\\A[A-Z]{3}\\z"), "nationality": lambda c: c.rlike("\\A[A-Z]{3}\\z"), "date_of_birth": date, "date_of_expiry": date, "sex": lambda c: c.isin("M", "F", "X"), "document_number": lambda c: c.rlike("\\A[A-Z0-9]{5,}\\z"), "surname": lambda c: ~c.rlike("[0-9]"), "given_names": lambda c: ~c.rlike("[0-9]")}
-    score = lambda f, c: F.when(c.isNull() | (F.trim(c) == ""), 0.5).when(tests[f](c), 0.65).otherwise(0.3) if f in tests else F.lit(0.5)
-    return F.struct(*[score(f, record[f]).alias(f) for f in CONFIDENCE])
+    code = lambda c: c.rlike("\\A[A-Z]{3}\\z")
+    some = lambda c: c != ""
+    tests = {"document_type": lambda c: c.isin("P", "I", "A", "C", "V"), "issuing_country": code, "nationality": code, "date_of_birth": looks_like_a_date, "date_of_expiry": looks_like_a_date, "sex": lambda c: c.isin("M", "F", "X"), "document_number": lambda c: c.rlike("\\A[A-Za-z0-9]{3,20}\\z"), "surname": some, "given_names": some}
+    score = lambda f, c: F.when(c.isNull() | (c == ""), 0.5).when(tests[f](c), 0.65).otherwise(IMPLAUSIBLE) if f in tests else F.lit(0.5)
+    return F.struct(*[score(f, F.trim(record[f])).alias(f) for f in CONFIDENCE])
 
 
 def document_kind(code: Column) -> Column:
@@ -58,8 +79,80 @@ def record(df: DataFrame, today: Column) -> DataFrame:
     return df.withColumns({"validity": dates.validity(F.col("date_of_birth"), F.col("date_of_expiry"), today), "confidence": confidence(F.col("findings")), "document_kind": document_kind(F.col("document_type")), "extraction_method": F.lit("mrz_deterministic"), "schema_version": F.lit(2)})
 
 
-def record_json(columns: list[str], optional: list[str]) -> Column:
-    """JSON with nulls kept for `columns` and left out for `optional`."""
-    core = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    more = F.to_json(F.struct(*optional))
-    return F.when(more == "{}", core).otherwise(F.concat(core.substr(F.lit(1), F.length(core) - 1), F.lit(","), more.substr(F.lit(2), F.length(more))))
+#: The fields of a record in order; names of countries are left out of JSON where they are null.
+FIELDS = ("document_type", "issuing_country", "issuing_country_name", "document_number", "surname", "given_names", "nationality", "nationality_name", "date_of_birth", "sex", "date_of_expiry", "personal_number")
+NAMED = ("issuing_country_name", "nationality_name")
+METHODS = {"mrz-deterministic": "mrz_checksum", "mrz-wasm-client": "wasm_client"}
+CHECKS = ("document_number", "date_of_birth", "date_of_expiry", "personal_number", "composite")
+
+
+def first_version(df: DataFrame, today: Column) -> DataFrame:
+    """Records of the first schema, as columns, of parsed rows with integrity()."""
+    return df.withColumns({"mrz_line": F.col("mrz_lines"), "mrz_checksums_valid": F.lit(True), "validity": dates.validity(F.col("date_of_birth"), F.col("date_of_expiry"), today), "extraction_method": F.lit("mrz-deterministic")})
+
+
+def lift(df: DataFrame, model: Column | None = None) -> DataFrame:
+    """Adds document, confidence, provenance and mrz of the second schema to records of the first (as columns).
+
+    The method says what is known: a deterministic read proves four fields, a browser's all, a model's none (its fields
+    get a heuristic score, and its name is `model`, or unknown). The first schema has one flag for all check digits.
+    """
+    method, lines = F.col("extraction_method"), F.col("mrz_line")
+    heuristic = heuristic_confidence({f: F.col(f) for f in CONFIDENCE})
+    guess, ok = format_guess(lines), F.coalesce("mrz_checksums_valid", F.lit(False))
+    kind = F.when(method == "mrz-deterministic", "mrz_checksum").when(method == "mrz-wasm-client", "wasm_client").otherwise("llm")
+    return df.withColumns({
+        "document": F.struct(document_kind(F.col("document_type")).alias("kind"), guess.alias("mrz_format")),
+        "confidence": F.when(method == "mrz-deterministic", checksum_scope()).when(method == "mrz-wasm-client", uniform(1.0)).otherwise(heuristic),
+        "provenance": F.struct(kind.alias("kind"), F.when(kind == "llm", F.coalesce(model if model is not None else F.lit(None).cast("string"), F.lit("unknown"))).alias("model")),
+        "mrz": F.when(lines.isNotNull(), F.struct(lines.alias("lines"), F.coalesce(guess, F.lit("td3")).alias("format"), F.struct(*[ok.alias(c) for c in CHECKS]).alias("checks"))),
+    })
+
+
+def reasons(findings: Column) -> Column:
+    """Findings as structs with what they were found on; needs the columns of a parsed row beside them."""
+    null = F.lit(None).cast("string")
+
+    def one(kind: str, got: Column = null, issuing: Column = null, nation: Column = null, length: Column | None = None, field: Column = null) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), got.alias("got"), issuing.alias("issuing_country"), nation.alias("nationality"), (length if length is not None else F.lit(None)).cast("int").alias("surname_len"), field.alias("field"))
+
+    known = {
+        "unrecognized_issuing_country": one("unrecognized_issuing_country", got=F.col("issuing_country")),
+        "issuing_country_nationality_mismatch": one("issuing_country_nationality_mismatch", issuing=F.col("issuing_country"), nation=F.col("nationality")),
+        "missing_name_separator": one("missing_name_separator", length=F.octet_length("surname")),
+        "unrecognized_nationality": one("unrecognized_nationality", got=F.col("nationality")),
+        "non_alphabetic_surname": one("non_alphabetic_name", field=F.lit("surname")),
+        "non_alphabetic_given_names": one("non_alphabetic_name", field=F.lit("given_names")),
+    }
+    return F.array_compact(F.array(*[F.when(F.array_contains(findings, f), r) for f, r in known.items()]))
+
+
+def second_version(df: DataFrame, today: Column) -> DataFrame:
+    """Records of the second schema, as columns, of parsed rows with integrity(): exact format and checks, confidence lowered where a finding contradicts."""
+    lifted = lift(first_version(df, today))
+    return lifted.withColumns({
+        "document": F.col("document").withField("mrz_format", F.col("format")),
+        "mrz": F.struct(F.col("mrz_lines").alias("lines"), F.col("format"), F.struct(*[F.col(f"checks.{c}") for c in CHECKS]).alias("checks")),
+        "confidence": confidence(F.col("findings")),
+        "line1_integrity": F.struct(F.col("verdict").alias("kind"), F.when(F.col("verdict") == "needs_review", reasons(F.col("findings"))).alias("reasons")),
+    })
+
+
+def _json(c: Column) -> Column:
+    """A value as JSON, null included."""
+    text = F.to_json(F.struct(c.alias("x")))
+    return F.when(c.isNull(), "null").otherwise(text.substr(F.lit(6), F.length(text) - 6))
+
+
+def record_json(df: DataFrame) -> Column:
+    """The second schema as JSON: keys in order, fields null where absent, slots left out where empty."""
+    fields = F.concat_ws(",", *[F.concat(F.lit(f'"{f}":'), _json(F.col(f))) if f not in NAMED else F.when(F.col(f).isNotNull(), F.concat(F.lit(f'"{f}":'), _json(F.col(f)))) for f in FIELDS])
+    slot = lambda name: F.when(F.col(name).isNotNull(), F.concat(F.lit(f',"{name}":'), F.to_json(name))).otherwise("") if name in df.columns else F.lit("")
+    head = F.concat(F.lit('{"schema_version":2,"document":'), F.to_json("document"), F.lit(',"fields":{'), fields, F.lit('},"confidence":'), F.to_json("confidence"), F.lit(',"provenance":'), F.to_json("provenance"))
+    return F.concat(head, slot("mrz"), slot("line1_integrity"), slot("validity"), slot("portrait"), F.lit(',"extraction_method":'), _json(F.col("extraction_method")), F.lit("}"))
+
+
+def portrait_ref(box: Column) -> Column:
+    """A box (x, y, w, h) as whole pixels: nothing below 0, fractions cut off."""
+    whole = lambda f: F.greatest(F.lit(0), F.floor(F.greatest(box[f], F.lit(0)))).cast("long")
+    return F.when(box.isNotNull(), F.struct(whole("x").alias("x"), whole("y").alias("y"), whole("w").alias("width"), whole("h").alias("height")))

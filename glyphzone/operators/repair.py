@@ -24,17 +24,41 @@ def satisfies(s: Column, kind: Column) -> Column:
     return F.when(kind == "date", plausible_yymmdd(s)).when(kind.isin("document_number", "personal_number"), left_justified(s)).otherwise(True)
 
 
+def _filled(s: Column) -> Column:
+    """A text with its first '?' as each symbol of the alphabet."""
+    return F.transform(F.array(*map(F.lit, ALPHABET)), lambda c: F.concat(F.substring_index(s, UNKNOWN, 1), c, s.substr(F.instr(s, UNKNOWN) + 1, F.length(s))))
+
+
+def concrete_fillings(s: Column) -> Column:
+    """All ways to fill up to two '?' (the first in alphabet order fastest); a text without one itself; none for more, or for other than ASCII."""
+    n = F.length(s) - F.length(F.replace(s, F.lit(UNKNOWN), F.lit("")))
+    last = lambda x: F.reverse(x)
+    two = F.flatten(F.transform(_filled(last(s)), lambda x: _filled(last(x))))
+    return F.when(~s.rlike("\\A\\p{ASCII}*\\z") | (n > 2), F.array().cast("array<string>")).when(n == 0, F.array(s)).when(n == 1, _filled(s)).otherwise(two)
+
+
+def width_candidates(line: Column, width: int) -> Column:
+    """Readings of a line at a width: by its longest run of fillers, then at its ends; if it is one or two short also with
+    as many '?' in every place. Distinct, in this order; none for other than ASCII."""
+    s = F.regexp_replace(line, "(?U)\\s", "")
+    n, none = F.length(s), F.array().cast("array<string>")
+    runs = F.regexp_extract_all(s, F.lit("<+"), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda r: F.length(r)))
+    at = F.when(F.size(runs) > 0, F.instr(s, F.repeat(F.lit("<"), longest))).otherwise(0)  # of the first longest run
+    gap = F.lit(width) - n
+    wider = F.when(at > 0, F.array(F.concat(s.substr(F.lit(1), at + longest - 1), F.repeat(F.lit("<"), gap), s.substr(at + longest, n)))).otherwise(none)
+    narrower = F.when((at > 0) & (longest > -gap), F.array(F.concat(s.substr(F.lit(1), at - 1), s.substr(at - gap, n)))).otherwise(none)
+    holes = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(s.substr(F.lit(1), i), F.repeat(F.lit(UNKNOWN), gap), s.substr(i + 1, n)))
+    out = F.when(gap == 0, F.array(s)).when(gap < 0, F.concat(narrower, F.array(s.substr(F.lit(1), F.lit(width)), F.right(s, F.lit(width)))))
+    out = out.when(gap <= 2, F.concat(wider, F.array(F.rpad(s, width, "<")), holes)).otherwise(F.concat(wider, F.array(F.rpad(s, width, "<"))))
+    return F.when(s.rlike("\\A\\p{ASCII}*\\z"), F.array_distinct(F.filter(out, lambda x: F.length(x) == width))).otherwise(none)
+
+
 def solve_field(df: DataFrame, key: str, field: str = "field", check: str = "check", kind: str = "kind") -> DataFrame:
-    """(key, resolution, candidates): fillings of up to two '?' that the check digit and the kind's rule accept, sorted.
+    """(key, resolution, candidates) for each row: fillings of up to two '?' that the check digit and the kind's rule accept, sorted.
 
-    Each row makes 37 or 37 * 37 candidates by itself; nothing is joined. More than two '?' are unresolvable.
+    Each row makes 37 or 37 * 37 candidates and filters them in place. More than two '?' are unresolvable.
     """
-    alphabet = F.array(*map(F.lit, ALPHABET))
-    one = lambda s: F.transform(alphabet, lambda c: F.concat(F.substring_index(s, UNKNOWN, 1), c, s.substr(F.instr(s, UNKNOWN) + 1, F.length(s))))
-    f = F.col(field)
-    n = F.length(f) - F.length(F.replace(f, F.lit(UNKNOWN), F.lit("")))
-    fillings = F.when(n == 0, F.array(f)).when(n == 1, one(f)).when(n == 2, F.flatten(F.transform(one(f), one))).otherwise(F.array().cast("array<string>"))
-    rows = df.select(key, F.col(check).alias("glyphzone_c"), F.col(kind).alias("glyphzone_k"), F.explode(fillings).alias("glyphzone_x")).where(verify(F.col("glyphzone_x"), F.col("glyphzone_c")) & satisfies(F.col("glyphzone_x"), F.col("glyphzone_k")))
-    found = rows.groupBy(key).agg(F.array_sort(F.collect_set("glyphzone_x")).alias("candidates"))
-    out = df.select(key).join(found, key, "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+    right = F.filter(concrete_fillings(F.col(field)), lambda x: verify(x, F.col(check)) & satisfies(x, F.col(kind)))
+    out = df.select(key, F.array_sort(F.array_distinct(right)).alias("candidates"))
     return out.withColumn("resolution", F.when(F.size("candidates") == 0, "unresolvable").when(F.size("candidates") == 1, "unique").otherwise("ambiguous"))

@@ -21,15 +21,17 @@ def text_sanity(text: Column) -> Column:
 def is_noise(line: Column) -> Column:
     """More than half of the characters other than spaces are not printable ASCII letters, digits or marks."""
     solid = F.regexp_replace(line, "(?U)\\s", "")
-    return 2 * F.length(F.regexp_replace(solid, "[A-Za-z0-9.,:;/()<>'\"&%+*#!?_-]", "")) > F.length(solid)
+    return 2 * F.length(F.regexp_replace(solid, "[A-Za-z0-9<>/:.,_()'\"*#|=+&%!?;-]", "")) > F.length(solid)
 
 
 def drop_noise(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda s: ~is_noise(s)), "\n")
+    """The lines that aren't noise; a last empty line goes, as lines end with line feeds."""
+    lines = F.split(F.regexp_replace(text, "\r?\n\\z", ""), "\r?\n")
+    return F.array_join(F.filter(lines, lambda s: ~is_noise(s)), "\n")
 
 
 def unescape_html(s: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         s = F.replace(s, F.lit(entity), F.lit(char))
     return s
 
@@ -44,3 +46,50 @@ def repair_json(raw: Column) -> Column:
 
 def needs_repair(raw: Column) -> Column:
     return ~(F.trim(raw).startswith("{") & F.try_parse_json(raw).isNotNull())
+
+
+#: The fields that a model is asked for, in order, and the groups of words that tell kinds of documents.
+ASKED = ("document_type", "issuing_country", "document_number", "surname", "given_names", "nationality", "date_of_birth", "sex", "date_of_expiry", "mrz_line")
+KEYWORDS = {
+    "passport": ("PASSPORT", "PASOS", "PASOŠ", "PUTOVNICA"),
+    "identity_card": ("IDENTITY CARD", "LIČNA KARTA", "LICNA KARTA", "OSOBNA ISKAZNICA"),
+    "driving_license": ("DRIVING LICEN", "VOZAČKA", "VOZACKA", "RIJBEWIJS", "PERMIS DE CONDUIRE"),
+}
+#: What the model is told first; a caller may pass text of their own.
+SYSTEM = "You read identity documents. Give the fields that are asked for, as they are printed in Latin letters, as one JSON object; use null for what is missing or can't be read. Don't guess."
+
+
+def prompt(markdown: Column, system: str = SYSTEM) -> Column:
+    """A ChatML prompt for one page: entities undone, lines of noise dropped."""
+    page = drop_noise(unescape_html(markdown))
+    head = f"<|im_start|>system\n{system}\n<|im_end|>\n<|im_start|>user\nExtract these fields: {', '.join(ASKED)}.\n\nOCR Markdown Text:\n"
+    return F.concat(F.lit(head), page, F.lit("\n\nOutput ONLY valid JSON. No markdown formatting, no explanations, no code blocks.\n<|im_end|>\n<|im_start|>assistant"))
+
+
+def grammar(fields: tuple[str, ...] = ASKED) -> str:
+    """A GBNF grammar for one JSON object of the fields in order, each a string or null."""
+    pairs = ' "," ws '.join(f'"\\"{f}\\"" ws ":" ws value ws' for f in fields)
+    text = r'''"\"" ( [^"\\] | "\\" (["\\/bfnrt] | "u" [0-9a-fA-F] [0-9a-fA-F] [0-9a-fA-F] [0-9a-fA-F]) )* "\""'''
+    return "\n".join((f'root ::= "{{" ws {pairs} "}}"', "", 'value  ::= string | "null"', f"string ::= {text}", r"ws     ::= [ \t\n]*", ""))
+
+
+def keywords(text: Column) -> Column:
+    """The groups of which some word stands in the text, in table order."""
+    upper = F.upper(text)
+    return F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(upper, w)), group) for group, words in KEYWORDS.items()]))
+
+
+def parse_extraction(raw: Column) -> Column:
+    """struct(fields, error) from what a model wrote, mended if need be; extraction_method is always llm.
+
+    error: invalid_json, not_an_object or wrong_type (a field that is no text); then all fields are null.
+    """
+    clean = F.when(needs_repair(raw), repair_json(raw)).otherwise(F.trim(raw))
+    parsed = F.try_parse_json(clean)
+    fields = [*ASKED, "personal_number"]
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(parsed, f"$.{f}", "variant"))
+    wrong = F.lit(False)
+    for f in fields:
+        wrong = wrong | ~F.coalesce(kind(f), F.lit("VOID")).isin("STRING", "VOID")
+    error = F.when(parsed.isNull(), "invalid_json").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not_an_object").when(wrong, "wrong_type")
+    return F.struct(*[F.when(error.isNull(), F.try_variant_get(parsed, f"$.{f}", "string")).alias(f) for f in fields], F.when(error.isNull(), "llm").alias("extraction_method"), error.alias("error"))

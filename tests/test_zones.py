@@ -10,6 +10,7 @@ from glyphzone.operators.parse import all_valid, parse
 from glyphzone.operators.scan import find
 from glyphzone.plans.queries import ORACLES, QUERIES
 
+#: Published specimens.
 TD3 = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10"
 TD1 = "I<UTOD231458907<<<<<<<<<<<<<<<\n7408122F1204159UTO<<<<<<<<<<<6\nERIKSSON<<ANNA<MARIA<<<<<<<<<<"
 TD2 = "I<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<\nD231458907UTO7408122F1204159<<<<<<<6"
@@ -59,7 +60,7 @@ def test_parse_errors_and_text(spark):
     c = spark.createDataFrame([("", ""), ("", "x"), ("abc", "abd"), ("a", "xyz")], "e string, g string").select(bench.cer(F.col("e"), F.col("g"))).collect()
     assert [r[0] for r in c] == [0.0, 1.0, pytest.approx(1 / 3), 3.0]
     names = {c: n for _, c, n in codes.codes(spark)}
-    assert names["DEU"] == names["D"] == "Germany" and len(names) > 240
+    assert names["DEU"] == names["D"] == "Germany" and len(names) == 231
 
 
 def test_damaged_recovery_by_brute_force(spark, tmp_path):
