@@ -12,7 +12,7 @@ import datetime
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -241,17 +241,17 @@ def may_have_zone(text: Column) -> Column:
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "mrz", pivot: int = PIVOT) -> DataFrame:
-    """Adds `out`, the best zone of each text (null: none). Texts that cannot hold one never reach Python."""
-
-    @F.pandas_udf(SCHEMA)
-    def found(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            got = find(t, pivot) if t else None
-            rows.append({**got[0], "checks": dict(zip(CHECKS, got[1], strict=True))} if got else {**dict.fromkeys(FIELDS), "checks": dict.fromkeys(CHECKS, False)})
-        return pd.DataFrame(rows, columns=[*FIELDS, "checks"])
-
-    likely = F.coalesce(may_have_zone(F.col(text)), F.lit(False))
-    yes = df.where(likely).withColumn(out, found(F.col(text)))
-    yes = yes.withColumn(out, F.when(F.col(f"{out}.format").isNotNull(), F.col(out)))
-    return yes.unionByName(df.where(~likely).withColumn(out, F.lit(None).cast(yes.schema[out].dataType)))
+    """Adds `out`, the best zone of each text (null: none). Texts that cannot hold one reach Python as nulls."""
+    kinds = [pa.field(f, pa.string()) for f in FIELDS]
+    checked = pa.struct([pa.field(c, pa.bool_()) for c in CHECKS])
+
+    @F.arrow_udf(SCHEMA)
+    def found(texts: pa.Array) -> pa.Array:
+        read = [find(t, pivot) if t else None for t in texts.to_pylist()]
+        columns = [pa.array([r and r[0][f.name] for r in read], f.type) for f in kinds]
+        checks = pa.StructArray.from_arrays([pa.array([bool(r and r[1][i]) for r in read], pa.bool_()) for i in range(len(CHECKS))], fields=list(checked))
+        return pa.StructArray.from_arrays([*columns, checks], fields=[*kinds, pa.field("checks", checked)])
+
+    likely = F.when(F.coalesce(may_have_zone(F.col(text)), F.lit(False)), F.col(text))
+    read = df.withColumn(out, found(likely))
+    return read.withColumn(out, F.when(F.col(f"{out}.format").isNotNull(), F.col(out)))
