@@ -66,7 +66,7 @@ def normalize_record(spark, sf):
 @query("validity_all_ok", f"WITH {PEOPLE} SELECT k, k % 5 <> 0 AND expiry >= DATE '2030-01-02' AND birth < expiry AS ok FROM people")
 def validity_all_ok(spark, sf):
     iso = F.date_format("expiry", "yyyy-MM-dd")
-    day = dates.today(F.lit(1893542400) + 86400 + 7)  # within the second day of 2030
+    day = dates.today(F.lit(1893456000) + 86400 + 7)  # within the second day of 2030
     v = dates.validity(F.date_format("birth", "yyyy-MM-dd"), F.when(F.col("k") % 5 != 0, iso), day)
     return people(spark, sf).select("k", dates.all_ok(v).alias("ok"))
 

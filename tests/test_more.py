@@ -137,3 +137,17 @@ def test_filler_repairs():
 def test_seeded_identities_repeat(spark):
     one, two = (labels.seeded(spark, 7, 50).collect() for _ in range(2))
     assert one == two and len({r["document_number"] for r in one}) == 50 and all(1950 <= r["birth"].year <= 2008 <= 2027 <= r["expiry"].year <= 2036 for r in one)
+
+
+def test_validity_on_the_day_itself(spark, tmp_path):
+    """A document that expires today is in date, one of the day before is not: of the keys here 1469 ends on 2030-01-02, 1192 a day before."""
+    import duckdb
+
+    from glyphzone.plans.queries import ORACLES, QUERIES
+
+    spark.range(3000).selectExpr("id as c_custkey", "'X' as c_mktsegment", "0 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = dict(c.execute(ORACLES["validity_all_ok"]).fetchall())
+    got = {r["k"]: r["ok"] for r in QUERIES["validity_all_ok"](spark, str(tmp_path)).collect()}
+    assert got == want
