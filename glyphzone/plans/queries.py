@@ -45,6 +45,11 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identities(spark, sf_dir)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Short rows that take much work each, dealt to all cores: hundreds of thousands of them may be in one small file."""
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 # SQL that the oracles are put together from.
 PEOPLE = f"""people AS (SELECT k, translate(lpad(CAST(k AS VARCHAR), 6, '0'), '0123456789', 'ABCDEFGHIJ') AS surname, c_mktsegment AS given_names,
   {COUNTRIES}[c_nationkey % 25 + 1] AS country, DATE '1950-01-01' + CAST(k * 37 % 21000 AS INTEGER) AS birth, DATE '2027-01-01' + CAST(k * 13 % 3600 AS INTEGER) AS expiry,
@@ -351,7 +356,7 @@ for _t, _c in (("documents", "text"), ("pages", "html"), ("conversations", "text
 @query("damaged_recovery")
 def damaged_recovery(spark, sf):
     """TD3 zones of which the second line lost a character of the document number."""
-    z = zones(people(spark, sf), "td3").select("k", "zone")
+    z = spread(zones(people(spark, sf), "td3").select("k", "zone"))
     at = (45 + 2 + F.col("k") % 7).cast("int")
     hurt = z.withColumn("text", F.concat(F.col("zone").substr(F.lit(1), at - 1), F.col("zone").substr(at + 1, F.lit(99))))
     return scan(hurt).select("k", "mrz.document_number", all_valid(F.col("mrz.checks")).alias("valid"))

@@ -101,3 +101,32 @@ def test_query_matches_sql(spark, name):
     names = [x[0] for x in want.description]
     assert sorted(names) == cols
     assert rows == sorted(str([r[names.index(x)] for x in cols]) for r in want.fetchall())
+
+
+def test_damaged_search_leaves_nothing_out(spark):
+    """What the search for a lost character finds is what parsing every line that one more character makes finds, in that order."""
+    import itertools
+    import random
+    import time
+
+    from glyphzone.operators import scan
+
+    r, took = random.Random(5), 0.0
+    for turn, zone in itertools.product(range(6), (TD3, TD1, TD2, MRV_A, MRV_B)):
+        lines = zone.split("\n")
+        for _ in range(1 + (turn == 5)):
+            i = r.randrange(len(lines))
+            at = r.randrange(len(lines[i]))
+            lines[i] = lines[i][:at] + lines[i][at + 1 :]
+        if turn % 2:
+            i = r.randrange(len(lines))
+            at = r.randrange(len(lines[i]))
+            lines[i] = lines[i][:at] + r.choice("KL0OISB<8") + lines[i][at + 1 :]
+        shapes = list(scan._shapes(lines))
+        want = [(x, z) for x, raw, hurt in shapes for z in scan._every(x, raw, hurt) if all(scan.checks_of(x, z))]
+        began = time.process_time()
+        assert list(scan._damaged(lines)) == want, lines
+        took += time.process_time() - began
+        for x, raw, hurt in shapes:
+            assert len(list(scan._every(x, raw, hurt))) <= scan._attempts(x, raw, hurt)
+    assert took < 1, took
