@@ -307,7 +307,7 @@ def solve_field_dates(spark, sf):
 @query("solve_field_pairs", f"WITH {PEOPLE}, {_CHARS}, h AS (SELECT k, rpad(number, 9, '<') AS n FROM people), x AS (SELECT k, a.c || b.c || substr(n, 3) AS x, {cd('n')} AS d FROM h, chars a, chars b) SELECT k, count(*) AS n FROM x WHERE {cd('x')} = d AND NOT contains(rtrim(x, '<'), '<') GROUP BY k")
 def solve_field_pairs(spark, sf):
     n = F.rpad("number", 9, "<")
-    d = people(spark, sf).select("k", F.concat(F.lit("??"), n.substr(F.lit(3), F.lit(9))).alias("field"), checkdigit.check_digit(n).cast("string").alias("check"), F.lit("document_number").alias("kind"))
+    d = spread(people(spark, sf).select("k", "number")).select("k", F.concat(F.lit("??"), n.substr(F.lit(3), F.lit(9))).alias("field"), checkdigit.check_digit(n).cast("string").alias("check"), F.lit("document_number").alias("kind"))
     return repair.solve_field(d, "k").select("k", F.size("candidates").cast("long").alias("n"))
 
 

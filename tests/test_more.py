@@ -151,3 +151,43 @@ def test_validity_on_the_day_itself(spark, tmp_path):
     want = dict(c.execute(ORACLES["validity_all_ok"]).fetchall())
     got = {r["k"]: r["ok"] for r in QUERIES["validity_all_ok"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_fields_with_holes(spark):
+    """Candidates are those of all fillings that the check digit and the rule accept, and made without trying each one."""
+    import itertools
+    import time
+
+    from glyphzone.functions.layouts import ALPHABET
+    from glyphzone.operators import repair
+    from glyphzone.operators.scan import right
+
+    texts = ["??0012345", "?A?<<<<<<", "L8989?2C3", "7?081?", "740812", "?", "??", "A?B?C?", "", None, "é?", "a?", "?<<<<A"]
+    rows = [(f"{i},{check},{kind}", t, check, kind) for i, t in enumerate(texts) for check in ("6", "<", "A", None) for kind in ("document_number", "date", "other")]
+
+    def brute(t, check, kind):
+        if t is None or check is None or t.count("?") > 2:
+            return []
+        fills = {"".join(c or x for c, x in zip(f, t, strict=True)) for f in itertools.product(*(ALPHABET if x == "?" else "\0" for x in t))}
+        fills = {"".join(x if c == "\0" else c for c, x in zip(f, t, strict=True)) for f in fills} if t else {""}
+        fits = [f for f in fills if set(f) <= set(ALPHABET) and right(f, check)]
+        if kind == "document_number":
+            fits = [f for f in fits if "<" not in f.rstrip("<")]
+        if kind == "date":
+            import datetime
+
+            def real(f):
+                try:
+                    return len(f) == 6 and f.isdigit() and any(datetime.date(c + int(f[:2]), int(f[2:4]), int(f[4:])) for c in (2000,) if f[2:] != "0229" or int(f[:2]) % 4 == 0)
+                except ValueError:
+                    return False
+
+            fits = [f for f in fits if real(f)]
+        return sorted(fits)
+
+    got = repair.solve_field(spark.createDataFrame(rows, "k string, field string, check string, kind string"), "k")
+    assert {r["k"]: r["candidates"] for r in got.collect()} == {k: brute(*rest) for k, *rest in rows}
+    many = spark.range(20_000).selectExpr("id as k", "'??0012345' as field", "'6' as check", "'document_number' as kind").repartition(8)
+    began = time.time()
+    assert repair.solve_field(many, "k").selectExpr("sum(size(candidates)) as n").first()["n"] == 20_000 * len(brute("??0012345", "6", "document_number"))
+    assert time.time() - began < 15
