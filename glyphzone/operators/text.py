@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.checkdigit import let
+
 
 def mrz_shaped_lines(text: Column) -> Column:
     lines = F.transform(F.split(text, "\r?\n"), lambda s: F.trim(s))
@@ -84,12 +86,17 @@ def parse_extraction(raw: Column) -> Column:
 
     error: invalid_json, not_an_object or wrong_type (a field that is no text); then all fields are null.
     """
-    clean = F.when(needs_repair(raw), repair_json(raw)).otherwise(F.trim(raw))
-    parsed = F.try_parse_json(clean)
     fields = [*ASKED, "personal_number"]
-    kind = lambda f: F.schema_of_variant(F.try_variant_get(parsed, f"$.{f}", "variant"))
-    wrong = F.lit(False)
-    for f in fields:
-        wrong = wrong | ~F.coalesce(kind(f), F.lit("VOID")).isin("STRING", "VOID")
-    error = F.when(parsed.isNull(), "invalid_json").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not_an_object").when(wrong, "wrong_type")
-    return F.struct(*[F.when(error.isNull(), F.try_variant_get(parsed, f"$.{f}", "string")).alias(f) for f in fields], F.when(error.isNull(), "llm").alias("extraction_method"), error.alias("error"))
+
+    def error(parsed: Column) -> Column:
+        kind = lambda f: F.schema_of_variant(F.try_variant_get(parsed, f"$.{f}", "variant"))
+        wrong = F.lit(False)
+        for f in fields:
+            wrong = wrong | ~F.coalesce(kind(f), F.lit("VOID")).isin("STRING", "VOID")
+        return F.when(parsed.isNull(), "invalid_json").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not_an_object").when(wrong, "wrong_type")
+
+    def answer(parsed: Column) -> Column:
+        return let(error(parsed), lambda e: F.struct(*[F.when(e.isNull(), F.try_variant_get(parsed, f"$.{f}", "string")).alias(f) for f in fields], F.when(e.isNull(), "llm").alias("extraction_method"), e.alias("error")))
+
+    clean = let(raw, lambda r: F.when(needs_repair(r), repair_json(r)).otherwise(F.trim(r)))
+    return let(F.try_parse_json(clean), answer)

@@ -18,6 +18,11 @@ def tiers(df: DataFrame, column: str = "text") -> DataFrame:
     return found.withColumns({"mrz": F.when(F.col("glyphzone_ok"), F.col("mrz")), "method": F.when(F.col("glyphzone_ok"), "mrz-deterministic").otherwise("llm")}).drop("glyphzone_ok")
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """The same rows, with every column worked out here: a generator keeps the optimizer from repeating their expressions in what follows."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("glyphzone_x")).select("glyphzone_x.*")
+
+
 def process(df: DataFrame, key: str, today: Column, model: Callable[[Column], Column] | None = None, model_id: str | None = None, column: str = "text", table: DataFrame | None = None) -> DataFrame:
     """(key, method, error, record): a record of the second schema as JSON for every text.
 
@@ -29,17 +34,18 @@ def process(df: DataFrame, key: str, today: Column, model: Callable[[Column], Co
     # Rows of one tier by a generator: through it the optimizer neither repeats a field's expression nor infers filters from it.
     only = lambda method, value: placed.select(key, F.explode(F.filter(F.array(value), lambda _: F.col("method") == method)).alias("glyphzone_x"))
     proven = only("mrz-deterministic", "mrz").select(key, "glyphzone_x.*")
-    first = records.second_version(records.integrity(proven, table), today)
+    first = _held(records.second_version(_held(records.integrity(proven, table)), today))
     out = first.select(key, F.lit("mrz-deterministic").alias("method"), F.lit(None).cast("string").alias("error"), records.record_json(first).alias("record"))
+    out = _held(out)
     rest = only("llm", "text")
     if model is None:
         return out.unionByName(rest.select(key, F.lit("llm").alias("method"), F.lit("no_model").alias("error"), F.lit(None).cast("string").alias("record")))
     # A model's answer is dear: it is asked for once, whatever its fields are used for.
     said = rest.select(key, F.explode(F.array(model(text.prompt(F.col("glyphzone_x"))))).alias("said"))
     said = said.select(key, F.explode(F.array(text.parse_extraction(F.col("said")))).alias("e")).select(key, "e.*")
-    said = normalize.record(said, table).withColumns({"mrz_checksums_valid": F.lit(None).cast("boolean"), "issuing_country_name": F.lit(None).cast("string"), "nationality_name": F.lit(None).cast("string")})
-    lifted = records.lift(said, F.lit(model_id).cast("string"))
-    return out.unionByName(lifted.select(key, F.lit("llm").alias("method"), "error", F.when(F.col("error").isNull(), records.record_json(lifted)).alias("record")))
+    said = _held(normalize.record(said, table)).withColumns({"mrz_checksums_valid": F.lit(None).cast("boolean"), "issuing_country_name": F.lit(None).cast("string"), "nationality_name": F.lit(None).cast("string")})
+    lifted = _held(records.lift(said, F.lit(model_id).cast("string")))
+    return out.unionByName(_held(lifted.select(key, F.lit("llm").alias("method"), "error", F.when(F.col("error").isNull(), records.record_json(lifted)).alias("record"))))
 
 
 def write_records(processed: DataFrame, path: str, key_bytes: bytes | None = None) -> None:

@@ -10,7 +10,7 @@ from ..operators.parse import all_valid, parse
 from ..sources import labels
 from ..sources.identities import zones
 from . import documents, ops
-from .queries import _CHARS, _CODES, _READ, ALL_ZONES, PEOPLE, TABLE, _read, cd, own_layout, parsed_sql, people, query, read, zone_sql
+from .queries import _CHARS, _CODES, _READ, ALL_ZONES, PEOPLE, TABLE, _read, cd, own_layout, parsed_sql, people, query, read, spread, zone_sql
 
 TODAY = "2030-01-01"
 
@@ -312,7 +312,7 @@ def request_checks(spark, sf):
 def two_tiers(spark, sf):
     k = F.col("k")
     page = F.when(k % 2 == 0, F.col("zone")).when(k % 6 == 1, "broken").otherwise("a page without a zone")
-    p = zones(people(spark, sf), "td3").where(F.length("number") <= 9).select("k", F.concat(F.lit("Head\n"), page, F.lit("\n")).alias("text"))
+    p = spread(zones(people(spark, sf), "td3").where(F.length("number") <= 9).select("k", F.concat(F.lit("Head\n"), page, F.lit("\n")).alias("text")))
     stub = lambda prompt: F.when(F.contains(prompt, F.lit("broken")), "sorry").otherwise('{"document_number": "N1", "given_names": "anna-maria",}')
     r = documents.process(p, "k", F.lit(TODAY).cast("date"), stub, "stub", table=codes.code_table(spark, TABLE))
     return r.select("k", "method", "error", F.get_json_object("record", "$.fields.document_number").alias("document_number"), F.get_json_object("record", "$.provenance.model").alias("model"), F.get_json_object("record", "$.fields.given_names").alias("given_names"))

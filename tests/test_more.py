@@ -191,3 +191,13 @@ def test_fields_with_holes(spark):
     began = time.time()
     assert repair.solve_field(many, "k").selectExpr("sum(size(candidates)) as n").first()["n"] == 20_000 * len(brute("??0012345", "6", "document_number"))
     assert time.time() - began < 15
+
+
+def test_answers_are_parsed_once(spark):
+    """A model's answer is parsed to see if it needs mending and once for all fields, not for each of them."""
+    answers = ['{"document_number": "N1", "surname": null,}', "```json\n{\"sex\": \"F\"}\n```", "sorry", "[1]", '{"sex": 1}', "", None]
+    d = column(spark, answers).select(text.parse_extraction(F.col("x")).alias("e"))
+    got = [(r["e"]["document_number"], r["e"]["sex"], r["e"]["extraction_method"], r["e"]["error"]) for r in d.collect()]
+    bad = [(None, None, None, e) for e in ("invalid_json", "not_an_object", "wrong_type", "invalid_json", "invalid_json")]
+    assert got == [("N1", None, "llm", None), (None, "F", "llm", None), *bad]
+    assert d._jdf.queryExecution().analyzed().toString().count("parse_json") <= 4
