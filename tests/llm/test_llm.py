@@ -752,3 +752,12 @@ def test_language_model_keeps_all_grams(spark, monkeypatch):
         got = {r["doc_id"]: r for r in langid.predict(rows, parts).collect()}
         assert got.keys() == want.keys() and all(got[k]["lang_pred"] == w["lang_pred"] and got[k]["score"] == pytest.approx(w["score"]) and got[k]["bits_per_byte"] == pytest.approx(w["bits_per_byte"]) for k, w in want.items())
         assert {r["doc_id"] for r in langid.identified(rows, parts).collect()} == {k for k, w in want.items() if w["lang_pred"] != "und"}
+
+
+def test_pipeline_keeps_texts_of_a_large_model(spark, monkeypatch):
+    """However many grams the first stage learns, none is dropped, so no text is left undetermined for it."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(langid, "GRAMS", 1)
+    rows = docs_of(spark, ["ab", "ab", "12", None], langs=["en", "hr", "en", "en"])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, rows, "").collect()) == [0, 1]
