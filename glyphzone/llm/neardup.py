@@ -1,20 +1,26 @@
-"""MinHash near-duplicates by an LSH forest.
+"""MinHash near-duplicates by an LSH forest, and by prefixes of the sets what the forest misses.
 
 Each text becomes the set of its 5-word shingles, the set a signature of 64 minimum hashes (a byte each). The forest keeps
 the signatures in 16 sorted orders (order t starts with value 4t of the signature). Two sets of similarity s agree in the
-first four values of an order with probability s**4, so at 0.85 all orders miss a pair with probability
-(1 - 0.85**4)**16 = 7e-6. Sets that agree so far in an order are a region of it; most sets are alone in theirs and are not
-sorted at all. Depth adapts to the region, in two steps:
+first four values of an order with probability s**4, so all orders miss a pair with probability (1 - s**4)**16: 7e-6 at
+0.85, 2e-4 at 0.8. Sets that agree so far in an order are a region of it; most sets are alone in theirs and are not
+sorted at all. Depth adapts to the region, in three steps:
 
 1. Neighbours. Each set of a region gets one candidate among the WINDOW sets on each side in sorted order, which are those
    that share the longest prefixes; it is confirmed on full sets, and links join components. The orders are
    range-partitioned, so a region of any size is dealt over many tasks.
-2. The rest. What is left are regions with several components. In these all pairs of different components are compared, each
+2. Regions. What is left are regions with several components. In these all pairs of different components are compared, each
    in the first order in which it shares a region: first by signatures, then, of sets that have candidates, by full sets.
    Regions of up to SIDE rows are packed together; a larger one is dealt into blocks, a large component into blocks of its
    own, and any two blocks that may hold two components are a task. No set's comparisons end at a fixed count, whatever the
    windows or partitions were. The work grows with the square of what a region holds outside its largest component, at
    about 0.1 microseconds a pair.
+3. The rest, exactly. Whatever the signatures say, two linked sets share one of their first n - ceil(threshold * n) + 1
+   shingles (of n), in any order that is the same for all sets. In this one, shingles seen in several texts at a time stand
+   last. The sets that share such a first shingle are a region, of which those of different components are compared as in
+   step 2. Instead of signatures two bounds that no link exceeds choose the candidates: enough shingles are left from there
+   on, and the parities of the sets' values in BITS bins differ in no more bins than the sets may differ in values.
+   Regions of the same sets are one.
 
 A task holds at most two blocks, and of full sets at most two pieces of PIECE bytes (or two sets).
 """
@@ -25,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +47,16 @@ WINDOW = 64
 SIDE = 1024
 #: Bytes of full sets in a piece of a task.
 PIECE = 16 << 20
-#: Rows up to which a list of regions or of wanted sets is broadcast.
+#: Rows up to which a list of regions or of wanted sets is broadcast, and most shingles that are put last (which bears on time alone).
 LISTED = 200_000
+#: Regions before a row's own by which pairs that have been compared there are told; the others are compared again.
+EARLY = 8
+#: Bins of which the parities of a set's values are compared.
+BITS = 2048
+#: Rows of a matrix of parities at a time.
+_PARITIES = 128
+#: From here on stand, by rank, the shingles put last; the others are below, by hash.
+_LATE = 1 << 62
 #: Values of sets that are compared with one set at a time.
 _AT_ONCE = 1 << 20
 #: Rows of a region from which on its pairs are compared as a matrix, and columns of that matrix at a time.
@@ -104,7 +119,69 @@ def _signatures(width: int):
                 sets = shingle_sets(*buffers(batch.column("text")), width)
                 keys = np.array([_set_key(s) for s in sets], np.uint64).reshape(-1, 2)
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), sizes, pa.array(signed(keys[:, 0].copy())), pa.array(signed(keys[:, 1].copy())), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "hash", "n_shingles", "k1", "k2", "sig"])
+                often = pa.array([_repeated(sets, keys), *[None] * (len(sets) - 1)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), sizes, pa.array(signed(keys[:, 0].copy())), pa.array(signed(keys[:, 1].copy())), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()), often], ["doc_id", "hash", "n_shingles", "k1", "k2", "sig", "often"])
+
+    return run
+
+
+def _repeated(sets: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The values that several different sets hold."""
+    every = np.sort(np.concatenate([sets[i] for i in {k: i for i, k in enumerate(map(tuple, keys.tolist()))}.values()]))
+    return signed(np.unique(every[1:][every[1:] == every[:-1]]))
+
+
+def _last_ones(sigs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(values, ranks) of the shingles that stand last, by value: those met together most often, LISTED at most."""
+    counts = materialize(sigs.where("often is not null").select(F.explode("often").alias("value")).groupBy("value").agg(F.count("*").alias("n")), "nd-often", few_files(sigs.sparkSession))
+    least, total = None, 0
+    for n, of in sorted((tuple(r) for r in counts.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        total += of
+        if total > LISTED:
+            break
+        least = n
+    found = counts.where(F.col("n") >= least).toArrow() if least else None
+    drop(counts)
+    if found is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    values, n = found.column("value").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    ranks = np.empty(len(values), np.int64)
+    ranks[np.lexsort((values, n))] = np.arange(len(values))
+    by = np.argsort(values)
+    return values[by], ranks[by]
+
+
+def _places(s: np.ndarray, last: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The values of a set as their places in the order that all sets have in common, ascending."""
+    values, ranks = last
+    places = (s >> np.uint64(2)).astype(np.int64)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+        late = values[at] == s
+        if late.any():
+            places[late] = _LATE + ranks[at[late]]
+            places.sort()
+    return places
+
+
+def _parities(s: np.ndarray) -> np.ndarray:
+    """For each bin whether a set has an odd number of values in it, as bytes of bits."""
+    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1)
+
+
+def _prefixes(width: int, num: int, den: int, shared):
+    """The first places of each text's set, of which it shares one with the first ones of any set that it is linked with; and its parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = shingle_sets(*buffers(batch.column("text")), width)
+                keys = np.array([_set_key(s) for s in sets], np.uint64).reshape(-1, 2)
+                first = [_places(s, last)[: len(s) - -(-num * len(s) // den) + 1] if len(s) else np.zeros(0, np.int64) for s in sets]
+                offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(signed(keys[:, 0].copy())), pa.array(signed(keys[:, 1].copy())), places, pa.array([_parities(s).tobytes() for s in sets], pa.binary())], ["doc_id", "hash", "k1", "k2", "places", "parities"])
 
     return run
 
@@ -188,6 +265,11 @@ def _border_pass(floor: float):
     return run
 
 
+def _free(spark) -> None:
+    """Lets Spark delete the shuffle files of what is done."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _listed(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= LISTED else df
 
@@ -217,13 +299,34 @@ def _first_candidates(rows: DataFrame, floor: float) -> DataFrame:
     return done
 
 
-_TASK = "task long, side int, tree int, region long, id long, size long, sig binary, comp long"
-
+def _prefix_regions(first: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same of (id, size, comp, places, parities), where prefix is a shared place, tree ORDERS; in the rows, remain (values of the set
+    from that place on), early (the first regions before, EARLY at most) and parities instead of sig. And what else was written.
 
-def _dealt(rows: DataFrame, regions: DataFrame) -> DataFrame:
-    """The rows of regions dealt to tasks (_TASK), so that any two of different components of a region meet in one."""
+    Of regions with the same ids only the first one stays.
+    """
+    few = few_files(first.sparkSession)
+    cells = first.select("id", "comp", "size", F.posexplode("places").alias("at", "prefix"))
+    shared = cells.groupBy("prefix").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("prefix")
+    shared = materialize(shared, "nd-shared", few)
+    _free(first.sparkSession)
+    cells = materialize(cells.join(_listed(shared), "prefix").select("prefix", "id", (F.col("size") - F.col("at")).alias("remain")), "nd-cells")
+    drop(shared)
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"ids{k}") for k in (1, 2)]
+    regions = cells.groupBy("prefix").agg(F.count("*").alias("n"), *members).groupBy("n", "ids1", "ids2").agg(F.min("prefix").alias("prefix"))
+    regions = materialize(regions.select(F.lit(ORDERS).alias("tree"), "prefix", "n"), "nd-regions", few)
+    _free(first.sparkSession)
+    by_id = cells.join(_listed(regions), "prefix").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("prefix", "tree", "n", "remain"))).alias("x"))
+    early = lambda k: F.slice(F.col("x.prefix"), F.lit(1), F.least(k, F.lit(EARLY)))
+    row = F.transform("x", lambda x, k: F.struct(x["tree"].alias("tree"), x["prefix"].alias("prefix"), x["n"].alias("n"), x["remain"].alias("remain"), early(k).alias("early")))
+    rows = by_id.select("id", row.alias("y")).join(first.drop("places"), "id").select(F.explode("y").alias("y"), "id", "size", "comp", "parities").select("y.*", "id", "size", "comp", "parities")
+    return regions, rows, cells
+
+
+def _dealt(rows: DataFrame, regions: DataFrame, more: list[str]) -> DataFrame:
+    """The rows of regions dealt to tasks (task, side, tree, region, id, size, comp and more columns), so that any two of different components of a region meet in one."""
     region = F.xxhash64("tree", "prefix")
-    columns = ["id", "size", "sig", "comp"]
+    columns = ["id", "size", "comp", *more]
     total = regions.where(F.col("n") <= SIDE).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bins = max(1, -(-total // SIDE))
     small = rows.where(F.col("n") <= SIDE).select(F.pmod(F.xxhash64(F.lit(7), "tree", "prefix"), F.lit(bins)).alias("task"), F.lit(0).alias("side"), "tree", region.alias("region"), *columns)
@@ -254,16 +357,39 @@ def _dealt(rows: DataFrame, regions: DataFrame) -> DataFrame:
 class _Pairs:
     """The rows of a task by region, and their candidates: pairs of different components that share no region in an order before."""
 
+    #: The columns, and their kinds, that say which pairs are candidates.
+    OWN = {"sig": "binary"}
+
     def __init__(self, table: pa.Table, floor: float):
         region = table.column("region").to_numpy()
         by = np.lexsort((table.column("id").to_numpy(), table.column("side").to_numpy(), region))
         self.table = table = table.take(pa.array(by))
         self.region, self.side, self.tree = table.column("region").to_numpy(), table.column("side").to_numpy(), table.column("tree").to_numpy()
-        self.comp, self.sig = table.column("comp").to_numpy(), _sigs(table.column("sig"))
-        self.words, self.floor = self.sig.view(np.uint32), floor
+        self.comp = table.column("comp").to_numpy()
+        self._read(floor)
         starts = np.flatnonzero(np.append(True, self.region[1:] != self.region[:-1])) if len(by) else np.zeros(0, np.int64)
         self.regions = list(zip(starts.tolist(), np.append(starts[1:], len(by)).tolist(), strict=True))
 
+    def _read(self, floor: float) -> None:
+        self.sig, self.floor = _sigs(self.table.column("sig")), floor
+        self.words = self.sig.view(np.uint32)
+
+    def _likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of a region those that may be linked and share no region before."""
+        before = (self.words[a] == self.words[b]) & (np.arange(ORDERS) < self.tree[a][:, None])
+        return ((self.sig[a] == self.sig[b]).sum(axis=1) >= self.floor) & ~before.any(axis=1)
+
+    def _likely_of_all(self, rows: np.ndarray) -> np.ndarray:
+        """The same for all pairs of the rows of a region, as a matrix."""
+        sig, words = self.sig[rows], self.words[rows]
+        agree = np.zeros((len(rows), len(rows)), np.uint8)
+        for j in range(HASHES):
+            agree += sig[:, j, None] == sig[None, :, j]
+        ok = agree >= self.floor
+        for t in range(min(int(self.tree[rows[0]]), ORDERS)):
+            ok &= words[:, t, None] != words[None, :, t]
+        return ok
+
     def few(self) -> tuple[np.ndarray, np.ndarray]:
         """Candidates in regions of fewer than _MATRIX rows, which are of one side."""
         size = np.repeat([b - a for a, b in self.regions], [b - a for a, b in self.regions])
@@ -275,9 +401,7 @@ class _Pairs:
             if not same.any():
                 break
             a, b = a[same], b[same]
-            ok = (self.comp[a] != self.comp[b]) & ((self.sig[a] == self.sig[b]).sum(axis=1) >= self.floor)
-            before = (self.words[a] == self.words[b]) & (np.arange(ORDERS) < self.tree[a][:, None])
-            ok &= ~before.any(axis=1) & self._sides(a, b)
+            ok = (self.comp[a] != self.comp[b]) & self._likely(a, b) & self._sides(a, b)
             found.append((a[ok], b[ok]))
         return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
@@ -288,21 +412,69 @@ class _Pairs:
     def matrix(self, first: int, end: int) -> np.ndarray:
         """For a region of many rows, which pairs (the later row second) are candidates."""
         rows = np.arange(first, end)
-        sig, words, tree = self.sig[rows], self.words[rows], int(self.tree[first])
-        agree = np.zeros((len(rows), len(rows)), np.uint8)
-        for j in range(HASHES):
-            agree += sig[:, j, None] == sig[None, :, j]
-        ok = np.triu((agree >= self.floor) & (self.comp[rows][:, None] != self.comp[rows]), 1)
-        for t in range(tree):
-            ok &= words[:, t, None] != words[None, :, t]
+        ok = np.triu(self._likely_of_all(rows) & (self.comp[rows][:, None] != self.comp[rows]), 1)
         return ok & self._sides(rows[:, None], rows)
 
 
-def _rows_with_candidates(floor: float):
+class _PrefixPairs(_Pairs):
+    """The same in regions of a prefix, without signatures: pairs within both bounds that share none of the regions listed before."""
+
+    OWN = {"size": "long", "remain": "long", "early": "array<long>", "parities": "binary"}
+
+    def _read(self, threshold: tuple[int, int]) -> None:
+        num, den = threshold
+        size, remain = (self.table.column(c).to_numpy() for c in ("size", "remain"))
+        self.need, self.have = num * size, (num + den) * remain - num * size
+        self.parities = np.ascontiguousarray(buffers(self.table.column("parities"))[0].reshape(-1, BITS // 8)).view(np.uint64)
+        # Linked sets differ in (den - num) / (den + num) of the sum of their sizes at most.
+        self.size, self.part = size, (den - num, den + num)
+        lists = self.table.column("early").combine_chunks()
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        self.early = np.full((len(n), EARLY), -1, np.int64)
+        self.early[np.arange(EARLY) < n[:, None]] = lists.flatten().to_numpy()
+
+    def _enough(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """(num + den) * what remains of either >= num * (size + size): nothing that stands before the first common shingle is common."""
+        return (self.have[a] >= self.need[b]) & (self.have[b] >= self.need[a])
+
+    def _likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ok = self._enough(a, b)
+        at = np.flatnonzero(ok)
+        a, b = a[at], b[at]
+        one, two = self.early[a], self.early[b]
+        fine = self._alike(np.bitwise_count(self.parities[a] ^ self.parities[b]).sum(axis=1, dtype=np.int64), a, b)
+        for k in range(EARLY):
+            fine &= ~((one == two[:, k, None]) & (one >= 0)).any(axis=1)
+        ok[at] = fine
+        return ok
+
+    def _alike(self, differ: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return differ * self.part[1] <= self.part[0] * (self.size[a] + self.size[b])
+
+    def _likely_of_all(self, rows: np.ndarray) -> np.ndarray:
+        ok, early = self._enough(rows[:, None], rows), self.early[rows]
+        owner = np.repeat(np.arange(len(rows)), (early >= 0).sum(axis=1))
+        names, column, times = np.unique(early[early >= 0], return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1
+        owner, column = owner[times[column] > 1], number[column[times[column] > 1]]
+        for k in range(0, int((times > 1).sum()), _COLUMNS):
+            here = (column >= k) & (column < k + _COLUMNS)
+            holds = np.zeros((len(rows), _COLUMNS), np.float32)
+            holds[owner[here], column[here] - k] = 1
+            ok &= holds @ holds.T == 0
+        for k in range(0, len(rows), _PARITIES):
+            some, differ = rows[k : k + _PARITIES], np.zeros((len(rows[k : k + _PARITIES]), len(rows)), np.int64)
+            for word in range(BITS // 64):
+                differ += np.bitwise_count(self.parities[some, word][:, None] ^ self.parities[rows, word])
+            ok[k : k + _PARITIES] &= self._alike(differ, some[:, None], rows)
+        return ok
+
+
+def _rows_with_candidates(kind: type[_Pairs], limit):
     """Of a task's rows those that have candidates in it, in pieces (sub) so small that two hold no more than 2 * PIECE bytes of full sets."""
 
     def run(table: pa.Table) -> pa.Table:
-        pairs = _Pairs(table, floor)
+        pairs = kind(table, limit)
         a, b = ([x] for x in pairs.few())
         for first, end in pairs.regions:
             if end - first >= _MATRIX:
@@ -320,7 +492,7 @@ def _rows_with_candidates(floor: float):
             kinds, which = np.unique(piece[a] * (piece.max() + 1) + piece[b], return_inverse=True)
             members = np.unique(np.concatenate((which * len(piece) + a, which * len(piece) + b)))
             take, sub = members % len(piece), (members // len(piece)).astype(np.int32)
-        out = pairs.table.select(["task", "side", "tree", "region", "id", "sig", "comp"]).take(pa.array(take, pa.int64()))
+        out = pairs.table.select(["task", "side", "tree", "region", "id", "comp", *kind.OWN]).take(pa.array(take, pa.int64()))
         return out.append_column("sub", pa.array(sub, pa.int32()))
 
     return run
@@ -374,11 +546,11 @@ class _Sets:
         return total.reshape(m, m)
 
 
-def _linked(floor: float, num: int, den: int):
+def _linked(kind: type[_Pairs], limit, num: int, den: int):
     """Of a task's candidates the links, as edges (u, v) between components: a tree for each group that the task joins."""
 
     def run(table: pa.Table) -> pa.Table:
-        pairs = _Pairs(table, floor)
+        pairs = kind(table, limit)
         sets = _Sets(pairs.table.column("shingles"))
         names, label = np.unique(pairs.comp, return_inverse=True)
         parent = np.arange(len(names))
@@ -449,7 +621,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    sigs = materialize(docs.mapInArrow(_signatures(width), "doc_id long, hash long, n_shingles long, k1 long, k2 long, sig binary"), "nd-sigs")
+    sigs = materialize(docs.mapInArrow(_signatures(width), "doc_id long, hash long, n_shingles long, k1 long, k2 long, sig binary, often array<long>"), "nd-sigs")
     sets = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "hash")).alias("m"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
     sets = materialize(sets.select("k1", "k2", F.col("m.doc_id").alias("first_id"), F.col("m.hash").alias("hash"), "size", "sig"), "nd-sets")
     # A set's id: its smallest doc_id, or (if that has sets of several texts) a number of its own.
@@ -465,8 +637,15 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
 
     def sets_of(ends: DataFrame) -> DataFrame:
         wanted = ids.join(ends.distinct(), "id", "left_semi").select("id", F.col("first_id").alias("doc_id"), "hash", "k1", "k2")
+        wanted = materialize(wanted, "nd-wanted", few_files(spark))
+        used.append(wanted)
         found = docs.join(_listed(wanted), ["doc_id", "hash"]).select("text", "id", "k1", "k2")
-        return materialize(found.mapInArrow(_pick(width), "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")), "nd-shingles")
+        found = materialize(found.mapInArrow(_pick(width), "id long, shingles binary"), "nd-shingles")
+        if found.count() == wanted.count():
+            return found
+        once = materialize(found.groupBy("id").agg(F.first("shingles").alias("shingles")), "nd-shingles")
+        drop(found)
+        return once
 
     def joined(found: DataFrame) -> DataFrame:
         nonlocal links
@@ -477,22 +656,41 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 85, den: in
         used.append(materialize(components(links, "nd-cc", few_files(spark)), "nd-comp", few_files(spark)))
         return used[-1]
 
+    def compared(rows: DataFrame, regions: DataFrame, kind: type[_Pairs], limit) -> DataFrame:
+        own = "".join(f", {c} {t}" for c, t in kind.OWN.items())
+        tasks = _dealt(rows, regions, [c for c in kind.OWN if c != "size"]).groupBy("task").applyInArrow(_rows_with_candidates(kind, limit), f"task long, side int, tree int, region long, id long, comp long{own}, sub int")
+        tasks = materialize(tasks, "nd-tasks", few_files(spark))
+        _free(spark)
+        shingles = sets_of(tasks.select("id"))
+        found = tasks.join(shingles, "id").groupBy("task", "sub").applyInArrow(_linked(kind, limit, num, den), "u long, v long")
+        found = materialize(found, "nd-links", few_files(spark))
+        drop(tasks)
+        drop(shingles)
+        _free(spark)
+        return joined(found)
+
     regions, rows = _regions(labelled())
     if not regions.isEmpty():
         pairs = _first_candidates(rows, floor)
         shingles = sets_of(pairs.selectExpr("a as id").union(pairs.selectExpr("b as id")))
         a, b = (shingles.selectExpr(f"id as {x}", f"shingles as set_{x}") for x in "ab")
         comp = joined(materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "u long, v long"), "nd-links", few_files(spark)))
-        used += [regions, pairs, shingles]
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what is done
+        for table in (regions, pairs, shingles):
+            drop(table)
+        _free(spark)
         regions, rows = _regions(labelled())
-        tasks = _dealt(rows, regions).groupBy("task").applyInArrow(_rows_with_candidates(floor), "task long, side int, tree int, region long, id long, sig binary, comp long, sub int")
-        tasks = materialize(tasks, "nd-tasks", few_files(spark))
-        shingles = sets_of(tasks.select("id"))
-        found = tasks.join(shingles, "id").groupBy("task", "sub").applyInArrow(_linked(floor, num, den), "u long, v long")
-        comp = joined(materialize(found, "nd-links", few_files(spark)))
-        used += [tasks, shingles]
-    used.append(regions)
+        comp = compared(rows, regions, _Pairs, floor)
+    drop(regions)
+    last = spark.sparkContext.broadcast(_last_ones(sigs))
+    named = ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select(F.col("first_id").alias("doc_id"), "hash", "k1", "k2", "id", "size", F.coalesce("component", "id").alias("comp"))
+    first = docs.mapInArrow(_prefixes(width, num, den, last), "doc_id long, hash long, k1 long, k2 long, places array<long>, parities binary")
+    key = ["doc_id", "hash", "k1", "k2"]
+    first = materialize(first.join(named, key).dropDuplicates(key).select("id", "size", "comp", "places", "parities"), "nd-places")
+    regions, rows, cells = _prefix_regions(first)
+    used += [first, regions, cells]
+    if not regions.isEmpty():
+        comp = compared(rows, regions, _PrefixPairs, (num, den))
+    last.unpersist()
     by_set = ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "first_id", F.coalesce("component", "id").alias("comp"))
     least = by_set.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_set = by_set.join(least, "comp").select("k1", "k2", "component_id")
