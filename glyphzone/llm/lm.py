@@ -19,8 +19,9 @@ such probabilities, learned in the same pass.
 
 All contexts are frozen after training, so a word's probability is a property of the word and the state: it is computed once
 for each such pair of the corpus, in a vocabulary table that grows with the corpus and is joined with the documents. Pairs
-that occur often (HOT of them at most) are looked up in a broadcast instead. The vocabulary is range-partitioned by word
-into parts of about PART rows; beginnings that cross a border between parts are added up in a table of their own. A text's
+that occur often (HOT of them at most) are looked up in a broadcast instead. The vocabulary is range-partitioned by word,
+and each task cuts its rows into parts of about PART; beginnings that cross a border between parts are added up in a table of
+their own. Tables are written to few files, as on local disks each file makes the executor start processes. A text's
 probability is that of its lower-cased words and of its end; the end's is the share of ends among the training tokens.
 """
 
@@ -30,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, drop, few_files, hash_spans, materialize, mix, signed, slices, summed
+from .common import Words, buffers, drop, few_files, hash_spans, materialize, mix, signed, slices, summed, trim
 
 #: Short words: bytes at most, hashed buckets, those before a word that make up the state, and classes of them.
 SHORT, BUCKETS, WINDOW, STATES = 4, 256, 24, 8
@@ -49,6 +51,8 @@ LEAST_BITS, MOST_BITS = 12, 20
 DEPTH = 32
 #: Rows of the vocabulary in a part, on average.
 PART = 16_000
+#: Parts that a task cuts from its rows, on average, where there are more than cores; and files of a table for each core.
+TOGETHER, WAVES = 16, 4
 #: Rows of the vocabulary for each task that fills the hashed contexts' tables, where there are more than tasks at a time.
 TABLE_ROWS = 4_000_000
 #: Pairs at most whose figures are broadcast: 24 bytes each.
@@ -423,36 +427,56 @@ def _edge_table(edges: pa.Table) -> dict[int, np.ndarray]:
     return out
 
 
-_RANKED = "part int, pair long, state int, word binary, n long, learned long, word_learned long, fresh boolean, name long, zero double, one double"
+_RANKED = "part long, pair long, state int, word binary, n long, learned long, word_learned long, fresh boolean, name long, zero double, one double"
 
 
-def _ranked(code: Code):
-    """Over rows range-partitioned by word: each with its part, its number, its word's count over all states, and whether it is the first of the word's rows; and the part's edges (name)."""
+def _cuts(words: pa.Array, size: int) -> list[int]:
+    """Where parts of about `size` rows begin and the last one ends; equal words, which stand together, are in one part."""
+    n = len(words)
+    found = {0, n}
+    for k in range(size, n - size // 2, size):
+        while k < n and words[k] == words[k - 1]:
+            k += 1
+        found.add(k)
+    return sorted(found)
+
+
+def _ranked(code: Code, size: int):
+    """Over rows range-partitioned by word: each with its part, its number, its word's count over all states, and whether it is the first of the word's rows; and the parts' edges (name).
+
+    A part's number is that of its first word, which no other part has.
+    """
+    names, kinds = zip(*(x.split(" ") for x in _RANKED.split(", ")), strict=True)
+    of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+
+    def batch(rows: int, **given) -> pa.Table:
+        return pa.table([given[c] if c in given else pa.nulls(rows, of[kind]) for c, kind in zip(names, kinds, strict=True)], names=list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
-        part, table = TaskContext.get().partitionId(), pa.Table.from_batches(rows)
-        names, kinds = zip(*(x.split(" ") for x in _RANKED.split(", ")), strict=True)
-        of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
-        data, offsets = buffers(table.column("word"))
-        h, state, learned = hash_spans(data, offsets[:-1], offsets[1:]), table.column("state").to_numpy().astype(np.int64), table.column("learned").to_numpy()
-        _, first, back = np.unique(h, return_index=True, return_inverse=True)
-        fresh = np.zeros(len(h), bool)
-        fresh[first] = True
-
-        def batch(size: int, **given) -> pa.Table:
-            return pa.table([given[c] if c in given else pa.nulls(size, of[kind]) for c, kind in zip(names, kinds, strict=True)], names=list(names))
-
-        same = {c: table.column(c) for c in ("state", "word", "n", "learned")}
-        full = batch(len(h), part=pa.array(np.full(len(h), part, np.int32)), pair=pa.array(_pair(h, state)), word_learned=pa.array(np.bincount(back, learned).astype(np.int64)[back]), fresh=pa.array(fresh), **same)
-        yield from full.combine_chunks().to_batches(max_chunksize=20_000)
-        found = Beginnings(Symbols(data, offsets), state, learned, code).edge_counts()
-        if found:
-            name, kind, counts = (np.concatenate([x[k] for x in found]) for k in range(3))
-            edges = batch(len(name), part=pa.array(np.full(len(name), part, np.int32)), state=pa.array(kind.astype(np.int32)), name=pa.array(signed(name.astype(np.uint64))), zero=pa.array(counts[:, 0]), one=pa.array(counts[:, 1]))
-            yield from edges.to_batches()
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        rows.clear()
+        whole = whole.take(pc.sort_indices(whole.column("word"))).combine_chunks()
+        cuts = _cuts(whole.column("word").chunk(0), size)
+        for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+            table = whole.slice(first, end - first)
+            data, offsets = buffers(table.column("word"))
+            h, state, learned = hash_spans(data, offsets[:-1], offsets[1:]), table.column("state").to_numpy().astype(np.int64), table.column("learned").to_numpy()
+            _, new, back = np.unique(h, return_index=True, return_inverse=True)
+            fresh = np.zeros(len(h), bool)
+            fresh[new] = True
+            part = signed(h[:1])[0]
+            same = {c: table.column(c) for c in ("state", "word", "n", "learned")}
+            full = batch(len(h), part=pa.array(np.full(len(h), part)), pair=pa.array(_pair(h, state)), word_learned=pa.array(np.bincount(back, learned).astype(np.int64)[back]), fresh=pa.array(fresh), **same)
+            yield from full.combine_chunks().to_batches(max_chunksize=20_000)
+            found = Beginnings(Symbols(data, offsets), state, learned, code).edge_counts()
+            if found:
+                name, kind, counts = (np.concatenate([x[k] for x in found]) for k in range(3))
+                edges = batch(len(name), part=pa.array(np.full(len(name), part)), state=pa.array(kind.astype(np.int32)), name=pa.array(signed(name.astype(np.uint64))), zero=pa.array(counts[:, 0]), one=pa.array(counts[:, 1]))
+                yield from edges.to_batches()
+        trim()
 
     return run
 
@@ -591,6 +615,12 @@ def _score_texts(classes, shared):
     return run
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """materialize() by WAVES tasks for each core or a few more, at most: each takes several partitions in turn, without another shuffle."""
+    spark = df.sparkSession
+    return materialize(df.coalesce(max(WAVES * spark.sparkContext.defaultParallelism, few_files(spark))), name)
+
+
 def _threshold(rows: DataFrame, column: str, most: int) -> int:
     """The least power of two that at most so many rows reach."""
     level, above = 0, 0
@@ -615,7 +645,7 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     follows = _whole_table(docs.where("learn").select("text").mapInArrow(_count_follows, "piece int, sums binary"), BUCKETS * BUCKETS)
     classes = sc.broadcast(classes_of(follows.reshape(BUCKETS, BUCKETS)))
     counted = docs.select("text", "learn").mapInArrow(_count_words(classes), "state int, word binary, n long, learned long")
-    vocabulary = materialize(counted.groupBy("state", "word").agg(F.sum("n").alias("n"), F.sum("learned").alias("learned")), "lm-words")
+    vocabulary = _stored(counted.groupBy("state", "word").agg(F.sum("n").alias("n"), F.sum("learned").alias("learned")), "lm-words")
     ends = docs.select("learn").agg(F.sum(F.col("learn").cast("long"))).first()[0] or 0
     size = vocabulary.count()
     known = vocabulary.where("learned > 0").select("state", "word", "learned")
@@ -626,7 +656,8 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     hashed = _whole_table(few.mapInArrow(_count_bits(code, table_bits), "piece int, sums binary"), 2 * len(ORDERS) << table_bits).astype(np.float32).view(np.complex64)
     # Equal words go to one part, whatever their states.
     parts = max(1, -(-size // PART))
-    ranked = materialize(vocabulary.repartitionByRange(parts, "word").mapInArrow(_ranked(code), _RANKED), "lm-ranked")
+    tasks = min(parts, max(sc.defaultParallelism, -(-parts // TOGETHER)))
+    ranked = _stored(vocabulary.repartitionByRange(tasks, "word").mapInArrow(_ranked(code, PART), _RANKED), "lm-ranked")
     rows = ranked.where("pair is not null").select("part", "pair", "state", "word", "n", "learned", "word_learned")
     edges = ranked.where("pair is null").select("part", "state", "name", "zero", "one")
     totals = edges.groupBy("name", "state").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).where("zero > 0 or one > 0")
@@ -638,7 +669,7 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     weights = learned[1 : 1 + GATES * PREDICTORS].reshape(GATES, -1) / seen if seen else np.tile(_START, (GATES, 1))
     cells = learned[1 + GATES * PREDICTORS :].reshape(-1, 2)
     model = sc.broadcast(Mixer(hashed, weights, cells))
-    figures = materialize(by_part().applyInArrow(_score_part(model, code, table_bits), "pair long, n long, word_learned long, log10 double"), "lm-figures")
+    figures = _stored(by_part().applyInArrow(_score_part(model, code, table_bits), "pair long, n long, word_learned long, log10 double"), "lm-figures")
     shared.unpersist()
     model.unpersist()
     tokens, distinct = ranked.where("word_learned > 0").agg(F.coalesce(F.sum("learned"), F.lit(0)), F.count_if("fresh")).first()
@@ -665,7 +696,7 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
         (F.col("score") + F.col("n_words") * end[1] + end[0]).alias("score"),
         F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
-    out = materialize(result, "lm-out")
+    out = _stored(result, "lm-out")
     for table in (vocabulary, ranked, edges, figures):
         drop(table)
     return out

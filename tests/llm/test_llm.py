@@ -737,6 +737,37 @@ def test_beginnings_across_parts():
             at += got.shape[1]
 
 
+def test_parts_are_cut_between_words():
+    words = pa.array([b"a"] * 3 + [b"b"] * 9 + [b"c"] + [b"d"] * 2 + [bytes([101 + i]) for i in range(6)], pa.binary())
+    for size in range(1, 25):
+        cuts = lm._cuts(words, size)
+        assert cuts[0] == 0 and cuts[-1] == len(words) and all(a < b for a, b in zip(cuts, cuts[1:]))
+        assert all(words[k] != words[k - 1] for k in cuts[1:-1]) and max(np.diff(cuts)) <= 1.5 * size + 9
+    assert lm._cuts(words[:0], 4) == [0] and lm._cuts(words[:3], 1) == [0, 3]
+
+
+def test_language_model_writes_few_files(spark, monkeypatch):
+    """Many parts of the vocabulary are no more files than tasks at a time (on local disks each file is a process or three of the executor), and count as one part does."""
+    texts = [" ".join(f"{w}{i % 40}" for w in prose(60, i).split()) for i in range(80)]
+    found, plain = {}, lm.materialize
+
+    def kept(df, name, files=0):
+        out = plain(df, name, files)
+        found[name] = len(out.inputFiles()), out.agg(F.count_distinct("part")).first()[0] if name == "lm-ranked" else 0
+        return out
+
+    monkeypatch.setattr(lm, "materialize", kept)
+    score = lambda: lm.score(docs_of(spark, texts), remainder(7) != 2).toPandas().sort_values("doc_id")
+    one = score()
+    assert found["lm-ranked"][1] == 1
+    for name, value in (("PART", 50), ("WAVES", 1)):
+        monkeypatch.setattr(lm, name, value, raising=False)
+    many = score()
+    assert found["lm-ranked"][1] > 40 and max(n for n, _ in found.values()) <= spark.sparkContext.defaultParallelism
+    assert (one.n_known.values == many.n_known.values).all() and one.base_score.values == pytest.approx(many.base_score.values)
+    assert one.score.sum() == pytest.approx(many.score.sum(), rel=0.03)  # the weights are averages over the parts
+
+
 def test_language_model_beats_the_unigram_on_held_out_texts(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = lm.score(d, remainder(7) != 2).join(d.select("doc_id", (remainder(7) == 2).alias("out")), "doc_id").where("out").toPandas()
