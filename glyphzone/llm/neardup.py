@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, buffers, drop, few_files, materialize, mix, signed, slices
@@ -306,12 +306,12 @@ def _prefix_regions(first: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Of regions with the same ids only the first one stays.
     """
     few = few_files(first.sparkSession)
-    cells = first.select("id", "comp", "size", F.posexplode("places").alias("at", "prefix"))
-    shared = cells.groupBy("prefix").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("prefix")
-    shared = materialize(shared, "nd-shared", few)
-    _free(first.sparkSession)
-    cells = materialize(cells.join(_listed(shared), "prefix").select("prefix", "id", (F.col("size") - F.col("at")).alias("remain")), "nd-cells")
-    drop(shared)
+    # All places are shuffled once, however many are shared; most components are the set itself and need no number.
+    cells = first.select("id", F.when(F.col("comp") != F.col("id"), F.col("comp")).alias("other"), "size", F.posexplode("places").alias("at", "prefix"))
+    comp, by_place = F.coalesce("other", "id"), Window.partitionBy("prefix")
+    cells = cells.select("prefix", "id", (F.col("size") - F.col("at")).alias("remain"), "other")
+    cells = cells.select("prefix", "id", "remain", F.min(comp).over(by_place).alias("low"), F.max(comp).over(by_place).alias("high"))
+    cells = materialize(cells.where("low < high").select("prefix", "id", "remain"), "nd-cells")
     members = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"ids{k}") for k in (1, 2)]
     regions = cells.groupBy("prefix").agg(F.count("*").alias("n"), *members).groupBy("n", "ids1", "ids2").agg(F.min("prefix").alias("prefix"))
     regions = materialize(regions.select(F.lit(ORDERS).alias("tree"), "prefix", "n"), "nd-regions", few)

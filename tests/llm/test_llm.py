@@ -409,6 +409,25 @@ def test_near_duplicates_without_signatures(spark, small_forest, sizes):
     assert [got[i] for i in range(len(texts))] == brute_near(texts)
 
 
+def test_first_places_are_shuffled_once(spark, monkeypatch):
+    """Also where more places are shared than a list holds; of each, all rows stay if they are of several components."""
+    monkeypatch.setattr(neardup, "LISTED", 0)
+    r, plans, plain = np.random.default_rng(3), [], neardup.materialize
+
+    def kept(df, name, files=0):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, files)
+
+    rows = [(i, 10, int(i if i % 3 else i // 9), sorted({int(v) for v in r.integers(0, 60, 4)}), b"") for i in range(90)]
+    first = plain(spark.createDataFrame(rows, "id long, size long, comp long, places array<long>, parities binary"), "first")
+    monkeypatch.setattr(neardup, "materialize", kept)
+    _, rows_of, cells = neardup._prefix_regions(first)
+    comps = {v: {c for _, _, c, places, _ in rows if v in places} for v in range(60)}
+    want = sorted((v, i, 10 - k) for i, _, _, places, _ in rows for k, v in enumerate(places) if len(comps[v]) > 1)
+    assert sorted(map(tuple, cells.select("prefix", "id", "remain").collect())) == want and rows_of.count() <= len(want)
+    assert sum(p.count("Generate posexplode") for p in plans) == 1
+
+
 def test_sets_are_compared_in_full():
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 400, r.integers(1, 300)).astype(np.uint64)) for _ in range(90)]
