@@ -18,8 +18,9 @@ each token is left out of the counts it is judged by. A last table refines each
 such probabilities, learned in the same pass.
 
 All contexts are frozen after training, so a word's probability is a property of the word and the state: it is computed once
-for each such pair of the corpus, in a vocabulary table that grows with the corpus and is joined with the documents. Pairs
-that occur often (HOT of them at most) are looked up in a broadcast instead. The vocabulary is range-partitioned by word,
+for each such pair of the corpus, in a vocabulary table that grows with the corpus and is joined with the documents. What
+the model says of a bit depends on the state and on the word's beginning alone, so that bits which words of a state begin
+alike with are counted, learned from and scored once for all of them (Tree). Pairs that occur often (HOT of them at most) are looked up in a broadcast instead. The vocabulary is range-partitioned by word,
 and each task cuts its rows into parts of about PART; beginnings that cross a border between parts are added up in a table of
 their own. Tables are written to few files, as on local disks each file makes the executor start processes. A text's
 probability is that of its lower-cased words and of its end; the end's is the share of ends among the training tokens.
@@ -51,6 +52,8 @@ LEAST_BITS, MOST_BITS = 12, 20
 DEPTH = 32
 #: Rows of the vocabulary in a part, on average.
 PART = 16_000
+#: Bits that are looked up in the hashed contexts' tables at a time.
+PIECE_BITS = 1 << 16
 #: Parts that a task cuts from its rows, on average, where there are more than cores; and files of a table for each core.
 TOGETHER, WAVES = 16, 4
 #: Rows of the vocabulary for each task that fills the hashed contexts' tables, where there are more than tasks at a time.
@@ -243,18 +246,23 @@ class Symbols:
 
 
 class Bits:
-    """For all bits of some words: the bit, the word, and the slot in each hashed context's table."""
+    """For bits of some words: the bit, the word, and the slot in each hashed context's table.
 
-    def __init__(self, s: Symbols, state: np.ndarray, code: Code, table_bits: int):
-        back, contexts = np.zeros(len(s.flat), np.uint64), []
+    which: the symbols whose bits these are (all, if not given); keep: which of their bits.
+    """
+
+    def __init__(self, s: Symbols, state: np.ndarray, code: Code, table_bits: int, which: np.ndarray | None = None, keep: np.ndarray | None = None):
+        which = np.arange(len(s.flat)) if which is None else which
+        at, word = s.at[which], s.word[which]
+        back, contexts = np.zeros(len(which), np.uint64), []
         for k, (order, with_state) in enumerate(zip(ORDERS, WITH_STATE, strict=True)):
-            earlier = np.zeros(len(s.flat), np.uint64)
-            earlier[order:] = s.flat[:-order] if len(s.flat) > order else 0
-            earlier[s.at < order] = 0
+            earlier = np.where(at >= order, s.flat[np.maximum(which - order, 0)], 0).astype(np.uint64)
             back = back * np.uint64(263) + earlier + np.uint64(1)
-            own = state[s.word].astype(np.uint64) << np.uint64(48) if with_state else np.uint64(0)
+            own = state[word].astype(np.uint64) << np.uint64(48) if with_state else np.uint64(0)
             contexts.append(mix((back ^ own) + np.uint64((k + 1) << 58)))
-        owner, at = code.spell(s.flat)
+        owner, at = code.spell(s.flat[which])
+        if keep is not None:
+            owner, at = owner[keep], at[keep]
         self.y, spread, self.slots = code.all_bits[at], code.all_spreads[at], []
         for k, c in enumerate(contexts):
             slot = c[owner]
@@ -263,33 +271,78 @@ class Bits:
             slot = slot.view(np.int64)
             slot += k << table_bits
             self.slots.append(slot)
-        self.word = s.word[owner]
+        self.word = word[owner]
+
+
+class Tree:
+    """The bits of words in sorted order, of which those that words begin alike with are one edge.
+
+    alike: bits that each word begins alike with as the one before, -1 if nothing of them is to be shared; size: its bits.
+    """
+
+    def __init__(self, alike: np.ndarray, size: np.ndarray):
+        self.alike, self.size, self.start = alike, size, np.cumsum(size) - size
+        self.shared = np.maximum(alike, 0)
+        fresh = size - self.shared
+        #: Each word's first edge, and each edge's word (the first that has it) and place in it.
+        self.begin = np.cumsum(fresh) - fresh
+        self.row = np.repeat(np.arange(len(size), dtype=np.int32), fresh)
+        base = self.begin - self.shared
+        self.depth = np.arange(len(self.row)) - base[self.row]
+        #: The edge of each bit of the words, one behind the other.
+        self.of = np.repeat(base - self.start, size) + np.arange(int(size.sum()))
+        near = np.maximum(alike, np.append(alike, -1)[1:])
+        start, depth = self.start, 0
+        while True:
+            on = near > depth
+            if not on.all():
+                start, base, alike, near = start[on], base[on], alike[on], near[on]
+            if not len(start):
+                break
+            self.of[start + depth] = np.maximum.accumulate(np.where(alike <= depth, base + depth, -1))
+            depth += 1
+
+    def sums(self, count: np.ndarray) -> np.ndarray:
+        """The sum over the words that have each edge."""
+        return np.bincount(self.of, np.repeat(count, self.size), len(self.row))
+
+    def nodes(self, y: np.ndarray, count: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """(edges, 2): counts of zeros and ones after the beginning that ends before each edge; y: the edges' bits.
+
+        Of a word's bits the first `known` are counted.
+        """
+        total, n = self.sums(count), len(y)
+        out = np.zeros((n, 2))
+        out[np.arange(n), y] = total
+        forks = np.flatnonzero((self.alike >= 0) & (self.alike < known))
+        one, two = self.of[self.start[forks - 1] + self.alike[forks]], self.begin[forks]
+        out[one, y[two]], out[two, y[one]] = total[two], total[one]
+        out[self.depth >= known[self.row]] = 0
+        return out
 
 
 class Beginnings:
     """Counts of the next bit after every beginning of a part's words: over all states, and in the word's own.
 
-    Words have DEPTH symbols at most here. edge: the counts (states, 2) of beginnings that other parts have too, by name.
+    Beginnings have DEPTH symbols at most. edge: the counts (states, 2) of beginnings that other parts have too, by name.
     """
 
     def __init__(self, s: Symbols, state: np.ndarray, count: np.ndarray, code: Code):
         m = len(s.size)
-        self.code, self.count, self.kinds = code, count.astype(np.float64), STATES + 1
+        self.code, self.kinds, self.given = code, STATES + 1, s
         here = s.at < DEPTH
         symbols = np.zeros((m, DEPTH), np.int16)
         symbols[s.word[here], s.at[here]] = s.flat[here]
         #: Rows in sorted order; all below is by that order.
         self.order = np.lexsort((state, *symbols.T[::-1]))
-        self.state, self.count = state[self.order], self.count[self.order]
+        self.state, self.count = state[self.order], count.astype(np.float64)[self.order]
         self.symbols, self.size = symbols[self.order], np.minimum(s.size, DEPTH)[self.order]
         lengths = np.where(np.arange(DEPTH) < self.size[:, None], code.length.astype(np.int16)[self.symbols], np.int16(0))
         self.to = np.cumsum(lengths, axis=1, dtype=np.int16)
         self.bits = self.to[:, -1].astype(np.int64) if m else np.zeros(0, np.int64)
+        #: With those behind DEPTH symbols.
+        self.all_bits = np.bincount(s.word, code.length[s.flat], m).astype(np.int64)[self.order]
         self.alike = self._alike(np.arange(m))
-        #: All words' bits, and where each word's begin.
-        flat = self.symbols[np.arange(DEPTH) < self.size[:, None]]
-        self.y = code.all_bits[code.spell(flat)[1]]
-        self.start = np.cumsum(self.bits) - self.bits
 
     def _alike(self, rows: np.ndarray) -> np.ndarray:
         """Bits that each of the rows' words begins alike with as the one before; -1 for the first."""
@@ -321,56 +374,77 @@ class Beginnings:
         m, out = len(self.size), []
         if not m:
             return out
+        #: All words' bits, and where each word's begin.
+        y, start = self.code.all_bits[self.code.spell(self.symbols[np.arange(DEPTH) < self.size[:, None]])[1]], np.cumsum(self.bits) - self.bits
         both = int(self.alike[1:].min()) if m > 1 else int(self.bits[0])
         for (row, alike), least in zip(self._edges(), (0, both + 1), strict=True):
             names = self.edge_names(row)
             for depth in range(least, len(names)):
                 rows = np.flatnonzero((alike >= depth) & (self.bits > depth))
-                counts = np.bincount(self.state[rows] * 2 + self.y[self.start[rows] + depth], self.count[rows], 2 * self.kinds).reshape(-1, 2)
+                counts = np.bincount(self.state[rows] * 2 + y[start[rows] + depth], self.count[rows], 2 * self.kinds).reshape(-1, 2)
                 where = np.flatnonzero(counts.any(axis=1))
                 # A name without counts asks for those of other parts.
                 out.append((np.full(max(1, len(where)), names[depth]), where if len(where) else np.zeros(1, np.int64), counts[where] if len(where) else np.zeros((1, 2))))
         return out
 
-    def _nested(self, rows: np.ndarray, alike: np.ndarray, out: np.ndarray) -> None:
-        """Fills out (bits, 2) with the counts of every beginning among rows, which are sorted; alike as in _alike."""
-        # From this depth on a word is alone in its beginning.
-        alone = np.minimum(np.maximum(alike, np.append(alike[1:], -1)) + 1, self.bits[rows])
-        rest = self.bits[rows] - alone
-        owner = np.repeat(rows, rest)
-        at = self.start[owner] + np.repeat(alone - (np.cumsum(rest) - rest), rest) + np.arange(len(owner))
-        out[at, self.y[at]] = self.count[owner]
-        start, own, depth = self.start[rows], self.count[rows], 0
-        while True:
-            on = alone > depth
-            if not on.all():
-                start, own, alike, alone = start[on], own[on], alike[on], alone[on]
-            if not len(start):
-                break
-            at = start + depth
-            group = np.cumsum(alike < depth) - 1
-            out[at] = np.bincount(group * 2 + self.y[at], own, 2 * int(group[-1]) + 2).reshape(-1, 2)[group]
-            depth += 1
+    def by_state(self) -> tuple[np.ndarray, Tree]:
+        """(rows by state, then in sorted order; the tree of each state's words, one behind the other)."""
+        rows = np.argsort(self.state, kind="stable")
+        alike = self._alike(rows)
+        alike[1:][np.diff(self.state[rows]) > 0] = -1
+        return rows, Tree(alike, self.all_bits[rows])
+
+    def symbols_of(self, rows: np.ndarray, tree: Tree, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the symbols, which of their bits) of the edges that the tree's words from `first` to `end` have first."""
+        own, shared = rows[first:end], tree.shared[first:end]
+        at = (self.to[own] <= shared[:, None]).sum(axis=1)
+        skip = shared - np.where(at > 0, self.to[own, np.maximum(at, 1) - 1], 0)
+        row = self.order[own]
+        # All of a word may be shared: then its padding counts as passed, too.
+        n = np.where(tree.size[first:end] > shared, self.given.size[row] - at, 0)
+        skip[n == 0] = 0
+        which = np.repeat(self.given.start[row] + at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        bits = tree.size[first:end] - shared + skip
+        keep = np.ones(int(bits.sum()), bool)
+        keep[np.repeat(np.cumsum(bits) - bits - (np.cumsum(skip) - skip), skip) + np.arange(int(skip.sum()))] = False
+        return which, keep
+
+    def bits_of(self, rows: np.ndarray, tree: Tree, state: np.ndarray, table_bits: int) -> Iterator[tuple[slice, Bits]]:
+        """(edges of by_state's tree, their bits), about PIECE_BITS at a time; state: of the words as given."""
+        ends = np.append(tree.begin, len(tree.row))
+        first = 0
+        while first < len(rows):
+            end = max(first + 1, int(np.searchsorted(ends, ends[first] + PIECE_BITS, side="right")) - 1)
+            yield slice(int(ends[first]), int(ends[end])), Bits(self.given, state, self.code, table_bits, *self.symbols_of(rows, tree, first, end))
+            first = end
+
+    def edges(self, rows: np.ndarray, tree: Tree, y: np.ndarray, edge: dict[int, np.ndarray]) -> np.ndarray:
+        """(all and own state, edges of by_state's tree) as zeros + ones * 1j; y: the edges' bits."""
+        own = tree.nodes(y, self.count[rows], self.bits[rows])
+        every = np.zeros_like(own)
+        whole = Tree(self.alike, self.bits)
+        known = np.flatnonzero(tree.depth < self.bits[rows][tree.row])
+        to = whole.of[whole.start[rows][tree.row[known]] + tree.depth[known]]
+        bit = np.zeros(len(whole.row), np.int8)
+        bit[to] = y[known]
+        every[known] = whole.nodes(bit, self.count, self.bits)[to]
+        for row, shared in self._edges() if edge else ():
+            names = self.edge_names(row).tolist()
+            found = np.array([name in edge for name in names])
+            counts = np.array([edge.get(name, np.zeros((self.kinds, 2))) for name in names])
+            at = np.flatnonzero((tree.depth <= shared[rows][tree.row]) & (tree.depth < len(names)))
+            at = at[found[tree.depth[at]]]
+            every[at], own[at] = counts.sum(axis=1)[tree.depth[at]], counts[tree.depth[at], self.state[rows][tree.row[at]]]
+        return np.stack([x.astype(np.float32).view(np.complex64).ravel() for x in (every, own)])
 
     def counts(self, first: np.ndarray, edge: dict[int, np.ndarray]) -> np.ndarray:
         """(all and own state, bits) for the bits of the words as given, as zeros + ones * 1j; first: where each word's bits begin."""
-        m, n = len(self.size), len(self.y)
         out = np.zeros((2, int(first[-1])), np.complex64)
-        if not m:
-            return out
-        every, own = np.zeros((n, 2), np.float32), np.zeros((n, 2), np.float32)
-        self._nested(np.arange(m), self.alike, every)
-        by_state = np.argsort(self.state, kind="stable")
-        alike = self._alike(by_state)
-        alike[1:][np.diff(self.state[by_state]) > 0] = -1
-        self._nested(by_state, alike, own)
-        for row, shared in self._edges() if edge else ():
-            for depth, name in enumerate(self.edge_names(row).tolist()):
-                if (found := edge.get(name)) is not None:
-                    rows = np.flatnonzero((shared >= depth) & (self.bits > depth))
-                    every[self.start[rows] + depth], own[self.start[rows] + depth] = found.sum(axis=0), found[self.state[rows]]
-        to = np.repeat(first[self.order] - self.start, self.bits) + np.arange(n)
-        out[0, to], out[1, to] = (x.view(np.complex64).ravel() for x in (every, own))
+        if len(self.size):
+            rows, tree = self.by_state()
+            which, keep = self.symbols_of(rows, tree, 0, len(rows))
+            y = self.code.all_bits[self.code.spell(self.given.flat[which])[1][keep]]
+            out[:, np.repeat(first[self.order[rows]] - tree.start, tree.size) + np.arange(len(tree.of))] = self.edges(rows, tree, y, edge)[:, tree.of]
         return out
 
 
@@ -396,27 +470,40 @@ def _odds(counts: np.ndarray) -> np.ndarray:
 
 
 class Part:
-    """Rows of the vocabulary that are neighbours in sorted order, ready to be mixed."""
+    """Rows of the vocabulary that are neighbours in sorted order, ready to be mixed.
+
+    Its edges are the different bits that words have in their states: each with its slots and its beginning's counts.
+    """
 
     def __init__(self, table: pa.Table, edges: pa.Table, code: Code, table_bits: int):
         data, offsets = buffers(table.column("word"))
         self.code, self.table_bits, self.data, self.offsets = code, table_bits, data, offsets
         self.state, self.learned = table.column("state").to_numpy().astype(np.int64), table.column("learned").to_numpy().astype(np.float64)
-        symbols = Symbols(data, offsets)
-        bits = np.bincount(symbols.word, code.length[symbols.flat], len(symbols.size)).astype(np.int64)
-        self.first = np.append(0, np.cumsum(bits))
-        self.begun = Beginnings(symbols, self.state, self.learned, code).counts(self.first, _edge_table(edges))
+        begun = Beginnings(Symbols(data, offsets), self.state, self.learned, code)
+        rows, self.tree = begun.by_state()
+        n = len(self.tree.row)
+        self.y, self.slots = np.zeros(n, np.int8), np.zeros((len(ORDERS), n), np.int32)
+        for to, bits in begun.bits_of(rows, self.tree, self.state, table_bits):
+            self.y[to], self.slots[:, to] = bits.y, bits.slots
+        self.begun = begun.edges(rows, self.tree, self.y, _edge_table(edges))
+        #: The rows in the tree's order, and where each row stands in it.
+        self.order, self.rank = begun.order[rows], np.empty(len(rows), np.int64)
+        self.rank[self.order] = np.arange(len(rows))
+
+    def edges_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of bits of each of the rows, the edges of all these bits)."""
+        at = self.rank[rows]
+        n = self.tree.size[at]
+        return n, self.tree.of[np.repeat(self.tree.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
     def chunks(self, by: np.ndarray) -> Iterator[tuple[np.ndarray, Bits, np.ndarray]]:
-        """(rows, their bits, their beginnings' counts) in this order, CHUNK rows at a time."""
+        """(rows, all their bits, their beginnings' counts) in this order, CHUNK rows at a time."""
         for k in range(0, len(by), CHUNK):
             rows = by[k : k + CHUNK]
             sizes = np.diff(self.offsets)[rows]
             cuts = np.cumsum(np.append(0, sizes))
             data = self.data[np.repeat(self.offsets[rows] - cuts[:-1], sizes) + np.arange(cuts[-1])]
-            n = np.diff(self.first)[rows]
-            to = np.cumsum(n)
-            yield rows, Bits(Symbols(data, cuts), self.state[rows], self.code, self.table_bits), self.begun[:, np.repeat(self.first[rows] - (to - n), n) + np.arange(int(to[-1]))]
+            yield rows, Bits(Symbols(data, cuts), self.state[rows], self.code, self.table_bits), self.begun[:, self.edges_of(rows)[1]]
 
 
 def _edge_table(edges: pa.Table) -> dict[int, np.ndarray]:
@@ -482,14 +569,19 @@ def _ranked(code: Code, size: int):
 
 
 def _count_bits(code: Code, table_bits: int):
+    """Over rows of which neighbours are neighbours in sorted order, as a rule; in any order the counts are the same."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(2 * len(ORDERS) << table_bits)
         for whole in batches:
-            for batch in slices(whole, "word", 1 << 16):
-                bits = Bits(Symbols(*buffers(batch.column("word"))), batch.column("state").to_numpy(), code, table_bits)
-                n = batch.column("learned").to_numpy().astype(np.float64)[bits.word]
-                for slots in bits.slots:
-                    np.add.at(table, slots * 2 + bits.y, n)
+            for batch in slices(whole, "word"):
+                state, learned = batch.column("state").to_numpy().astype(np.int64), batch.column("learned").to_numpy()
+                begun = Beginnings(Symbols(*buffers(batch.column("word"))), state, learned, code)
+                rows, tree = begun.by_state()
+                n = tree.sums(begun.count[rows])
+                for to, bits in begun.bits_of(rows, tree, state, table_bits):
+                    for slots in bits.slots:
+                        np.add.at(table, slots * 2 + bits.y, n[to])
         yield from _pieces(table)
 
     return run
@@ -498,31 +590,38 @@ def _count_bits(code: Code, table_bits: int):
 def learned_weights(part: Part, hashed: np.ndarray, by: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """(tokens, weights, cells) that the rows of a part give, each token left out of the counts it is judged by."""
     weights, cells, seen = np.tile(_START, (GATES, 1)), np.zeros((GATES * CELLS, 2)), 0.0
-    for turn, (rows, bits, begun) in enumerate(part.chunks(by)):
-        share, one = part.learned[rows], bits.y.astype(np.float32)
-        x, total, zero, delta = [], [], 1 - one, np.float32(_DELTA)
-        for counts in (*(hashed[slots] for slots in bits.slots), *begun):
-            n1, n0 = np.maximum(counts.imag - one, 0), np.maximum(counts.real - zero, 0)
-            total.append(n1 + n0)
-            n1 += delta
-            n0 += delta
-            n1 /= n0
-            x.append(np.log(n1, out=n1))
-        gate = (_level(total[-1], 0) + _level(total[-2], 1) + _level(total[-3], 2)).astype(np.int64)
-        c, dot = share[bits.word].astype(np.float32), np.zeros(len(bits.y), np.float32)
-        for k in range(PREDICTORS):
-            dot += weights[:, k].astype(np.float32)[gate] * x[k]
+    # An edge's log odds and gate are the same for all tokens that have it.
+    ones, edges = part.y.astype(np.float32), len(part.y)
+    x, total, zeros, delta = np.empty((PREDICTORS, edges), np.float32), [], 1 - ones, np.float32(_DELTA)
+    for k in range(PREDICTORS):
+        counts = hashed[part.slots[k]] if k < len(ORDERS) else part.begun[k - len(ORDERS)]
+        n1, n0 = np.maximum(counts.imag - ones, 0), np.maximum(counts.real - zeros, 0)
+        total.append(n1 + n0)
+        n1 += delta
+        n0 += delta
+        n1 /= n0
+        np.log(n1, out=x[k])
+    gates = _level(total[-1], 0) + _level(total[-2], 1) + _level(total[-3], 2)
+    for turn, k in enumerate(range(0, len(by), CHUNK)):
+        share = part.learned[by[k : k + CHUNK]]
+        n, of = part.edges_of(by[k : k + CHUNK])
+        tokens = np.bincount(of, np.repeat(share, n), edges)
+        at = np.flatnonzero(tokens)
+        c, gate, one, own = tokens[at].astype(np.float32), gates[at].astype(np.int64), ones[at], x[:, at]
+        dot = np.zeros(len(at), np.float32)
+        for v, w in zip(own, weights.T.astype(np.float32), strict=True):
+            dot += w[gate] * v
         p = _squash(dot)
         error = ((one - p) * c).astype(np.float64)
         if turn % _CURVES == 0:  # how steep the loss is changes slowly
             slope = (c * np.maximum(p * (1 - p), np.float32(1e-4))).astype(np.float64)
-            curve = [np.bincount(gate, slope * v * v, GATES) + 50 for v in x]
-        for k in range(PREDICTORS):
-            weights[:, k] += _RATE * np.clip(np.bincount(gate, error * x[k], GATES) / curve[k], -1, 1)
+            curve = [np.bincount(gate, slope * v * v, GATES) + 50 for v in own]
+        for j in range(PREDICTORS):
+            weights[:, j] += _RATE * np.clip(np.bincount(gate, error * own[j], GATES) / curve[j], -1, 1)
         cell = gate * CELLS + _cell(dot)
         cells *= 0.998
         cells[:, 0] += np.bincount(cell, c, GATES * CELLS)
-        cells[:, 1] += np.bincount(cell, c * bits.y, GATES * CELLS)
+        cells[:, 1] += np.bincount(cell, c * one, GATES * CELLS)
         seen += share.sum()
     return seen, weights, cells
 
@@ -540,11 +639,14 @@ class Mixer:
 
     def ones(self, bits: Bits, begun: np.ndarray) -> np.ndarray:
         """The probability that each bit is one."""
-        last = bits.slots[-1] - (len(self.odds) - len(self.level))
+        return self._ones(bits.slots, begun)
+
+    def _ones(self, slots: list[np.ndarray] | np.ndarray, begun: np.ndarray) -> np.ndarray:
+        last = slots[-1] - (len(self.odds) - len(self.level))
         gate = (_level(begun[1].real + begun[1].imag, 0) + _level(begun[0].real + begun[0].imag, 1) + self.level[last]).astype(np.int64)
-        dot = np.zeros(len(bits.y), np.float32)
+        dot = np.zeros(len(gate), np.float32)
         for k in range(len(ORDERS)):
-            dot += self.weights[gate, k] * self.odds[bits.slots[k]]
+            dot += self.weights[gate, k] * self.odds[slots[k]]
         for k in range(2):
             dot += self.weights[gate, len(ORDERS) + k] * _odds(begun[k])
         at = np.clip((dot + 8) * 2, 0, CELLS - 1)
@@ -555,10 +657,13 @@ class Mixer:
 
     def log10(self, part: Part) -> np.ndarray:
         """log10 of the probability of each row's word in its state."""
-        out = np.zeros(len(part.state))
-        for rows, bits, begun in part.chunks(np.arange(len(part.state))):
-            p = self.ones(bits, begun)
-            out[rows] = np.bincount(bits.word, np.log10(np.where(bits.y == 1, p, 1 - p)), len(rows))
+        out, logs = np.zeros(len(part.state)), np.zeros(len(part.y))
+        for k in range(0, len(logs), PIECE_BITS):
+            to = slice(k, k + PIECE_BITS)
+            p = self._ones(part.slots[:, to], part.begun[:, to])
+            logs[to] = np.log10(np.where(part.y[to] == 1, p, 1 - p))
+        if len(out):
+            out[part.order] = np.add.reduceat(logs[part.tree.of], part.tree.start)
         return out
 
 
@@ -648,12 +753,9 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     vocabulary = _stored(counted.groupBy("state", "word").agg(F.sum("n").alias("n"), F.sum("learned").alias("learned")), "lm-words")
     ends = docs.select("learn").agg(F.sum(F.col("learn").cast("long"))).first()[0] or 0
     size = vocabulary.count()
-    known = vocabulary.where("learned > 0").select("state", "word", "learned")
+    known = vocabulary.where("learned > 0").select("word", "learned")
     code = Code(_whole_table(known.mapInArrow(_count_bytes, "piece int, sums binary"), 257))
     table_bits = int(np.clip(np.ceil(np.log2(8 * max(size, 1))), LEAST_BITS, MOST_BITS))
-    # Few tasks: each holds the tables of all predictors, and sends them once.
-    few = known.coalesce(max(sc.defaultParallelism, size // TABLE_ROWS))
-    hashed = _whole_table(few.mapInArrow(_count_bits(code, table_bits), "piece int, sums binary"), 2 * len(ORDERS) << table_bits).astype(np.float32).view(np.complex64)
     # Equal words go to one part, whatever their states.
     parts = max(1, -(-size // PART))
     tasks = min(parts, max(sc.defaultParallelism, -(-parts // TOGETHER)))
@@ -662,6 +764,9 @@ def score(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     edges = ranked.where("pair is null").select("part", "state", "name", "zero", "one")
     totals = edges.groupBy("name", "state").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).where("zero > 0 or one > 0")
     edges = materialize(edges.select("part", "name").distinct().join(totals, "name"), "lm-edges", few_files(spark))
+    # Few tasks: each holds the tables of all predictors, and sends them once. Files hold neighbours of the sorted order together.
+    few = rows.where("learned > 0").select("state", "word", "learned").coalesce(max(sc.defaultParallelism, size // TABLE_ROWS))
+    hashed = _whole_table(few.mapInArrow(_count_bits(code, table_bits), "piece int, sums binary"), 2 * len(ORDERS) << table_bits).astype(np.float32).view(np.complex64)
     shared = sc.broadcast(hashed)
     by_part = lambda: rows.groupBy("part").cogroup(edges.groupBy("part"))
     learned = _whole_table_rows(by_part().applyInArrow(_learn_part(shared, code, table_bits), "piece int, sums binary"))

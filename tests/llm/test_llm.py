@@ -756,6 +756,33 @@ def test_beginnings_across_parts():
             at += got.shape[1]
 
 
+def test_bits_that_words_share_are_looked_up_once(monkeypatch):
+    """Learning and scoring look up each bit after each beginning in a state once, however many words have it; the counts are those of all words."""
+    rows = [r for r in some_words(400, 6) if len(r[0]) < lm.DEPTH]
+    code, hashed, weights, cells, whole = model_of(rows)
+    strings = ["".join(str(int(code.bits[x, j])) for x in [*(b + 1 for b in w), 0] for j in range(code.length[x])) for w, _, _ in rows]
+    different = {(state, string[: t + 1]) for (_, state, _), string in zip(rows, strings) for t in range(len(string))}
+    seen, plain = [], lm.Bits
+
+    def counted(*given):
+        seen.append(plain(*given))
+        return seen[-1]
+
+    monkeypatch.setattr(lm, "Bits", counted)
+    monkeypatch.setattr(lm, "PIECE_BITS", 50, raising=False)
+    part = lm.Part(vocabulary(rows), NO_EDGES, code, 16)
+    again = lm.learned_weights(part, hashed, np.flatnonzero(part.learned > 0))
+    assert again[1] == pytest.approx(weights) and again[2] == pytest.approx(cells)
+    logs = lm.Mixer(hashed, weights, cells).log10(part)
+    assert logs == pytest.approx(lm.Mixer(hashed, weights, cells).log10(whole))
+    assert sum(len(b.y) for b in seen) == len(different) < 0.8 * sum(map(len, strings))
+    for order in (rows, [rows[i] for i in np.random.default_rng(1).permutation(len(rows))]):
+        table, known = np.zeros(len(hashed) * 2), [r for r in order if r[2]]
+        for k, batch in ((k, x) for b in lm._count_bits(code, 16)(iter(vocabulary(known).to_batches(max_chunksize=100))) for k, x in zip(b.column("piece").to_pylist(), b.column("sums").to_pylist())):
+            table[k * lm._PIECE : (k + 1) * lm._PIECE] += np.frombuffer(batch)
+        assert (table == hashed.view(np.float32)).all()
+
+
 def test_parts_are_cut_between_words():
     words = pa.array([b"a"] * 3 + [b"b"] * 9 + [b"c"] + [b"d"] * 2 + [bytes([101 + i]) for i in range(6)], pa.binary())
     for size in range(1, 25):
