@@ -312,7 +312,7 @@ class Tree:
         Of a word's bits the first `known` are counted.
         """
         total, n = self.sums(count), len(y)
-        out = np.zeros((n, 2))
+        out = np.zeros((n, 2), np.float32)
         out[np.arange(n), y] = total
         forks = np.flatnonzero((self.alike >= 0) & (self.alike < known))
         one, two = self.of[self.start[forks - 1] + self.alike[forks]], self.begin[forks]
@@ -435,7 +435,7 @@ class Beginnings:
             at = np.flatnonzero((tree.depth <= shared[rows][tree.row]) & (tree.depth < len(names)))
             at = at[found[tree.depth[at]]]
             every[at], own[at] = counts.sum(axis=1)[tree.depth[at]], counts[tree.depth[at], self.state[rows][tree.row[at]]]
-        return np.stack([x.astype(np.float32).view(np.complex64).ravel() for x in (every, own)])
+        return np.stack([x.view(np.complex64).ravel() for x in (every, own)])
 
     def counts(self, first: np.ndarray, edge: dict[int, np.ndarray]) -> np.ndarray:
         """(all and own state, bits) for the bits of the words as given, as zeros + ones * 1j; first: where each word's bits begin."""
@@ -592,16 +592,19 @@ def learned_weights(part: Part, hashed: np.ndarray, by: np.ndarray) -> tuple[flo
     weights, cells, seen = np.tile(_START, (GATES, 1)), np.zeros((GATES * CELLS, 2)), 0.0
     # An edge's log odds and gate are the same for all tokens that have it.
     ones, edges = part.y.astype(np.float32), len(part.y)
-    x, total, zeros, delta = np.empty((PREDICTORS, edges), np.float32), [], 1 - ones, np.float32(_DELTA)
-    for k in range(PREDICTORS):
-        counts = hashed[part.slots[k]] if k < len(ORDERS) else part.begun[k - len(ORDERS)]
-        n1, n0 = np.maximum(counts.imag - ones, 0), np.maximum(counts.real - zeros, 0)
-        total.append(n1 + n0)
-        n1 += delta
-        n0 += delta
-        n1 /= n0
-        np.log(n1, out=x[k])
-    gates = _level(total[-1], 0) + _level(total[-2], 1) + _level(total[-3], 2)
+    x, gates, delta = np.empty((PREDICTORS, edges), np.float32), np.zeros(edges, np.uint8), np.float32(_DELTA)
+    for first in range(0, edges, PIECE_BITS):
+        to = slice(first, first + PIECE_BITS)
+        one, zero = ones[to], 1 - ones[to]
+        for k in range(PREDICTORS):
+            counts = hashed[part.slots[k, to]] if k < len(ORDERS) else part.begun[k - len(ORDERS), to]
+            n1, n0 = np.maximum(counts.imag - one, 0), np.maximum(counts.real - zero, 0)
+            if k >= PREDICTORS - len(_EDGES):
+                gates[to] += _level(n1 + n0, PREDICTORS - 1 - k)
+            n1 += delta
+            n0 += delta
+            n1 /= n0
+            np.log(n1, out=x[k, to])
     for turn, k in enumerate(range(0, len(by), CHUNK)):
         share = part.learned[by[k : k + CHUNK]]
         n, of = part.edges_of(by[k : k + CHUNK])
